@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, language, secrets
 
 QUERIES = {
+    "op1_secrets": secrets.op1,
+    "op2_language": language.op2,
     "op3_bpe": bpe.op3,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_secrets": secrets.op1_sql()}
