@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, language, secrets
+from . import bpe, language, secrets, substrings
 
 QUERIES = {
     "op1_secrets": secrets.op1,
     "op2_language": language.op2,
     "op3_bpe": bpe.op3,
+    "op7_substrings": substrings.op7,
 }
 SQL: dict[str, str] = {"op1_secrets": secrets.op1_sql()}
