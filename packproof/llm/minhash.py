@@ -235,27 +235,25 @@ def link(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> D
     Members that have been pivots of their bucket leave it. It ends when no bucket holds
     members of two components.
     """
-    spark = members.sparkSession
-    edges, comps, rest, shares = None, None, members, 1
+    edges, comps, shares = None, None, 1
+    rest = members.withColumn("comp", F.col("doc_id"))
     while True:
-        rest = rest.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(shares)))
-        pivots = rest.groupBy("key", "share").agg(F.min("doc_id").alias("b")).select("key", "b")
-        pairs = rest.withColumnRenamed("doc_id", "a").join(pivots, "key").filter("a <> b")
-        if comps is not None:
-            other = comps.select(F.col("doc_id").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = pairs.join(other, "b", "left").filter("comp <> coalesce(comp_b, b)")
+        share = F.pmod(F.xxhash64("doc_id"), F.lit(shares)).alias("share")
+        pivots = rest.groupBy("key", share).agg(F.min(F.struct("doc_id", "comp")).alias("p")).select("key", F.col("p.doc_id").alias("b"), F.col("p.comp").alias("comp_b"))
+        pairs = rest.select(F.col("key").alias("own"), F.col("doc_id").alias("a"), "comp").join(pivots, (F.col("own") == F.col("key")) & (F.col("comp") != F.col("comp_b")))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = common.materialise(verified(pairs, sets, threshold), "links")
-        edges = found if edges is None else edges.union(found)
-        comps = components(edges)
-        left = rest.select("key", "doc_id").join(pivots.withColumnRenamed("b", "doc_id"), ["key", "doc_id"], "left_anti")
+        if comps is None or not found.isEmpty():
+            edges = found if edges is None else edges.union(found)
+            comps = components(edges)
+        left = rest.select("key", "doc_id").join(pivots.select("key", F.col("b").alias("doc_id")), ["key", "doc_id"], "left_anti")
         now = left.join(comps, "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
         now = common.materialise(now, "members")
         open_keys = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-        rest = common.materialise(now.join(open_keys, "key", "left_semi"), "members")
-        if rest.isEmpty():
+        if open_keys.isEmpty():
             return comps
-        shares = min(shares * 4, 1 << 20)
+        rest = now.join(open_keys, "key", "left_semi")
+        shares = min(shares * 8, 1 << 20)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
