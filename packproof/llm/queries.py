@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, language, minhash, secrets, substrings
+from . import bpe, language, media, minhash, neighbours, secrets, substrings
 
 QUERIES = {
     "op1_secrets": secrets.op1,
     "op2_language": language.op2,
     "op3_bpe": bpe.op3,
+    "op4_media": media.op4,
     "op6_minhash": minhash.op6,
     "op7_substrings": substrings.op7,
+    "op8_neighbours": neighbours.op8,
 }
 SQL: dict[str, str] = {"op1_secrets": secrets.op1_sql()}
