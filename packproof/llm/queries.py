@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language, media, minhash, neighbours, secrets, substrings
+from . import bpe, language, media, minhash, neighbours, order, scoring, secrets, substrings
 
 QUERIES = {
     "op1_secrets": secrets.op1,
@@ -12,5 +12,7 @@ QUERIES = {
     "op6_minhash": minhash.op6,
     "op7_substrings": substrings.op7,
     "op8_neighbours": neighbours.op8,
+    "op9_order": order.op9,
+    "op10_scoring": scoring.op10,
 }
 SQL: dict[str, str] = {"op1_secrets": secrets.op1_sql()}
