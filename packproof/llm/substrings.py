@@ -31,7 +31,7 @@ from . import common
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
-ROWS = "part int, payload binary, doc_id long, pos array<int>"
+ROWS = "part int, payload binary, settled boolean"
 
 
 def _document_rows(batch: pa.RecordBatch):
@@ -86,49 +86,60 @@ def _unpacked(payloads: list[bytes], kinds: tuple[type, ...]) -> tuple[tuple[np.
     return tuple(map(np.concatenate, keys)), np.concatenate(docs), np.concatenate(poss)
 
 
-def _lists(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """Rows that are settled: each document's positions (to a part that only spreads them)."""
-    order = np.argsort(doc, kind="stable")
-    doc, pos = doc[order], pos[order]
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(pos.astype(np.int32)))
-    spread = (common.mix(doc[first].astype(np.uint64)) >> np.uint64(33)).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(spread), pa.nulls(len(first), pa.binary()), pa.array(doc[first]), lists], ["part", "payload", "doc_id", "pos"])
+def _rows(packed, settled: bool) -> pa.RecordBatch:
+    rows = list(packed)
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([settled] * len(rows), pa.bool_())], ["part", "payload", "settled"])
 
 
-def _payload_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    n = len(rows)
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32()))], ["part", "payload", "doc_id", "pos"])
+def _by_document(doc: np.ndarray, pos: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Settled entries, on the way to the part that gathers their documents."""
+    part = (common.mix(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return _rows(_packed(part[order], (), doc[order], pos[order]), True)
 
 
-def _compared(rows: DataFrame, parts: int, kinds: tuple[type, ...], every: bool) -> DataFrame:
-    """doc_id, pos: settled rows, and entries whose key several documents have (``every``) or a smaller one has."""
+def _part_by_part(batches):
+    """Each part with its (payload, settled) pairs, of rows sorted by part."""
+    now, held = None, []
+    for batch in batches:
+        for part, payload, settled in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and part != now:
+                yield now, held
+                held = []
+            now = part
+            held.append((payload, settled))
+    if held:
+        yield now, held
 
-    def settle(payloads: list[bytes]):
-        keys, doc, pos = _unpacked(payloads, kinds)
-        order, _, shared, later = grouped(keys, doc)
-        take = order[shared if every else later]
-        return _lists(doc[take], pos[take]).select(["doc_id", "pos"])
 
-    def run(batches):
-        now, held = None, []
-        for batch in batches:
-            ready = batch.filter(batch.column(1).is_null())
-            if len(ready):
-                yield ready.select(["doc_id", "pos"])
-            for part, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if payload is None:
-                    continue
-                if held and part != now:
-                    yield settle(held)
-                    held = []
-                now = part
-                held.append(payload)
-        if held:
-            yield settle(held)
-
-    dealt = rows.repartition(parts, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(run, "doc_id long, pos array<int>").groupBy("doc_id").agg(F.flatten(F.collect_list("pos")).alias("pos"))
+def _compared(rows: DataFrame, parts: int, kinds: tuple[type, ...], every: bool) -> DataFrame:
+    """doc_id, pos (array<int>): settled entries, and those whose key several documents have
+    (``every``) or a smaller one has. Keys meet in one shuffle, a document's entries in the next."""
+
+    def compare(batches):
+        for part, held in _part_by_part(batches):
+            ready = [p for p, settled in held if settled]
+            if ready:  # settled entries already know their part
+                yield _rows([(part, p) for p in ready], True)
+            if payloads := [p for p, settled in held if not settled]:
+                keys, doc, pos = _unpacked(payloads, kinds)
+                order, _, shared, later = grouped(keys, doc)
+                take = order[shared if every else later]
+                if len(take):
+                    yield _by_document(doc[take], pos[take], parts)
+
+    def gather(batches):
+        for _, held in _part_by_part(batches):
+            _, doc, pos = _unpacked([p for p, _ in held], ())
+            order = np.argsort(doc, kind="stable")
+            doc, pos = doc[order], pos[order]
+            first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(pos))], ["doc_id", "pos"])
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(parts, "part").sortWithinPartitions("part")
+
+    return dealt(dealt(rows).mapInArrow(compare, ROWS)).mapInArrow(gather, "doc_id long, pos array<int>")
 
 
 def _parts(spark: SparkSession) -> int:
@@ -159,9 +170,9 @@ def shared_anchors(plain: DataFrame) -> DataFrame:
                 order, first_row, shared, _ = grouped((part, key), doc)
                 part, key, doc, pos = part[order], key[order], doc[order], pos[order]
                 send = first_row | ~shared  # settled keys send one row, for the other chunks
-                yield _payload_batch(list(_packed(part[send].astype(np.int64), (key[send],), doc[send], pos[send])))
+                yield _rows(_packed(part[send].astype(np.int64), (key[send],), doc[send], pos[send]), False)
                 if shared.any():
-                    yield _lists(doc[shared], pos[shared])
+                    yield _by_document(doc[shared], pos[shared], parts)
 
     return _compared(plain.mapInArrow(run, ROWS), parts, (np.uint32,), True)
 
@@ -194,9 +205,9 @@ def repeated_windows(plain: DataFrame, anchors: DataFrame) -> DataFrame:
                 order, _, _, later = grouped(keys, doc)
                 part, doc, start = part[order], doc[order], start[order]
                 send = ~later
-                yield _payload_batch(list(_packed(part[send].astype(np.int64), tuple(k[order][send] for k in keys[1:]), doc[send], start[send])))
+                yield _rows(_packed(part[send].astype(np.int64), tuple(k[order][send] for k in keys[1:]), doc[send], start[send]), False)
                 if later.any():
-                    yield _lists(doc[later], start[later])
+                    yield _by_document(doc[later], start[later], parts)
 
     rows = plain.join(anchors, "doc_id").select("doc_id", "text", "pos").mapInArrow(run, ROWS)
     return _compared(rows, parts, (np.uint64, np.uint16), False).withColumnRenamed("pos", "starts")
