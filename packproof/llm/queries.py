@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, language, media, minhash, neighbours, order, scoring, secrets, substrings
+from . import bpe, language, media, minhash, mixing, neighbours, order, scoring, secrets, substrings
 
 QUERIES = {
     "op1_secrets": secrets.op1,
     "op2_language": language.op2,
     "op3_bpe": bpe.op3,
     "op4_media": media.op4,
+    "op5_mixing": mixing.op5,
     "op6_minhash": minhash.op6,
     "op7_substrings": substrings.op7,
     "op8_neighbours": neighbours.op8,
