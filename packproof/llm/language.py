@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from . import bpe, common
 
 #: Longest piece in bytes; scores are kept for so many words; words longer than LONG are scored one by one.
-PIECE, CACHE, LONG = 12, 300_000, 48
+PIECE, CACHE, LONG = 8, 600_000, 48
 PER_LANGUAGE, ROUNDS = 3000, 3
 
 
@@ -211,18 +211,19 @@ class Scorer:
         self.drop()
 
     def drop(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = {}  # words as they stand
+        self.bare: dict[bytes, int] = {}  # their letters
         self.table = np.zeros((1 << 16, len(self.model.languages)))
 
     def learn(self, new: list[str]) -> None:
-        first = len(self.known)
         bare = [letters(w) for w in new]
-        distinct = {w: k for k, w in enumerate(dict.fromkeys(bare))}
-        values = log_likelihoods(list(distinct), self.pieces, self.model.probability)
-        while first + len(new) > len(self.table):
+        fresh = [w for w in dict.fromkeys(bare) if w not in self.bare]
+        first = len(self.bare)
+        while first + len(fresh) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[first : first + len(new)] = values[[distinct[w] for w in bare]]
-        self.known.update(zip(new, range(first, first + len(new))))
+        self.table[first : first + len(fresh)] = log_likelihoods(fresh, self.pieces, self.model.probability)
+        self.bare.update(zip(fresh, range(first, first + len(fresh))))
+        self.known.update((w, self.bare[x]) for w, x in zip(new, bare))
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         if len(self.known) > CACHE:
