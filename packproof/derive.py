@@ -117,7 +117,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in SOURCES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = TABLES[name]
-    needed = {n: table(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", text))}
+    needed = {n: table(spark, sf_dir, n) for n in set(re.findall(r"\{([a-z]\w*)\}", text))}
     return spark.sql(text, **needed)
 
 
@@ -126,13 +126,13 @@ def oracle(body: str) -> str:
     order: list[str] = []
 
     def visit(text: str) -> None:
-        for name in re.findall(r"\{(\w+)\}", text):
+        for name in re.findall(r"\{([a-z]\w*)\}", text):
             if name in TABLES and name not in order:
                 visit(TABLES[name])
                 order.append(name)
 
     visit(body)
-    plain = lambda t: re.sub(r"\{(\w+)\}", r"\1", t)
+    plain = lambda t: re.sub(r"\{([a-z]\w*)\}", r"\1", t)
     ctes = ", ".join(f"{n} AS ({plain(TABLES[n])})" for n in order)
     body = plain(body).strip()
     if not ctes:
