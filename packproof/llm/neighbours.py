@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Neighbours of a node; starting orders; vectors compared in one stretch; NN-descent rounds.
-DEGREE, TREES, STRETCH, ROUNDS = 20, 6, 1024, 2
+DEGREE, TREES, STRETCH, ROUNDS = 20, 12, 2048, 2
 #: Reverse neighbours that are joined in one group; beam, nodes opened in a step, steps of a search.
-GROUP, BEAM, OPENED, STEPS = 48, 64, 24, 4
+GROUP, BEAM, OPENED, STEPS = 48, 96, 40, 4
 LIST = "array<struct<far:float,node:long>>"
 
 
@@ -96,47 +96,45 @@ def _lists(node: np.ndarray, other: np.ndarray, sim: np.ndarray, keep: int) -> p
 def start(units: DataFrame, degree: int) -> DataFrame:
     """First neighbour lists: all pairs within sorted stretches, for several random orders."""
 
-    def coded(seed: int):
-        def run(batches):
-            for batch in batches:
-                x = _vectors(batch.column(1))
-                planes = np.random.default_rng(seed).normal(size=(x.shape[1], 17)).astype(np.float32)
+    def coded(batches):
+        for batch in batches:
+            x = _vectors(batch.column(1))
+            for tree in range(TREES):
+                planes = np.random.default_rng(tree).normal(size=(x.shape[1], 17)).astype(np.float32)
                 side = x @ planes
                 code = ((side[:, :16] > 0) << np.arange(15, -1, -1)).sum(1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.astype(np.int32)), pa.array(side[:, 16])], ["node", "unit", "code", "side"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(x), tree, np.int32)), pa.array(code.astype(np.int32)), pa.array(side[:, 16])], ["node", "unit", "tree", "code", "side"])
 
-        return run
+    def flushed(ids: np.ndarray, x: np.ndarray):
+        sim = x @ x.T
+        np.fill_diagonal(sim, -2)
+        top = min(degree, len(ids) - 1)
+        best = np.argpartition(-sim, top - 1, axis=1)[:, :top]
+        return _lists(np.repeat(ids, top), ids[best].ravel(), np.take_along_axis(sim, best, 1).ravel(), degree)
 
     def compared(batches):
-        held_ids, held = [], []
-
-        def flush():
-            ids, x = np.concatenate(held_ids), np.concatenate(held)
-            sim = x @ x.T
-            np.fill_diagonal(sim, -2)
-            top = min(degree, len(ids) - 1)
-            best = np.argpartition(-sim, top - 1, axis=1)[:, :top]
-            return _lists(np.repeat(ids, top), ids[best].ravel(), np.take_along_axis(sim, best, 1).ravel(), degree)
-
+        now, held, size = None, [], 0
         for batch in batches:
-            ids, x = batch.column(0).to_numpy(), _vectors(batch.column(1))
-            while len(ids):
-                room = STRETCH - sum(map(len, held_ids))
-                held_ids.append(ids[:room])
-                held.append(x[:room])
-                ids, x = ids[room:], x[room:]
-                if sum(map(len, held_ids)) == STRETCH:
-                    yield flush()
-                    held_ids, held = [], []
-        if sum(map(len, held_ids)) > 1:
-            yield flush()
-
-    found = None
-    for seed in range(TREES):
-        order = units.mapInArrow(coded(seed), "node long, unit binary, code int, side float").repartitionByRange("code", "side").sortWithinPartitions("code", "side")
-        one = order.mapInArrow(compared, f"node long, near {LIST}")
-        found = one if found is None else found.union(one)
-    return nearest(found, degree)
+            ids, x, trees = batch.column(0).to_numpy(), _vectors(batch.column(1)), batch.column(2).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, trees[1:] != trees[:-1], True]) if len(trees) else np.zeros(1, np.int64)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if trees[a] != now:
+                    if size > 1:
+                        yield flushed(*map(np.concatenate, zip(*held)))
+                    now, held, size = trees[a], [], 0
+                while a < b:
+                    room = min(b - a, STRETCH - size)
+                    held.append((ids[a : a + room], x[a : a + room]))
+                    a, size = a + room, size + room
+                    if size == STRETCH:
+                        yield flushed(*map(np.concatenate, zip(*held)))
+                        held, size = [], 0
+        if size > 1:
+            yield flushed(*map(np.concatenate, zip(*held)))
+
+    order = ["tree", "code", "side"]
+    dealt = units.mapInArrow(coded, "node long, unit binary, tree int, code int, side float").repartitionByRange(*order).sortWithinPartitions(*order)
+    return nearest(dealt.mapInArrow(compared, f"node long, near {LIST}"), degree)
 
 
 def improve(graph: DataFrame, units: DataFrame, degree: int) -> DataFrame:
@@ -178,27 +176,38 @@ def build(units: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataF
 
 
 def walk(graph: DataFrame, units: DataFrame, queries: DataFrame) -> DataFrame:
-    """query (a node), node, sim: the beam after greedy steps from each query's own node."""
-    adjacent = graph.select("node", F.col("near.node").alias("next"))
-    heads = queries.join(units, "node").select(F.col("node").alias("query"), F.col("unit").alias("head"))
-
-    def close(batches):
+    """query (a node), node: the beam after greedy steps from each query's own node.
+
+    A step opens the nearest nodes of each beam, brings their neighbours' vectors to the
+    query, and keeps the nearest of all. What a query has seen is bounded by the steps.
+    """
+    far = units.select(F.col("node").alias("other"), "unit")
+    adjacent = graph.select("node", F.explode("near.node").alias("other")).join(far, "other").groupBy("node").agg(F.collect_list(F.struct("other", "unit")).alias("next"))
+    adjacent = common.materialise(adjacent, "adjacent")
+    state = "query long, head binary, beam array<struct<far:double,node:long>>, opened array<long>"
+    beams = queries.join(units, "node").select(F.col("node").alias("query"), F.col("unit").alias("head"), F.array(F.struct(F.lit(-2.0).alias("far"), "node")).alias("beam"), F.array().cast("array<long>").alias("opened"))
+
+    def step(batches):
         for batch in batches:
-            a, b = _vectors(batch.column(2)), _vectors(batch.column(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.einsum("ij,ij->i", a, b).astype(np.float64) if len(a) else np.zeros(0))], ["query", "node", "sim"])
+            rows = []
+            for query, head, beam, opened, go, found in zip(*(c.to_pylist() for c in batch.columns)):
+                have = {b["node"]: b["far"] for b in beam}
+                fresh = {f["other"]: f["unit"] for f in found or [] if f["other"] not in have}
+                if fresh:
+                    x = _vectors(pa.array(list(fresh.values()), pa.binary()))
+                    sim = x @ np.frombuffer(head, np.float16).astype(np.float32)
+                    have |= zip(fresh, (-sim.astype(np.float64)).tolist())
+                best = sorted((d, n) for n, d in have.items())[: BEAM + 1]
+                rows.append((query, head, [{"far": d, "node": n} for d, n in best], [*opened, *go]))
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.struct([("far", pa.float64()), ("node", pa.int64())])), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["query", "head", "beam", "opened"])
 
-    beam = queries.select(F.col("node").alias("query"), "node", F.lit(2.0).alias("sim"), F.lit(False).alias("opened"))
-    order = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
     for _ in range(STEPS):
-        turn = Window.partitionBy("query", "opened").orderBy(F.desc("sim"), "node")
-        marked = beam.withColumn("go", ~F.col("opened") & (F.row_number().over(turn) <= OPENED))
-        marked = common.materialise(marked, "beam")
-        reached = marked.filter("go").join(adjacent, "node").select("query", F.explode("next").alias("node")).distinct()
-        fresh = reached.join(marked.select("query", "node"), ["query", "node"], "left_anti")
-        seen = fresh.join(units, "node").join(heads, "query").select("query", "node", "unit", "head").mapInArrow(close, "query long, node long, sim double")
-        every = marked.select("query", "node", "sim", (F.col("opened") | F.col("go")).alias("opened")).union(seen.select("query", "node", "sim", F.lit(False)))
-        beam = every.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= BEAM + 1).drop("place")
-    return beam.select("query", "node")
+        go = F.slice(F.filter(F.col("beam.node"), lambda n: ~F.array_contains("opened", n)), 1, OPENED)
+        turn = common.materialise(beams.withColumn("go", go), "beams")
+        found = turn.select("query", F.explode("go").alias("node")).join(adjacent, "node").groupBy("query").agg(F.flatten(F.collect_list("next")).alias("found"))
+        beams = turn.join(found, "query", "left").select("query", "head", "beam", "opened", "go", "found").mapInArrow(step, state)
+    return beams.select("query", F.explode("beam.node").alias("node"))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
