@@ -16,4 +16,4 @@ QUERIES = {
     "op9_order": order.op9,
     "op10_scoring": scoring.op10,
 }
-SQL: dict[str, str] = {"op1_secrets": secrets.op1_sql()}
+SQL: dict[str, str] = {"op1_secrets": secrets.op1_sql(), "op7_substrings": substrings.OP7_SQL}

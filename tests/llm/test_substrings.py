@@ -63,3 +63,13 @@ def test_texts_are_shuffled_once(spark, tmp_path):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan or "BroadcastHashJoin" in plan
+
+
+def test_sql_agrees(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    want = sorted(con.execute(substrings.OP7_SQL).fetchall())
+    assert sorted(map(tuple, substrings.op7(spark, d).collect())) == want
