@@ -10,7 +10,8 @@ without a dart are filled by looking twice as far.
 
 Documents whose element sets are equal collapse to one representative, first within a
 chunk, then by a map-side aggregate. Representatives that agree in a band of four
-coordinates share a bucket. A bucket never emits all its pairs: members are compared with
+coordinates share a bucket, unless too few of their elements are in any other document of
+a bucket for a partner to exist. A bucket never emits all its pairs: members are compared with
 one pivot, and only buckets that then still hold several components go on, with other
 pivots, until every pair is either in one component or compared. Each pair is verified by
 the Jaccard similarity of its sets, at least THRESHOLD.
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -34,6 +35,8 @@ from . import common
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 K = BANDS * ROWS
+#: Rounds in which sets without a possible partner are dropped before pairs are formed.
+PRUNINGS = 2
 #: Rank cells double from FINE to 1 and have unit length from there.
 FINE = 1 / 64
 _CELLS = [0.0, *(FINE * 2**k for k in range(7))]
@@ -197,15 +200,46 @@ def element_sets(docs: DataFrame, ids: DataFrame, weighted: bool = False) -> Dat
     return plain.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, units array<int>").dropDuplicates(["doc_id"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose sets have at least the wanted Jaccard similarity."""
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with j, the Jaccard similarity of their sets."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("units").alias("ua"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("units").alias("ub"))
-    both = F.size(F.array_intersect("ua", "ub"))
-    joined = pairs.join(left, "a").join(right, "b")
-    # sizes alone rule many pairs out before the sets are compared
-    close = F.least(F.size("ua"), F.size("ub")) >= threshold * F.greatest(F.size("ua"), F.size("ub"))
-    return joined.filter(close).withColumn("both", both).filter(F.col("both") >= threshold * (F.size("ua") + F.size("ub") - F.col("both"))).select("a", "b")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("ua").alias("na"), F.size("ub").alias("nb"), F.size(F.array_intersect("ua", "ub")).alias("both"))
+    return joined.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("j"))
+
+
+def met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with j, ``inside`` (elements of b that a has) and ``mask``, those elements as bits."""
+    left = sets.select(F.col("doc_id").alias("a"), F.col("units").alias("ua"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("units").alias("ub"))
+
+    def run(batches):
+        for batch in batches:
+            inside, j, masks = [], [], []
+            (a_edges, a_units), (b_edges, b_units) = ((np.asarray(c.offsets), c.values.to_numpy()) for c in (batch.column(2), batch.column(3)))
+            for k in range(len(batch)):
+                a, b = a_units[a_edges[k] : a_edges[k + 1]], b_units[b_edges[k] : b_edges[k + 1]]
+                has = np.isin(b, a)
+                inside.append(int(has.sum()))
+                j.append(inside[-1] / (len(a) + len(b) - inside[-1]))
+                bits = np.packbits(np.append(has, np.zeros(-len(has) % 64, bool)))
+                masks.append(bits.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j, pa.float64()), pa.array(inside, pa.int64()), pa.array(masks, pa.list_(pa.int64()))], ["a", "b", "j", "inside", "mask"])
+
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ua", "ub")
+    return joined.mapInArrow(run, "a long, b long, j double, inside long, mask array<long>")
+
+
+def partnered(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n (elements) and m (of them in another set) of the sets that may have a partner: m >= threshold * n.
+
+    Nothing is lost, as a set shares that many elements with any partner. Documents that
+    agree in a passage only, however many they are, go before any pair is formed.
+    """
+    flat = sets.select("doc_id", F.size("units").alias("n"), F.explode("units").alias("unit"))
+    shared = flat.groupBy("unit").agg(F.count("*").alias("m")).filter("m > 1").select("unit")
+    found = flat.join(shared, "unit", "left_semi").groupBy("doc_id", "n").agg(F.count("*").alias("m"))
+    return found.filter(F.col("m") >= threshold * F.col("n") - 1e-6).select("doc_id", "n", "m")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -228,32 +262,53 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and comp of the members (key, doc_id) that have a verified link.
-
-    Round by round, members of a bucket meet the smallest member of each of a growing
-    number of hashed shares of the bucket, unless both are in one component already.
-    Members that have been pivots of their bucket leave it. It ends when no bucket holds
-    members of two components.
+    """doc_id and comp of the members (key, doc_id, n, m) that have a verified link.
+
+    At first all members of a bucket meet its pivot: the member with the fewest elements of
+    its own, which in a group of edited copies is nearest to all; each keeps a bit mask of
+    the pivot's elements that it has. Then, round by round, members meet the pivots of a
+    growing number of hashed shares of the bucket, but only those of another component
+    that could be close: the masks give their common elements within the first pivot
+    exactly, and the shared elements that each has outside of it bound the rest. Pivots
+    leave their bucket, as they have met all others that matter. It ends when no bucket
+    holds members that could still be linked.
     """
-    edges, comps, shares = None, None, 1
-    rest = members.withColumn("comp", F.col("doc_id"))
-    while True:
+    shares = 1
+    best = F.struct((F.col("m") / F.col("n")).alias("whole"), (-F.col("doc_id")).alias("id"))
+
+    def may_be_close(common_: Column, n: Column, other: Column) -> Column:
+        return common_ * (1 + threshold) >= threshold * (n + other) - 1e-6
+
+    def pivots_of(rows: DataFrame, *carried: str) -> DataFrame:
         share = F.pmod(F.xxhash64("doc_id"), F.lit(shares)).alias("share")
-        pivots = rest.groupBy("key", share).agg(F.min(F.struct("doc_id", "comp")).alias("p")).select("key", F.col("p.doc_id").alias("b"), F.col("p.comp").alias("comp_b"))
-        pairs = rest.select(F.col("key").alias("own"), F.col("doc_id").alias("a"), "comp").join(pivots, (F.col("own") == F.col("key")) & (F.col("comp") != F.col("comp_b")))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = common.materialise(verified(pairs, sets, threshold), "links")
-        if comps is None or not found.isEmpty():
-            edges = found if edges is None else edges.union(found)
-            comps = components(edges)
-        left = rest.select("key", "doc_id").join(pivots.select("key", F.col("b").alias("doc_id")), ["key", "doc_id"], "left_anti")
-        now = left.join(comps, "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+        chosen = rows.groupBy("key", share).agg(F.max_by(F.struct("doc_id", *carried), best).alias("p"))
+        return common.materialise(chosen.select("key", F.col("p.doc_id").alias("b"), *(F.col(f"p.{c}").alias(f"{c}_b") for c in carried)), "pivots")
+
+    first = members.join(pivots_of(members), "key").filter("doc_id <> b")
+    found = common.materialise(met(first.select(F.col("doc_id").alias("a"), "b").distinct(), sets), "met")
+    edges = found.filter(F.col("j") >= threshold - 1e-9).select("a", "b")
+    comps = components(edges)
+    left = first.withColumnRenamed("doc_id", "a").join(found, ["a", "b"]).select("key", F.col("a").alias("doc_id"), "n", "m", "inside", "mask")
+    while True:
+        now = left.join(comps, "doc_id", "left").select("key", "doc_id", "n", "m", "inside", "mask", F.coalesce("comp", "doc_id").alias("comp"))
         now = common.materialise(now, "members")
-        open_keys = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-        if open_keys.isEmpty():
+        open_keys = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("n").alias("least")).filter("x < y").select("key", "least")
+        rest = now.join(open_keys, "key").filter(may_be_close(F.col("m"), F.col("n"), F.col("least"))).drop("least")
+        if rest.isEmpty():
             return comps
-        rest = now.join(open_keys, "key", "left_semi")
         shares = min(shares * 8, 1 << 20)
+        pivots = pivots_of(rest, "comp", "n", "m", "inside", "mask")
+        within = F.aggregate(F.zip_with("mask", "mask_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
+        outside = F.least(F.col("m") - F.col("inside"), F.col("m_b") - F.col("inside_b"))
+        able = may_be_close(F.least("m", "m_b"), F.col("n"), F.col("n_b")) & may_be_close(within + outside, F.col("n"), F.col("n_b"))
+        own = rest.select(F.col("key").alias("own"), F.col("doc_id").alias("a"), "comp", "n", "m", "inside", "mask")
+        pairs = own.join(pivots, (F.col("own") == F.col("key")) & (F.col("comp") != F.col("comp_b")) & able)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        close = common.materialise(measured(pairs, sets).filter(F.col("j") >= threshold - 1e-9).select("a", "b"), "links")
+        if not close.isEmpty():
+            edges = edges.union(close)
+            comps = components(edges)
+        left = rest.drop("comp").join(pivots.select("key", F.col("b").alias("doc_id")), ["key", "doc_id"], "left_anti")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
@@ -265,7 +320,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = Fals
     full = exploded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = common.materialise(exploded.join(full, "key", "left_semi").select("key", "doc_id"), "members")
     sets = common.materialise(element_sets(docs, members.select("doc_id").distinct(), weighted), "element-sets")
-    comps = link(members, sets, threshold)
+    for _ in range(PRUNINGS):
+        some = common.materialise(partnered(sets, threshold), "partnered")
+        sets = common.materialise(sets.join(some, "doc_id", "left_semi"), "element-sets")
+    members = members.join(some, "doc_id").select("key", "doc_id", "n", "m")
+    full = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    comps = link(common.materialise(members.join(full, "key", "left_semi"), "members"), sets, threshold)
     named = reps.join(comps.withColumnRenamed("doc_id", "rep"), "rep", "left").select("high", "low", F.coalesce("comp", "rep").alias("class_id"))
     own = rows.select("doc_id", "high", "low").join(named, ["high", "low"]).select("doc_id", "class_id")
     return own
