@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at a time; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 21
@@ -45,7 +44,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at replicated files."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -137,7 +136,3 @@ def runs(h: np.ndarray, length: int, seed: int) -> np.ndarray:
     for k in range(length):
         out += h[k : k + m] * factor[k]
     return mix(out)
-
-
-def one_per_key(df: DataFrame, key: str, *values: str) -> DataFrame:
-    return df.groupBy(key).agg(*(F.min(v).alias(v) for v in values))
