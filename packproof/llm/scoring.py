@@ -1,17 +1,21 @@
 """Language-model scoring by cross-entropy difference.
 
-A target and a background model of word bigrams share one vocabulary: the VOCABULARY most
-frequent words of all documents, other words being one unknown word. Background counts
-cover all documents, target counts the target documents; background counts are scaled to
-the target's size, so that both models smooth alike. A document's score is the mean, over
-its tokens, of target loss minus background loss (in nats): negative is nearer the target.
-
-Counts are summed within tasks, then by Spark. What the driver holds and broadcasts is
-bounded: the vocabulary, and BUCKETS bigram counts to which bigrams are hashed.
+A target and a background model of word bigrams share one vocabulary: every word of the
+documents that are counted. Background counts cover all documents, target counts the target
+documents; background counts are scaled to the target's size, so that both models smooth
+alike. A document's score is the mean, over its tokens, of target loss minus background loss
+(in nats): negative is nearer the target.
+
+Counts are exact and grow with the input. Documents are dealt into chunks of about
+CHUNK_INPUT bytes. A chunk sends its distinct words and bigrams (64-bit hashes) with their
+counts to BUCKETS ranges of hashes, in one packed message a range; a range sums them over all
+chunks and answers each message with the sums, in the message's order, and with its share of
+the totals. A chunk that has all answers scores its documents. A frequent word is one entry a
+chunk, so no key is hot, and nothing is gathered on the driver or broadcast.
 
 Cases: null and empty texts have no tokens and null losses; without target documents the
-target model is uniform; repeated rows count each time they occur and all get a score; ties
-in word frequency go to the smaller hash; extra columns are ignored.
+target model is uniform; repeated rows count each time they occur and all get a score; words
+that were not counted have the uniform share only; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,147 +27,168 @@ from pyspark.sql import functions as F
 
 from . import common
 
-VOCABULARY, BUCKETS = 1 << 16, 1 << 20
 #: Weight of a context's own bigrams is count / (count + PRIOR); UNIFORM is shared out evenly.
 PRIOR, UNIFORM = 20.0, 0.05
-#: Distinct words that a task gathers before it hands its sums on.
-GATHER = 1 << 20
+#: Ranges of hashes (a power of two), and bytes of input tables in a chunk of documents.
+BUCKETS, CHUNK_INPUT = 2048, 4 << 20
 #: Labelled documents that may form the target.
 TARGETS = 20_000
 
+_SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
+_START, _WORD, _ODD = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95), np.uint64(1)
+#: Bytes of a count in a message and in an answer.
+_SENT, _ANSWERED = 4, 5
+
 
-def _texts(batch: pa.RecordBatch):
-    """Chunks of rows (text, ...): rows a..b, first words, word hashes."""
-    data, at = common.text_bytes(batch.column(0))
+def _tokens(table: pa.Table):
+    """First word of each text (one more at the end) and word hashes, over all rows."""
+    data, at = common.text_bytes(table["text"])
+    firsts, hashes, n = [np.zeros(1, np.int64)], [np.zeros(0, np.uint64)], 0
     for a, b in common.chunks(at):
         _, _, first, h = common.word_hashes(data, at[a : b + 1])
-        yield a, b, first, h
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (hash) and n over all texts."""
-
-    def summed(held):
-        word, place = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-        return word, np.bincount(place, np.concatenate([n for _, n in held]), len(word)).astype(np.int64)
+        firsts.append(first[1:] + n)
+        hashes.append(h)
+        n += len(h)
+    return np.concatenate(firsts), np.concatenate(hashes)
+
+
+def _keys(first: np.ndarray, h: np.ndarray):
+    """Sorted distinct keys; for every token the place of its word and of its bigram; the start's place.
+
+    Odd keys are words, even ones bigrams and the start of a text.
+    """
+    before = np.empty_like(h)
+    before[1:] = h[:-1]
+    before[first[:-1][np.diff(first) > 0]] = _START
+    pair = common.mix(common.mix(before + _WORD) * np.uint64(0x9E3779B97F4A7C15) + h) & ~_ODD
+    start = np.array([_START & ~_ODD])
+    keys, place = np.unique(np.concatenate([common.mix(h ^ _WORD) | _ODD, pair, start]), return_inverse=True)
+    return keys, place[: len(h)], place[len(h) : 2 * len(h)], place[-1]
+
+
+def _pack(values: np.ndarray, width: int) -> bytes:
+    """Low ``width`` bytes of 64-bit values, as planes that compress."""
+    return np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(*values.shape, 8)[..., :width].swapaxes(-1, -2).tobytes()
+
+
+def _unpack(data, rows: int, width: int) -> np.ndarray:
+    """(rows, n) values that ``_pack`` packed."""
+    planes = np.frombuffer(data, np.uint8).reshape(rows, width, -1)
+    out = np.zeros((rows, planes.shape[2], 8), np.uint8)
+    out[..., :width] = planes.swapaxes(-1, -2)
+    return out.view("<u8")[..., 0]
+
+
+def _send(table: pa.Table) -> pa.Table:
+    """A chunk's messages, one a range: keys, then n, n of the target, and how many of each end a text."""
+    first, h = _tokens(table)
+    keys, word, pair, start = _keys(first, h)
+    length = np.diff(first)
+    some = length > 0
+    last = word[first[1:][some] - 1]
+    counts = np.zeros((4, len(keys)), np.int64)
+    counted = table["counted"].to_numpy(zero_copy_only=False).astype(bool)
+    for k, rows in enumerate((counted, counted & table["is_target"].to_numpy(zero_copy_only=False).astype(bool))):
+        on = np.repeat(rows, length)
+        counts[k] = np.bincount(word[on], minlength=len(keys)) + np.bincount(pair[on], minlength=len(keys))
+        counts[k, start] = np.count_nonzero(rows & some)
+        counts[k + 2] = np.bincount(last[rows[some]], minlength=len(keys))
+    edge = np.searchsorted(keys >> _SHIFT, np.arange(BUCKETS + 1, dtype=np.uint64))
+    data = [_pack(np.diff(keys[a:b], prepend=np.uint64(0)), 8) + _pack(counts[:, a:b], _SENT) for a, b in zip(edge, edge[1:])]
+    chunk = np.full(BUCKETS, table["chunk"][0].as_py(), np.int64)
+    return pa.table({"bucket": pa.array(np.arange(BUCKETS, dtype=np.int32)), "chunk": chunk, "data": pa.array(data, pa.binary())})
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """A range's answers: for each message the sums of its keys, and the range's words, tokens and target tokens."""
+    keys, counts = [], []
+    for data in table["data"]:
+        data = data.as_buffer()
+        cut = data.size * 8 // (8 + 4 * _SENT)
+        keys.append(np.cumsum(_unpack(data[:cut], 1, 8)[0], dtype=np.uint64))
+        counts.append(_unpack(data[cut:], 4, _SENT))
+    edge = np.cumsum([0] + [len(k) for k in keys])
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.concatenate(counts, 1)
+    sums = np.stack([np.bincount(place, c, len(distinct)).astype(np.int64) for c in counts])
+    words = sums[:, (distinct & _ODD).astype(bool)]
+    data = [_pack(sums[:, place[a:b]], _ANSWERED) for a, b in zip(edge, edge[1:])]
+    own = [np.full(len(data), v, np.int64) for v in (np.count_nonzero(words[0]), words[0].sum(), words[1].sum())]
+    return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "data": pa.array(data, pa.binary()), "words": own[0], "tokens": own[1], "target": own[2]})
+
+
+def _score(table: pa.Table, answers: pa.Table) -> pa.Table:
+    """Scores of a chunk's asked documents."""
+    first, h = _tokens(table)
+    keys, word, pair, start = _keys(first, h)
+    answers = answers.sort_by("bucket")
+    counts = np.concatenate([_unpack(d.as_buffer(), 4, _ANSWERED) for d in answers["data"]], 1).astype(float)
+    size = answers["words"].to_numpy().sum() + 1
+    totals = [answers[name].to_numpy().sum() for name in ("tokens", "target")]
+    scales = (totals[1] / totals[0] if all(totals) else 1.0, 1.0)
+    n = np.diff(first)
+    some = np.flatnonzero(n)
+    context = np.empty_like(word)
+    context[1:] = word[:-1]
+    context[first[:-1][some]] = start
+    mean = np.zeros((2, len(n)))
+    for k, (total, scale) in enumerate(zip(totals, scales)):
+        seen = (counts[k] - counts[k + 2])[context] * scale
+        share = counts[k][pair] * scale / np.maximum(seen, 1e-9)
+        weight = seen / (seen + PRIOR)
+        single = (1 - UNIFORM) * counts[k][word] / max(total, 1) + (UNIFORM if total else 1.0) / size
+        loss = -np.log(weight * share + (1 - weight) * single)
+        if len(some):
+            mean[k, some] = np.add.reduceat(loss, first[:-1][some]) / n[some]
+    columns = [pa.array(c, mask=n == 0) for c in (mean[1], mean[0], mean[1] - mean[0])]
+    out = pa.table([table["doc_id"], pa.array(n), *columns], ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
+    return out.filter(table["asked"])
 
-    def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            for _, _, _, h in _texts(batch):
-                word, n = np.unique(h, return_counts=True)
-                held.append((word, n))
-                size += len(word)
-                if size > 2 * GATHER:
-                    held = [summed(held)]
-                    size = len(held[0][0])
-                    if size > GATHER:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["word", "n"])
-                        held, size = [], 0
-        if held:
-            word, n = summed(held)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
 
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _chunks(docs: DataFrame) -> int:
+    """Number of chunks, by the size of the tables that ``docs`` reads; where Spark does not know it, by shuffle partitions."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 50:
+        return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(8, size // CHUNK_INPUT)
 
 
-def _ids(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Numbers 1.. of known words, 0 for others."""
-    if not len(vocabulary):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == h, at + 1, 0)
+def _scores(rows: DataFrame, chunks: int) -> DataFrame:
+    """Scores of the asked ones of ``rows`` (doc_id, text, is_target, counted, asked) by models of the counted ones."""
+    common.arrow_batches(rows.sparkSession)
+    deal = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(chunks))
+    rows = rows.withColumn("chunk", deal)
+    messages = rows.groupBy("chunk").applyInArrow(_send, "bucket int, chunk long, data binary")
+    answers = messages.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, data binary, words long, tokens long, target long")
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
 
 
-def _pairs(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context, bucket of context and word); a text's first word follows word number -1."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[first[:-1][np.diff(first) > 0]] = -1
-    key = common.mix((before + 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64))
-    return before, (key % np.uint64(BUCKETS)).astype(np.int64)
+def _rows(docs: DataFrame, target, counted: bool, asked: bool) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(target, F.lit(False)).alias("is_target"), F.lit(counted).alias("counted"), F.lit(asked).alias("asked"))
 
 
 class Models:
-    """Counts of both models: words (by number), contexts and bigram buckets; columns background, target."""
-
-    def __init__(self, vocabulary: np.ndarray, words: np.ndarray, contexts: np.ndarray, pairs: np.ndarray):
-        total = words.sum(0)
-        scale = np.array([total[1] / total[0] if total[1] and total[0] else 1.0, 1.0])
-        self.vocabulary = vocabulary
-        self.contexts, self.pairs = (contexts * scale).astype(np.float32), (pairs * scale).astype(np.float32)
-        size = len(vocabulary) + 1
-        self.words = ((1 - UNIFORM) * words / np.maximum(total, 1) + np.where(total > 0, UNIFORM, 1.0) / size).astype(np.float32)
-
-    def losses(self, first: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """(texts, 2) summed losses."""
-        ids = _ids(self.vocabulary, h)
-        context, bucket = _pairs(ids, first)
-        seen = self.contexts[context + 1]
-        # hashed buckets can only exceed the context's count by collisions
-        share = np.minimum(self.pairs[bucket], seen) / np.maximum(seen, 1e-9)
-        weight = seen / (seen + PRIOR)
-        loss = -np.log(weight * share + (1 - weight) * self.words[ids])
-        out = np.zeros((len(first) - 1, 2))
-        some = np.flatnonzero(np.diff(first))
-        if len(some):
-            out[some] = np.add.reduceat(loss.astype(np.float64), first[:-1][some])
-        return out
+    """Models of the documents ``docs`` (columns text and is_target); counted when they are used."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs = docs
 
 
 def fit(docs: DataFrame) -> Models:
     """Models from columns text and is_target."""
-    spark = docs.sparkSession
-    common.arrow_batches(spark)
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word").toArrow()
-    vocabulary = np.sort(top["word"].to_numpy().astype(np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast(vocabulary)
-    size = len(vocabulary) + 1
-
-    def run(batches):
-        vocabulary = shared.value
-        words, contexts, pairs = np.zeros((size, 2), np.int64), np.zeros((size + 1, 2), np.int64), np.zeros((BUCKETS, 2), np.int64)
-        for batch in batches:
-            target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for a, b, first, h in _texts(batch):
-                ids = _ids(vocabulary, h)
-                context, bucket = _pairs(ids, first)
-                wanted = np.repeat(target[a:b], np.diff(first))
-                for k, on in enumerate((slice(None), wanted)):
-                    words[:, k] += np.bincount(ids[on], minlength=size)
-                    contexts[:, k] += np.bincount(context[on] + 1, minlength=size + 1)
-                    pairs[:, k] += np.bincount(bucket[on], minlength=BUCKETS)
-        for kind, table in enumerate((words, contexts, pairs)):
-            at = np.flatnonzero(table[:, 0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(table[at, 0]), pa.array(table[at, 1])], ["kind", "at", "n", "n_target"])
-
-    rows = docs.select("text", "is_target").mapInArrow(run, "kind int, at long, n long, n_target long")
-    rows = rows.groupBy("kind", "at").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()
-    kind, at = rows["kind"].to_numpy(), rows["at"].to_numpy()
-    both = np.stack([rows["n"].to_numpy(), rows["n_target"].to_numpy()], 1)
-    tables = []
-    for k, length in enumerate((size, size + 1, BUCKETS)):
-        table = np.zeros((length, 2))
-        table[at[kind == k]] = both[kind == k]
-        tables.append(table)
-    return Models(vocabulary, *tables)
+    return Models(docs)
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
     """doc_id, n_tokens, loss_target and loss_background (means over tokens) and score of every row."""
-    common.arrow_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    known = models.docs if "doc_id" in models.docs.columns else models.docs.withColumn("doc_id", F.xxhash64("text"))
+    rows = _rows(known, F.col("is_target"), True, False).union(_rows(docs, F.lit(False), False, True))
+    return _scores(rows, max(_chunks(docs), _chunks(known)))
 
-    def run(batches):
-        for batch in batches:
-            for a, b, first, h in _texts(batch):
-                n = np.diff(first)
-                mean = shared.value.losses(first, h) / np.maximum(n, 1)[:, None]
-                none = n == 0
-                columns = [mean[:, 1], mean[:, 0], mean[:, 1] - mean[:, 0]]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(n), *(pa.array(c, mask=none) for c in columns)], ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
 
-    return docs.select("text", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+def score_all(docs: DataFrame, chunks: int) -> DataFrame:
+    """``score`` of the rows of ``docs`` (doc_id, text, is_target) by the models of these rows."""
+    return _scores(_rows(docs, F.col("is_target"), True, True), chunks)
 
 
 def labelled_target(docs: DataFrame, labels: DataFrame, limit: int = TARGETS) -> DataFrame:
@@ -176,4 +201,4 @@ def labelled_target(docs: DataFrame, labels: DataFrame, limit: int = TARGETS) ->
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    return score(docs, fit(labelled_target(docs, common.table(spark, sf_dir, "labels"))))
+    return score_all(labelled_target(docs, common.table(spark, sf_dir, "labels")), _chunks(docs))

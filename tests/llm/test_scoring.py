@@ -61,3 +61,15 @@ def test_separates_labels(spark):
     good = [rows[r["doc_id"]] for r in labels if r["quality"] == 1 and r["toxic"] == 0 and rows.get(r["doc_id"]) is not None]
     bad = [rows[r["doc_id"]] for r in labels if r["quality"] == 0 and rows.get(r["doc_id"]) is not None]
     assert np.mean(good) < np.mean(bad)
+
+
+def test_rare_words(spark):
+    """Words beyond any fixed vocabulary, and as many distinct bigrams, keep counts of their own."""
+    n = 70_000
+    rows = [(k, f"r{k} s{k}", k % 2 == 0) for k in range(n)] + [(n, "r1 s1 r1 s1", False), (n + 1, "r2 s5", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, is_target boolean")
+    got = {r[0]: tuple(r)[1:] for r in scoring.score(docs, scoring.fit(docs)).collect()}
+    want = brute(rows)
+    assert got.keys() == want.keys()
+    for i in want:
+        assert all(abs(a - b) < 1e-5 for a, b in zip(got[i], want[i])), (i, got[i], want[i])
