@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +32,6 @@ from . import common
 PRIOR, UNIFORM = 20.0, 0.05
 #: Ranges of hashes (a power of two), and bytes of input tables in a chunk of documents.
 BUCKETS, CHUNK_INPUT = 2048, 4 << 20
-#: Labelled documents that may form the target.
-TARGETS = 20_000
 
 _SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 _START, _WORD, _ODD = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95), np.uint64(1)
@@ -88,7 +87,9 @@ def _send(table: pa.Table) -> pa.Table:
     last = word[first[1:][some] - 1]
     counts = np.zeros((4, len(keys)), np.int64)
     counted = table["counted"].to_numpy(zero_copy_only=False).astype(bool)
-    for k, rows in enumerate((counted, counted & table["is_target"].to_numpy(zero_copy_only=False).astype(bool))):
+    labelled = pc.is_in(table["doc_id"], table["doc_id"].filter(table["is_label"]).combine_chunks())
+    target = pc.or_(table["is_target"], labelled).to_numpy(zero_copy_only=False).astype(bool)
+    for k, rows in enumerate((counted, counted & target)):
         on = np.repeat(rows, length)
         counts[k] = np.bincount(word[on], minlength=len(keys)) + np.bincount(pair[on], minlength=len(keys))
         counts[k, start] = np.count_nonzero(rows & some)
@@ -154,7 +155,7 @@ def _chunks(docs: DataFrame) -> int:
 
 
 def _scores(rows: DataFrame, chunks: int) -> DataFrame:
-    """Scores of the asked ones of ``rows`` (doc_id, text, is_target, counted, asked) by models of the counted ones."""
+    """Scores of the asked ones of ``rows`` (doc_id, text, is_target, is_label, counted, asked) by models of the counted ones."""
     common.arrow_batches(rows.sparkSession)
     deal = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(chunks))
     rows = rows.withColumn("chunk", deal)
@@ -164,7 +165,9 @@ def _scores(rows: DataFrame, chunks: int) -> DataFrame:
 
 
 def _rows(docs: DataFrame, target, counted: bool, asked: bool) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(target, F.lit(False)).alias("is_target"), F.lit(counted).alias("counted"), F.lit(asked).alias("asked"))
+    label = F.col("is_label") if "is_label" in docs.columns else F.lit(False)
+    kept = [F.coalesce(target, F.lit(False)).alias("is_target"), label.alias("is_label"), F.lit(counted).alias("counted"), (F.lit(asked) & ~label).alias("asked")]
+    return docs.select(F.col("doc_id").cast("long"), "text", *kept)
 
 
 class Models:
@@ -175,7 +178,7 @@ class Models:
 
 
 def fit(docs: DataFrame) -> Models:
-    """Models from columns text and is_target."""
+    """Models from columns text and is_target; with a column is_label, its rows make targets of all rows of their doc_id."""
     return Models(docs)
 
 
@@ -191,12 +194,14 @@ def score_all(docs: DataFrame, chunks: int) -> DataFrame:
     return _scores(_rows(docs, F.col("is_target"), True, True), chunks)
 
 
-def labelled_target(docs: DataFrame, labels: DataFrame, limit: int = TARGETS) -> DataFrame:
-    """``docs`` (doc_id, text) with is_target: labelled good and not toxic; at most ``limit`` ids, drawn by hash."""
-    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    drawn = good.orderBy(F.xxhash64("__id"), "__id").limit(limit).withColumn("is_target", F.lit(True))
-    rows = docs.select("doc_id", "text")
-    return rows.join(F.broadcast(drawn), rows["doc_id"] == drawn["__id"], "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+def labelled_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text), and a row with is_label for each id that is labelled good and not toxic.
+
+    Documents meet the label rows of their ids in their chunk, so texts are not moved for a join.
+    """
+    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.lit(False).alias("is_target"), F.lit(False).alias("is_label"))
+    return rows.union(good.select("doc_id", F.lit(None).cast("string"), F.lit(True), F.lit(True)))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,17 @@ def test_rare_words(spark):
     assert got.keys() == want.keys()
     for i in want:
         assert all(abs(a - b) < 1e-5 for a, b in zip(got[i], want[i])), (i, got[i], want[i])
+
+
+def test_every_labelled_document_is_target(spark):
+    """More good labels than any cap, repeated, of unknown documents and of toxic ones."""
+    n = 21_000
+    texts = [(k, f"good w{k % 50} w{k % 7}") for k in range(n)] + [(n + k, f"bad w{k % 11}") for k in range(500)] + [(None, "good w1")]
+    labels = [(k, 1, 0 if k % 2 else None) for k in range(n)] + [(1, 1, 0), (None, 1, 0), (10**9, 1, 0)] + [(n + k, k % 2, 1) for k in range(500)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    marked = scoring.labelled_target(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r[0]: tuple(r)[1:] for r in scoring.score(docs, scoring.fit(marked)).collect()}
+    want = brute([(k, t, k is not None and k < n) for k, t in texts])
+    assert got.keys() == want.keys()
+    for i in want:
+        assert all(abs(a - b) < 1e-5 for a, b in zip(got[i], want[i])), (i, got[i], want[i])
