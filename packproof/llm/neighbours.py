@@ -5,8 +5,11 @@ ids that an answer can need. The graph starts from sorted stretches of random hy
 codes, within which all vectors are compared, so no stretch grows with the data. NN-descent
 then joins, for every node, its neighbours and reverse neighbours with each other and
 keeps each node's nearest; reverse lists of popular nodes are dealt over several groups
-instead of being cut. Queries walk the graph greedily from their own node with a beam.
-Graph work uses half-precision unit vectors; the beam is scored again in double
+instead of being cut. Rounds go on until at most CHANGED of the list entries are new. Queries walk
+the graph greedily from their own node with a beam, until all of the beam is opened.
+Nodes are numbered by their smallest id, so that ties go to it in lists, beams and answers.
+Graph work uses half-precision unit vectors, whose products are summed without rounding, so
+that a pair has one similarity wherever it is compared; the beam is scored again in double
 precision on the original vectors.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, as
@@ -24,21 +27,23 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Neighbours of a node; starting orders; vectors compared in one stretch; NN-descent rounds.
-DEGREE, TREES, STRETCH, ROUNDS = 20, 12, 2048, 2
-#: Reverse neighbours that are joined in one group; beam, nodes opened in a step, steps of a search.
-GROUP, BEAM, OPENED, STEPS = 48, 96, 40, 4
+#: Neighbours of a node; starting orders; vectors compared in one stretch.
+DEGREE, TREES, STRETCH = 20, 12, 2048
+#: Share of list entries that a last NN-descent round may have changed.
+CHANGED = 0.001
+#: Reverse neighbours that are joined in one group; beam, nodes opened in a step of a search.
+GROUP, BEAM, OPENED = 48, 96, 40
 LIST = "array<struct<far:float,node:long>>"
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
     """(n, d) of a fixed-width binary column of half floats."""
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), -1).astype(np.float32) if rows else np.zeros((0, 1), np.float32)
+    return np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), -1).astype(np.float64) if rows else np.zeros((0, 1))
 
 
 def nodes(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct vectors (node: their smallest id, vec, unit) and members (node, vec_id): at most k + 1 of each."""
+    """Distinct vectors (node: numbers in the order of their smallest ids, vec, unit) and members (node, vec_id): at most k + 1 of each."""
 
     def run(batches):
         for batch in batches:
@@ -61,11 +66,12 @@ def nodes(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
                 v = np.frombuffer(raw, np.float64)
                 v = v / np.abs(v).max()
                 units.append((v / np.sqrt(v @ v)).astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64())), pa.array([x[0] for x in lists], pa.int64()), pa.array(units, pa.binary())], ["vec", "ids", "node", "unit"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64())), pa.array(units, pa.binary())], ["vec", "ids", "unit"])
 
-    full = rows.groupBy("vec").agg(F.collect_set("vec_id").alias("ids")).mapInArrow(least, "vec binary, ids array<long>, node long, unit binary")
-    # an id with two vectors would name two nodes: number those apart
-    full = full.withColumn("node", F.xxhash64("vec"))
+    full = rows.groupBy("vec").agg(F.collect_set("vec_id").alias("ids")).mapInArrow(least, "vec binary, ids array<long>, unit binary")
+    # an id with two vectors would name two nodes: number those apart, in order
+    order = [F.col("ids")[0], F.col("vec")]
+    full = full.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id())
     full = common.materialise(full, "nodes")
     return full.select("node", "vec", "unit"), full.select("node", F.explode("ids").alias("vec_id"))
 
@@ -103,10 +109,10 @@ def start(units: DataFrame, degree: int) -> DataFrame:
                 planes = np.random.default_rng(tree).normal(size=(x.shape[1], 17)).astype(np.float32)
                 side = x @ planes
                 code = ((side[:, :16] > 0) << np.arange(15, -1, -1)).sum(1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(x), tree, np.int32)), pa.array(code.astype(np.int32)), pa.array(side[:, 16])], ["node", "unit", "tree", "code", "side"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(x), tree, np.int32)), pa.array(code.astype(np.int32)), pa.array(side[:, 16].astype(np.float32))], ["node", "unit", "tree", "code", "side"])
 
     def flushed(ids: np.ndarray, x: np.ndarray):
-        sim = x @ x.T
+        sim = (x @ x.T).astype(np.float32)
         np.fill_diagonal(sim, -2)
         top = min(degree, len(ids) - 1)
         best = np.argpartition(-sim, top - 1, axis=1)[:, :top]
@@ -155,8 +161,8 @@ def improve(graph: DataFrame, units: DataFrame, degree: int) -> DataFrame:
             ids, worst, x = entries.field(0).to_numpy(), entries.field(1).to_numpy(), _vectors(entries.field(2))
             a_out, b_out, s_out = [], [], []
             for p, q in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                sim = x[p:q] @ x[p:q].T
-                a, b = np.nonzero(-sim < worst[p:q, None])
+                sim = (x[p:q] @ x[p:q].T).astype(np.float32)
+                a, b = np.nonzero(-sim <= worst[p:q, None])
                 off = a != b
                 a, b = a[off], b[off]
                 a_out.append(ids[p + a]), b_out.append(ids[p + b]), s_out.append(sim[a, b])
@@ -167,19 +173,23 @@ def improve(graph: DataFrame, units: DataFrame, degree: int) -> DataFrame:
     return nearest(graph.select("node", "near").union(better), degree)
 
 
-def build(units: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
+def build(units: DataFrame, degree: int = DEGREE) -> DataFrame:
     """The neighbour graph: node, near (array of far = -cosine and node)."""
     graph = common.materialise(start(units, degree), "graph")
-    for _ in range(rounds):
-        graph = common.materialise(improve(graph, units, degree), "graph")
-    return graph
+    while True:
+        before, graph = graph, common.materialise(improve(graph, units, degree), "graph")
+        lists = graph.join(before.select("node", F.col("near.node").alias("old")), "node")
+        fresh = F.size(F.array_except("near.node", "old"))
+        new, entries = lists.agg(F.sum(fresh), F.sum(F.size("near"))).first()
+        if (new or 0) <= CHANGED * (entries or 0):
+            return graph
 
 
 def walk(graph: DataFrame, units: DataFrame, queries: DataFrame) -> DataFrame:
-    """query (a node), node: the beam after greedy steps from each query's own node.
+    """query (a node), node: the beam when greedy steps from each query's own node have opened all of it.
 
     A step opens the nearest nodes of each beam, brings their neighbours' vectors to the
-    query, and keeps the nearest of all. What a query has seen is bounded by the steps.
+    query, and keeps the nearest of all.
     """
     far = units.select(F.col("node").alias("other"), "unit")
     adjacent = graph.select("node", F.explode("near.node").alias("other")).join(far, "other").groupBy("node").agg(F.collect_list(F.struct("other", "unit")).alias("next"))
@@ -195,19 +205,20 @@ def walk(graph: DataFrame, units: DataFrame, queries: DataFrame) -> DataFrame:
                 fresh = {f["other"]: f["unit"] for f in found or [] if f["other"] not in have}
                 if fresh:
                     x = _vectors(pa.array(list(fresh.values()), pa.binary()))
-                    sim = x @ np.frombuffer(head, np.float16).astype(np.float32)
-                    have |= zip(fresh, (-sim.astype(np.float64)).tolist())
+                    sim = x @ np.frombuffer(head, np.float16).astype(np.float64)
+                    have |= zip(fresh, (-sim).tolist())
                 best = sorted((d, n) for n, d in have.items())[: BEAM + 1]
                 rows.append((query, head, [{"far": d, "node": n} for d, n in best], [*opened, *go]))
             kinds = [pa.int64(), pa.binary(), pa.list_(pa.struct([("far", pa.float64()), ("node", pa.int64())])), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["query", "head", "beam", "opened"])
 
-    for _ in range(STEPS):
+    while True:
         go = F.slice(F.filter(F.col("beam.node"), lambda n: ~F.array_contains("opened", n)), 1, OPENED)
         turn = common.materialise(beams.withColumn("go", go), "beams")
+        if turn.filter(F.size("go") > 0).isEmpty():
+            return turn.select("query", F.explode("beam.node").alias("node"))
         found = turn.select("query", F.explode("go").alias("node")).join(adjacent, "node").groupBy("query").agg(F.flatten(F.collect_list("next")).alias("found"))
         beams = turn.join(found, "query", "left").select("query", "head", "beam", "opened", "go", "found").mapInArrow(step, state)
-    return beams.select("query", F.explode("beam.node").alias("node"))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -224,7 +235,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             rows = [(i, (np.array(r, np.float64) + 0.0).tobytes()) for i, r in zip(*(c.to_pylist() for c in batch.columns)) if r and None not in r and np.isfinite(r).all() and np.any(r)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["query_id", "vec"])
 
-    own = common.materialise(asked.mapInArrow(keyed, "query_id long, vec binary").select("query_id", F.xxhash64("vec").alias("query")).distinct(), "queries")
+    own = asked.mapInArrow(keyed, "query_id long, vec binary").join(full.select("vec", F.col("node").alias("query")), "vec")
+    own = common.materialise(own.select("query_id", "query").distinct(), "queries")
     found = walk(graph, units, own.select(F.col("query").alias("node")).distinct())
 
     def exact(batches):

@@ -58,3 +58,14 @@ def test_recall(spark):
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     hits = sum(len(got[q] & {i for i, _ in v}) for q, v in want.items())
     assert hits >= 0.95 * sum(map(len, want.values()))
+
+
+def test_ties_go_to_smaller_ids(spark):
+    """Sixty multiples of one vector tie exactly; more than a neighbour list or an answer holds."""
+    rng = random.Random(2)
+    v = [rng.gauss(0, 1) for _ in range(8)]
+    rows = [((37 * i) % 60, [c * 2.0 ** (i - 30) for c in v]) for i in range(60)]
+    rows += [(100 + i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(100)]
+    got = run(spark, rows, 10)
+    for q in range(0, 60, 10):
+        assert [i for i, _ in got[q]] == [i for i in range(6) if i != q][:5], q
