@@ -8,10 +8,15 @@ over the words of labelled texts give expected piece counts.
 
 Words are runs without white space, in lower case, with everything but letters taken
 out; a word's likelihoods are computed once per worker and kept while the cache lasts.
+Words of like length go through the sums together: at every start a trie of the whole
+vocabulary is followed for all of them at once. Words of any length are summed; those over
+LONG bytes are rescaled at every position.
 
 Learning reads a sample of about ``per_language`` labelled documents of each language,
 drawn by a hash of ``doc_id`` (a documented bound: word statistics of a few thousand
-documents settle the model). Prediction reads every whole text. Its inputs are texts only.
+documents settle the model), and words over CUT bytes in parts of that size. The LANGUAGES
+most frequent values of ``lang`` are learned. Prediction reads every whole text. Its inputs
+are texts only.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if
 nothing could be learned; ties between languages go to the first in code-point order;
@@ -32,9 +37,11 @@ from pyspark.sql import types as T
 
 from . import bpe, common
 
-#: Longest piece in bytes; scores are kept for so many words; words longer than LONG are scored one by one.
-PIECE, CACHE, LONG = 8, 600_000, 48
-PER_LANGUAGE, ROUNDS = 3000, 3
+#: Scores are kept for so many words; words longer than LONG bytes are rescaled; learning cuts words at CUT bytes.
+CACHE, LONG, CUT = 600_000, 48, 4096
+#: Words, and bytes of them, that are summed at a time.
+TOGETHER, BYTES = 5000, 1 << 19
+PER_LANGUAGE, ROUNDS, LANGUAGES = 3000, 3, 256
 
 
 def letters(word: str) -> bytes:
@@ -45,94 +52,152 @@ def letters(word: str) -> bytes:
     return b" " + word.encode("utf-8", "ignore") if word else b""
 
 
+class Pieces:
+    """Numbered pieces, and a trie of those that lower-case words can hold: node 0 is dead, node 1 the root."""
+
+    def __init__(self, pieces: dict[bytes, int]):
+        self.number, self.size = pieces, np.array([len(p) for p in pieces])
+        able = [p for p in pieces if p == p.lower() and all(c >= 97 or c == 32 for c in p)]
+        children: dict[tuple[int, int], int] = {}
+        ends = []
+        for piece in able:
+            node = 1
+            for byte in piece:
+                node = children.setdefault((node, byte), len(children) + 2)
+            ends.append(node)
+        self.column = np.zeros(256, np.uint8)  # column 0 is for bytes that no piece has
+        used = sorted({byte for _, byte in children})
+        self.column[used] = np.arange(1, len(used) + 1)
+        self.width = len(used) + 1
+        self.step = np.zeros((len(children) + 2) * self.width, np.int32)
+        keys = np.array(list(children) or [(0, 0)], np.int64)
+        self.step[keys[:, 0] * self.width + self.column[keys[:, 1]]] = np.array(list(children.values()) or [0], np.int32)
+        self.longest = max(map(len, able), default=0)
+        self.piece = np.full(len(children) + 2, -1, np.int32)
+        self.piece[ends] = [pieces[p] for p in able]
+
+    def __len__(self) -> int:
+        return len(self.number)
+
+
 @functools.cache
-def vocabulary(path: str) -> dict[bytes, int]:
-    """Pieces of at most PIECE bytes, numbered; every single byte is one of them."""
-    return {p: k for k, p in enumerate(sorted(p for p in bpe.load_ranks(path) if len(p) <= PIECE))}
-
-
-def lattice(words: list[bytes], pieces: dict[bytes, int]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-    """For each end position and piece length: the words that have such a piece, and its number."""
-    longest = max(map(len, words))
-    rows = [[([], []) for _ in range(PIECE)] for _ in range(longest + 1)]
-    get = pieces.get
-    for w, word in enumerate(words):
-        n = len(word)
-        for start in range(n):
-            for size in range(1, min(PIECE, n - start) + 1):
-                if (piece := get(word[start : start + size])) is not None:
-                    at = rows[start + size][size - 1]
-                    at[0].append(w)
-                    at[1].append(piece)
-    return [[(np.array(a, np.int64), np.array(b, np.int64)) for a, b in row] for row in rows]
-
-
-def forward(words: list[bytes], edges, probability: np.ndarray) -> np.ndarray:
-    """Summed probability of all segmentations of every prefix: (words, positions, languages)."""
-    alpha = np.zeros((len(words), len(edges), probability.shape[1]))
-    alpha[:, 0] = 1
-    for end, row in enumerate(edges):
-        for size, (w, piece) in enumerate(row, 1):
-            if len(w):
-                alpha[w, end] += alpha[w, end - size] * probability[piece]
-    return alpha
-
-
-def log_long(word: bytes, pieces: dict[bytes, int], probability: np.ndarray) -> np.ndarray:
-    """Log-likelihood of one long word, rescaled at every position."""
-    scale = np.zeros(probability.shape[1])
-    alpha = [np.ones(probability.shape[1])]
-    for end in range(1, len(word) + 1):
-        total = np.zeros(probability.shape[1])
-        for size in range(1, min(PIECE, end) + 1):
-            if (piece := pieces.get(word[end - size : end])) is not None:
-                total += alpha[-size] * probability[piece]
-        scale += np.log(total)
-        alpha = [a / total for a in alpha[-PIECE:]] + [np.ones_like(total)]
-    return scale
-
-
-def log_likelihoods(words: list[bytes], pieces: dict[bytes, int], probability: np.ndarray) -> np.ndarray:
+def vocabulary(path: str) -> Pieces:
+    """All pieces, in order; every single byte is one of them."""
+    return Pieces({p: k for k, p in enumerate(sorted(bpe.load_ranks(path)))})
+
+
+def together(words: list[bytes]):
+    """Places of words, longest first, in groups of like length; empty words are in none."""
+    order = sorted((k for k, w in enumerate(words) if w), key=lambda k: -len(words[k]))
+    while order:
+        n = max(1, min(TOGETHER, BYTES // len(words[order[0]])))
+        if len(words[order[0]]) > LONG:  # rescaled ones by themselves
+            n = min(n, next((k for k, w in enumerate(order) if len(words[w]) <= LONG), n))
+        yield order[:n]
+        order = order[n:]
+
+
+def forward(words: list[bytes], pieces: Pieces, probability: np.ndarray, keep: bool = False):
+    """Log of the summed probability of all segmentations of each word, (words, languages); words come longest first.
+
+    With ``keep`` also what ``expected_counts`` needs: by position the (words, languages) sums,
+    their logs where rescaled, and the edges (start, words, pieces, end).
+    """
+    n, longest = len(words), len(words[0])
+    sizes = np.array([len(w) for w in words])
+    grid = np.zeros((longest, n), np.uint8)
+    grid.T[np.arange(longest) < sizes[:, None]] = pieces.column[np.frombuffer(b"".join(words), np.uint8)]
+    living = n - np.searchsorted(sizes[::-1], np.arange(longest), "right")  # words longer than each position
+    shape = (n, probability.shape[1])
+    alpha, scale, edges = {0: np.ones(shape)}, np.zeros(shape), []
+    logs, out, scaled = [], np.zeros(shape), longest > LONG
+    for start in range(longest + 1):
+        own = alpha.setdefault(start, np.zeros(shape))
+        if scaled and start:
+            total = np.where(own > 0, own, 1.0)
+            scale += np.log(total)
+            own = alpha[start] = own / total
+            for end in range(start + 1, start + pieces.longest):
+                if end in alpha:
+                    alpha[end] /= total
+        if keep:
+            logs.append(scale.copy() if scaled else None)
+        done = slice(living[start] if start < longest else 0, living[start - 1] if start else 0)
+        with np.errstate(divide="ignore"):
+            out[done] = np.log(own[done]) + scale[done]
+        if start == longest:
+            break
+        live = np.arange(living[start])
+        node = pieces.step[pieces.width + grid[start, : len(live)].astype(np.int64)].astype(np.int64)
+        end = start + 1
+        while True:
+            alive = np.flatnonzero(node)
+            if len(alive) < len(live):
+                live, node = live[alive], node[alive]
+            if not len(live):
+                break
+            piece = pieces.piece[node]
+            hit = np.flatnonzero(piece >= 0)
+            if len(hit):
+                at, piece = (live, piece) if len(hit) == len(live) else (live[hit], piece[hit])
+                if end not in alpha:
+                    alpha[end] = np.zeros(shape)
+                alpha[end][at] += own[at] * probability[piece]
+                if keep:
+                    edges.append((start, at, piece, end))
+            if end == longest:
+                break
+            node = pieces.step[node * pieces.width + grid[end, live]].astype(np.int64)
+            end += 1
+        if not keep:
+            del alpha[start]
+    return (out, alpha, logs, edges) if keep else out
+
+
+def log_likelihoods(words: list[bytes], pieces: Pieces, probability: np.ndarray) -> np.ndarray:
     """(words, languages) log-likelihoods; an empty word gives 0."""
     out = np.zeros((len(words), probability.shape[1]))
-    by_size: dict[int, list[int]] = {}
-    for k, word in enumerate(words):
-        if len(word) > LONG:
-            out[k] = log_long(word, pieces, probability)
-        elif word:
-            by_size.setdefault(-(-len(word) // 8), []).append(k)
-    for group in by_size.values():
-        for a in range(0, len(group), 20_000):
-            part = group[a : a + 20_000]
-            these = [words[k] for k in part]
-            alpha = forward(these, lattice(these, pieces), probability)
-            out[part] = np.log(alpha[np.arange(len(part)), [len(w) for w in these]])
+    for group in together(words):
+        out[group] = forward([words[k] for k in group], pieces, probability)
     return out
 
 
-def expected_counts(words: list[bytes], counts: np.ndarray, pieces: dict[bytes, int], probability: np.ndarray) -> np.ndarray:
+def expected_counts(words: list[bytes], counts: np.ndarray, pieces: Pieces, probability: np.ndarray) -> np.ndarray:
     """Expected use of each piece, (pieces, languages), given each word's count by language."""
     out = np.zeros_like(probability)
-    for a in range(0, len(words), 20_000):
-        part, weight = words[a : a + 20_000], counts[a : a + 20_000]
-        edges = lattice(part, pieces)
-        alpha = forward(part, edges, probability)
-        beta = np.zeros_like(alpha)
+    for group in together(words):
+        part = [words[k] for k in group]
+        _, alpha, logs, edges = forward(part, pieces, probability, True)
+        passed = {}  # by position: how often a segmentation stops there, over the sum up to there
         sizes = np.array([len(w) for w in part])
-        beta[np.arange(len(part)), sizes] = 1
-        total = alpha[np.arange(len(part)), sizes]
-        for end in range(len(edges) - 1, 0, -1):
-            for size, (w, piece) in enumerate(edges[end], 1):
-                if len(w):
-                    beta[w, end - size] += beta[w, end] * probability[piece]
-                    use = weight[w] * alpha[w, end - size] * probability[piece] * beta[w, end] / total[w]
-                    np.add.at(out, piece, use)
+        for size in np.unique(sizes).tolist():
+            on = sizes == size
+            passed[size] = np.where(on[:, None], counts[group], 0.0)
+        at, uses, ready = [], [], set()
+        for start, row, piece, end in reversed(edges):
+            if end not in passed:
+                continue
+            if end not in ready:  # all edges out of ``end`` are done
+                ready.add(end)
+                passed[end] /= np.where(alpha[end] > 0, alpha[end], 1.0)
+            use = alpha[start][row] * probability[piece] * passed[end][row]
+            if logs[end] is not None:
+                use *= np.exp(logs[start][row] - logs[end][row])
+            at.append(piece)
+            uses.append(use)
+            if start not in passed:
+                passed[start] = np.zeros_like(alpha[start])
+            passed[start][row] += use
+        if at:
+            at, uses = np.concatenate(at), np.concatenate(uses)
+            for k in range(out.shape[1]):
+                out[:, k] += np.bincount(at, uses[:, k], len(out))
     return out
 
 
-def normalised(counts: np.ndarray, pieces: dict[bytes, int]) -> np.ndarray:
+def normalised(counts: np.ndarray, pieces: Pieces) -> np.ndarray:
     """Probabilities from counts, smoothed by a little of all languages' mean and of a floor by piece length."""
-    floor = np.array([256.0 ** -(len(p) - 1) for p in pieces])[:, None]
+    floor = 256.0 ** -(pieces.size - 1.0)[:, None]
     mean = counts.sum(1, keepdims=True) / max(counts.sum(), 1)
     own = counts / np.maximum(counts.sum(0), 1)
     out = 0.98 * own + 0.015 * mean + 0.005 * floor / floor.sum()
@@ -151,13 +216,14 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, rounds: int = R
     spark = labelled.sparkSession
     common.arrow_batches(spark)
     good = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    totals = {r[0]: r[1] for r in good.groupBy("lang").count().collect()}  # one row per language
+    frequent = good.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    totals = {r[0]: r[1] for r in frequent.collect()}
     languages = sorted(totals)
     if not languages:
         return Model([], None, path)
     share = F.create_map(*(x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, per_language / totals[lang])))))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000)) / 1e6
-    sample = good.filter(F.isnull("doc_id") | (draw < share[F.col("lang")])).select("lang", "text")
+    sample = good.filter(F.col("lang").isin(languages) & (F.isnull("doc_id") | (draw < share[F.col("lang")]))).select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -167,17 +233,16 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, rounds: int = R
             rows: Counter = Counter()
             for lang, c in found.items():
                 for word, n in c.items():
-                    if (w := letters(word)) and len(w) <= LONG:
-                        rows[lang, w] += n
+                    w = letters(word)
+                    for a in range(0, len(w), CUT):
+                        rows[lang, w[a : a + CUT]] += n
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.binary()), pa.array(rows.values(), pa.int64())], ["lang", "word", "n"])
 
     counts = sample.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = common.materialise(counts, "language-words")
     pieces = vocabulary(path)
     number = {lang: k for k, lang in enumerate(languages)}
-    probability = normalised(np.zeros((len(pieces), len(languages))), pieces)
-    size = np.array([len(p) for p in pieces])
-    probability = np.repeat((0.5 ** (8 * np.minimum(size, 2)) / len(pieces))[:, None], len(languages), 1)  # longer pieces first pay once
+    probability = np.repeat((0.5 ** (8 * np.minimum(pieces.size, 2)) / len(pieces))[:, None], len(languages), 1)  # longer pieces first pay once
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(probability)  # vocabulary x languages
 
@@ -188,10 +253,7 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, rounds: int = R
                 langs, words, n = (c.to_pylist() for c in batch.columns)
                 use = np.zeros((len(words), len(number)))
                 use[np.arange(len(words)), [number[x] for x in langs]] = n
-                order = sorted(range(len(words)), key=lambda k: len(words[k]))
-                for a in range(0, len(order), 5000):
-                    part = order[a : a + 5000]
-                    out += expected_counts([words[k] for k in part], use[part], pieces, shared.value)
+                out += expected_counts(words, use, pieces, shared.value)
             piece, lang = np.nonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(out[piece, lang])], ["piece", "lang", "n"])
 
