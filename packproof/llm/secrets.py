@@ -1,9 +1,9 @@
 """Secret scans over an incremental blob ledger, with DataFrame and SQL functions only.
 
 Every text version is addressed by its content. The ledger holds the pairs of blob and
-rule version that have been scanned, with their findings. A scan reads only blobs that
-miss a rule version, appends to the ledger, and joins findings back to every path
-(row) that holds the blob. Copies are therefore scanned once; map-side aggregation
+rule version that have been scanned, with their findings and the version that made each. A
+scan reads only blobs that miss a rule version, appends to the ledger, and joins findings of
+the wanted versions back to every path (row) that holds the blob. Copies are therefore scanned once; map-side aggregation
 leaves one row per task and blob, so a text that fills a third of the table is no hot key.
 
 Positions come from SQL alone: ``split`` by the pattern gives the gaps between matches
@@ -48,32 +48,40 @@ RULES = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
 )
 BASE = ("assign", "access", "hex")
-LEDGER = "blob binary, rules array<string>, findings array<struct<start:int,kind_no:int,kind:string,end:int>>"
+FOUND = "array<struct<start:int,kind:string,version:int,end:int>>"
+LEDGER = f"blob binary, rules array<string>, findings {FOUND}"
+#: Matches of a text are numbered in blocks of this size, so that no growing array is copied for every match.
+BLOCK = 256
 
 
-def _spans(text: Column, rule: Rule, number: int) -> Column:
-    """array<struct<start, kind_no, kind, end>> of one rule."""
-    pattern = F.lit(rule.pattern)
-    match = F.regexp_extract_all(text, pattern, F.lit(0))
-    kept = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else match
-    pieces = F.arrays_zip(F.split(text, rule.pattern).alias("gap"), match.alias("match"), kept.alias("kept"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind_no:int,kind:string,end:int>>").alias("found"))
+def _spans(text: Column, rule: Rule) -> Column:
+    """Spans of one rule in a text, from the lengths of gaps and matches, block by block."""
+    match = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    kept = (lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group))) if rule.group else F.length
+    sizes = F.zip_with(F.split(text, rule.pattern), match, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), kept(m).alias("kept")))
+    pieces = F.filter(sizes, lambda p: p["size"].isNotNull())  # the gap after the last match has none
+    blocks = F.transform(F.sequence(F.lit(0), F.size(pieces).cast("int"), F.lit(BLOCK)), lambda k: F.slice(pieces, k + 1, F.lit(BLOCK)))
+    total = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, p: s + p["gap"] + p["size"]))
+    begins = F.aggregate(total, F.array(F.lit(0)), lambda s, t: F.concat(s, F.array(F.element_at(s, -1) + t)))
 
-    def step(state: Column, piece: Column) -> Column:
-        begin = state["at"] + F.length(piece["gap"])
-        end = begin + F.coalesce(F.length(piece["match"]), F.lit(0))
-        one = F.struct(begin.alias("start"), F.lit(number).alias("kind_no"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        good = F.length(piece["kept"]) >= rule.least
-        return F.struct(end.alias("at"), F.when(good, F.concat(state["found"], F.array(one))).otherwise(state["found"]).alias("found"))
+    def inside(block: Column, begin: Column) -> Column:
+        def step(state: Column, p: Column) -> Column:
+            at = state["at"] + p["gap"]
+            one = F.struct(at.alias("start"), F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), (at + p["size"]).alias("end"))
+            return F.struct((at + p["size"]).alias("at"), F.when(p["kept"] >= rule.least, F.concat(state["found"], F.array(one))).otherwise(state["found"]).alias("found"))
 
-    found = F.aggregate(pieces, start, step)["found"]
-    return F.when(F.size(match) > 0, found).otherwise(F.array().cast("array<struct<start:int,kind_no:int,kind:string,end:int>>"))
+        return F.aggregate(block, F.struct(begin.alias("at"), F.array().cast(FOUND).alias("found")), step)["found"]
+
+    return F.flatten(F.zip_with(blocks, F.slice(begins, 1, F.size(blocks)), inside))
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger, empty where there is none yet."""
     try:
         return spark.read.schema(LEDGER).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], LEDGER)
 
 
@@ -82,10 +90,11 @@ def blob_of(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Bring the ledger at ``ledger_path`` up to date with ``docs`` and return its findings, one row per blob.
+    """Bring the ledger at ``ledger_path`` up to date with ``docs`` and return its findings by ``rules``, one row per blob.
 
-    Columns: blob, findings (sorted by start, then rule order). Only unseen pairs of blob
-    and rule version are scanned; the ledger may already hold others.
+    Columns: blob, findings (by start, then rule order). Only unseen pairs of blob and rule
+    version are scanned; the ledger may already hold others, whose findings stay out of the
+    answer. Pairs that two writers have appended at the same time count once.
     """
     spark = docs.sparkSession
     wanted = F.array(*(F.lit(r.key) for r in rules))
@@ -97,12 +106,13 @@ def scan(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) ->
     else:
         todo = texts.join(seen, "blob", "left").withColumn("todo", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))).filter(F.size("todo") > 0)
     text = F.col("text")
-    parts = [F.when(F.array_contains("todo", r.key) & text.rlike(r.pattern), _spans(text, r, k)) for k, r in enumerate(rules)]
-    found = F.array_sort(F.flatten(F.array_compact(F.array(*parts))))
-    todo.select("blob", F.col("todo").alias("rules"), found.alias("findings")).write.mode("append").parquet(ledger_path)
+    parts = [F.when(F.array_contains("todo", r.key) & text.rlike(r.pattern), _spans(text, r)) for r in rules]
+    todo.select("blob", F.col("todo").alias("rules"), F.flatten(F.array_compact(F.array(*parts))).alias("findings")).write.mode("append").parquet(ledger_path)
     now = read_ledger(spark, ledger_path).filter(F.size("findings") > 0)
-    current = F.filter("findings", lambda x: F.array_contains(F.array(*(F.lit(r.kind) for r in rules)), x["kind"]))
-    return now.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(current))).alias("findings"))
+    place = F.create_map(*(x for k, r in enumerate(rules) for x in (F.lit(r.key), F.lit(k))))
+    numbered = F.transform("findings", lambda x: F.struct(x["start"].alias("start"), place[F.concat_ws(":", x["kind"], x["version"].cast("string"))].alias("kind_no"), x["kind"].alias("kind"), x["end"].alias("end")))
+    current = F.filter(numbered, lambda x: x["kind_no"].isNotNull())
+    return now.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(current)))).alias("findings"))
 
 
 def findings(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -141,8 +151,11 @@ def _joined(spans: Column) -> Column:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two increments of one ledger: texts whose address begins with a bit 0, then all documents, of which the others are unseen."""
     docs = common.table(spark, sf_dir, "documents")
-    rows = findings(docs, common.shared_path(spark, "ledger"))
+    ledger = common.shared_path(spark, "ledger")
+    scan(docs.filter(F.substring(F.hex(blob_of(F.col("text"))), 1, 1) < "8"), ledger)
+    rows = findings(docs, ledger)
 
     def count(kind: str) -> Column:
         return F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")

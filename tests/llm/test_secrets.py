@@ -1,8 +1,10 @@
+import dataclasses
 import hashlib
 import random
 import re
 
 import duckdb
+import pytest
 
 from packproof.llm import common, secrets
 
@@ -60,7 +62,36 @@ def test_ledger_is_incremental(spark):
     assert secrets.findings(more.limit(0), path).count() == 0
 
 
+def test_rule_versions(spark):
+    """A raised version replaces its rule's findings; the older version can still be asked for."""
+    path = common.shared_path(spark, "ledger")
+    docs = spark.createDataFrame([(1, "token=abcdefg"), (2, "token=abcdefgh"), (3, "none")], "doc_id long, text string")
+    old = (secrets.RULES[0], secrets.RULES[3])
+    new = (secrets.RULES[3], dataclasses.replace(secrets.RULES[0], version=2, least=8))
+    found = lambda rules: {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["findings"]] for r in secrets.findings(docs, path, rules).collect()}
+    before = {1: [("assign", 0, 13)], 2: [("assign", 0, 14)], 3: []}
+    assert found(old) == before
+    assert found(new) == {1: [], 2: [("assign", 0, 14)], 3: []}
+    assert found(old) == before
+    twice = secrets.read_ledger(spark, path)
+    common.materialise(twice, "copy").write.mode("append").parquet(path)  # as by two writers at once
+    assert found(old) == before
+
+
+def test_many_matches(spark):
+    text = " ".join(f"é token=abcdef{k}" for k in range(3000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = secrets.findings(docs, common.shared_path(spark, "ledger")).first()["findings"]
+    assert [(x["start"], x["end"]) for x in got] == [m.span() for m in ASSIGN.finditer(text)]
+
+
+def test_damaged_ledgers_are_not_taken_for_empty(spark, tmp_path):
+    (tmp_path / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        secrets.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"), str(tmp_path))
+
+
 def test_redact(spark):
-    docs = spark.createDataFrame([(1, "é token=abcdefg end", 5), (2, None, None), (3, "ok", 2)], "doc_id long, text string, n_chars long")
+    docs = spark.createDataFrame([(1, "é token=abcdefg end", 5), (2, None, None), (3, "ok", 2), (4, "f" * 24 + "api_key=abcdef x", 0)], "doc_id long, text string, n_chars long")  # overlapping spans go as one
     got = {r[0]: (r[1], r[2]) for r in secrets.redact(docs, common.shared_path(spark, "ledger")).collect()}
-    assert got == {1: ("é [SECRET] end", 14), 2: (None, None), 3: ("ok", 2)}
+    assert got == {1: ("é [SECRET] end", 14), 2: (None, None), 3: ("ok", 2), 4: ("[SECRET] x", 10)}
