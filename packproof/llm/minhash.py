@@ -1,26 +1,28 @@
 """Near-duplicate documents by DartMinHash.
 
-A document is the set of its runs of five words. Each element owns a region of unit width
-(one more per repetition, if weighted by count) in which darts land at hashed ranks, by a
-Poisson process that depends on the element only. A document sees the darts of its
-elements up to a rank that lets it expect K ln K + 2K of them; every dart belongs to one
+A document is the weighted set of its runs of five words, each weighing its count (or one,
+if not ``weighted``). A weight is as many regions of unit width, numbered by repetition, in
+which darts land at hashed ranks, by a Poisson process that depends on the region only. A document sees the darts of its
+regions up to a rank that lets it expect K ln K + 2K of them; every dart belongs to one
 of K coordinates, and a coordinate keeps its earliest dart. Two documents agree in a
-coordinate with probability equal to their (weighted) Jaccard similarity. Coordinates
+coordinate with probability equal to their weighted Jaccard similarity, the sum of lesser
+weights over the sum of greater ones. Coordinates
 without a dart are filled by looking twice as far.
 
-Documents whose element sets are equal collapse to one representative, first within a
-chunk, then by a map-side aggregate. Representatives that agree in a band of four
+Documents whose weighted sets are equal collapse to one numbered representative, first within
+a chunk, then by a map-side aggregate. Representatives that agree in a band of four
 coordinates share a bucket, unless too few of their elements are in any other document of
 a bucket for a partner to exist. A bucket never emits all its pairs: members are compared with
 one pivot, and only buckets that then still hold several components go on, with other
 pivots, until every pair is either in one component or compared. Each pair is verified by
-the Jaccard similarity of its sets, at least THRESHOLD.
+the weighted Jaccard similarity of its sets (64-bit hashes of their regions), at least THRESHOLD.
 
 At similarity 0.8, 20 bands of 4 miss a pair with probability (1 - 0.8^4)^20 < 3e-5.
 
 Cases: a document of one to four words has one element, all its words; null and empty
 texts and rows with null ``doc_id`` have no element and a class of their own; repeated
-rows get the same class; ties go to the smaller ``doc_id``; extra columns are ignored.
+rows get the same class, and ``keep_one`` keeps one of them; a ``doc_id`` with several texts
+links whatever its texts link; ties go to the smaller ``doc_id``; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ _CELLS = [0.0, *(FINE * 2**k for k in range(7))]
 _U = np.uint64
 
 
-def elements(first: np.ndarray, h: np.ndarray, weighted: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def elements(first: np.ndarray, h: np.ndarray, weighted: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(document, element) sorted and distinct; of word hashes ``h`` with first words ``first``."""
     sizes = np.diff(first)
     at = np.arange(len(h))
@@ -155,12 +157,12 @@ def _set_ids(doc: np.ndarray, unit: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return out[0], out[1]
 
 
-def sketches(docs: DataFrame, weighted: bool = False) -> DataFrame:
-    """doc_id, high, low (the element set's identity) and bands; within a chunk only a set's first row has bands."""
+def sketches(docs: DataFrame, weighted: bool = True) -> DataFrame:
+    """doc_id, version (hash of the text), high, low (the set's identity) and bands; within a chunk only a set's first row has bands."""
 
     def run(batches):
         for batch in batches:
-            data, at = common.text_bytes(batch.column(1))
+            data, at = common.text_bytes(batch.column(2))
             for a, b in common.chunks(at):
                 _, _, first, h = common.word_hashes(data, at[a : b + 1])
                 doc, unit = elements(first, h, weighted)
@@ -178,40 +180,45 @@ def sketches(docs: DataFrame, weighted: bool = False) -> DataFrame:
                 sizes[lead] = BANDS
                 order = np.argsort(lead)
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[some])]).astype(np.int32)), pa.array(keys[order].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(some)), pa.array(high[some]), pa.array(low[some]), bands], ["doc_id", "high", "low", "bands"])
+                own = (batch.column(k).slice(a, b - a).take(pa.array(some)) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([*own, pa.array(high[some]), pa.array(low[some]), bands], ["doc_id", "version", "high", "low", "bands"])
 
-    return docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, high long, low long, bands array<long>")
+    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text")
+    return rows.mapInArrow(run, "doc_id long, version long, high long, low long, bands array<long>")
 
 
-def element_sets(docs: DataFrame, ids: DataFrame, weighted: bool = False) -> DataFrame:
-    """doc_id and its elements (array<int>, 32 bits of each) of the documents in ``ids``."""
+def element_sets(docs: DataFrame, sets: DataFrame, weighted: bool = True) -> DataFrame:
+    """node and its regions (array<long>) of the ``sets`` (node, rep, high, low), from the text of each one's ``rep``."""
 
     def run(batches):
         for batch in batches:
-            data, at = common.text_bytes(batch.column(1))
+            data, at = common.text_bytes(batch.column(3))
+            high, low = (batch.column(k).to_numpy() for k in (1, 2))
             for a, b in common.chunks(at):
                 _, _, first, h = common.word_hashes(data, at[a : b + 1])
                 doc, unit = elements(first, h, weighted)
+                own_high, own_low = _set_ids(doc, unit, b - a)
                 edges = np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(edges), pa.array(unit.astype(np.uint32).view(np.int32)))], ["doc_id", "units"])
+                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(unit.view(np.int64)))
+                same = pa.array(np.flatnonzero((own_high == high[a:b]) & (own_low == low[a:b])))  # not another text of that doc_id
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(same), lists.take(same)], ["node", "units"])
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    # rows that repeat a doc_id have the same text; one of them is enough
-    return plain.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, units array<int>").dropDuplicates(["doc_id"])
+    plain = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep is not null and text is not null")
+    return plain.join(sets, "rep").select("node", "high", "low", "text").mapInArrow(run, "node long, units array<long>").dropDuplicates(["node"])
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with j, the Jaccard similarity of their sets."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("units").alias("ua"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("units").alias("ub"))
+    left = sets.select(F.col("node").alias("a"), F.col("units").alias("ua"))
+    right = sets.select(F.col("node").alias("b"), F.col("units").alias("ub"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("ua").alias("na"), F.size("ub").alias("nb"), F.size(F.array_intersect("ua", "ub")).alias("both"))
     return joined.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("j"))
 
 
 def met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with j, ``inside`` (elements of b that a has) and ``mask``, those elements as bits."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("units").alias("ua"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("units").alias("ub"))
+    left = sets.select(F.col("node").alias("a"), F.col("units").alias("ua"))
+    right = sets.select(F.col("node").alias("b"), F.col("units").alias("ub"))
 
     def run(batches):
         for batch in batches:
@@ -231,38 +238,38 @@ def met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def partnered(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n (elements) and m (of them in another set) of the sets that may have a partner: m >= threshold * n.
+    """node, n (regions) and m (of them in another set) of the sets that may have a partner: m >= threshold * n.
 
     Nothing is lost, as a set shares that many elements with any partner. Documents that
     agree in a passage only, however many they are, go before any pair is formed.
     """
-    flat = sets.select("doc_id", F.size("units").alias("n"), F.explode("units").alias("unit"))
+    flat = sets.select("node", F.size("units").alias("n"), F.explode("units").alias("unit"))
     shared = flat.groupBy("unit").agg(F.count("*").alias("m")).filter("m > 1").select("unit")
-    found = flat.join(shared, "unit", "left_semi").groupBy("doc_id", "n").agg(F.count("*").alias("m"))
-    return found.filter(F.col("m") >= threshold * F.col("n") - 1e-6).select("doc_id", "n", "m")
+    found = flat.join(shared, "unit", "left_semi").groupBy("node", "n").agg(F.count("*").alias("m"))
+    return found.filter(F.col("m") >= threshold * F.col("n") - 1e-6).select("node", "n", "m")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """doc_id and comp, the smallest doc_id of its component, for every node of ``edges`` (a, b).
+    """node and comp, the smallest node of its component, for every node of ``edges`` (a, b).
 
     Each round gives every node the smallest label among its neighbours, then the label of
     that label, so that paths shorten by half; labels are a written table between rounds.
     """
     both = common.materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = common.materialise(both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "labels")
+    labels = common.materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "doc_id").select("doc_id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("doc_id").alias("comp"), F.col("comp").alias("jump"))
-        fresh = common.materialise(step.join(jump, "comp", "left").select("doc_id", "old", F.least("comp", "jump").alias("comp")), "labels")
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("jump"))
+        fresh = common.materialise(step.join(jump, "comp", "left").select("node", "old", F.least("comp", "jump").alias("comp")), "labels")
         changed = fresh.filter("old > comp").limit(1).count()
-        labels = fresh.select("doc_id", "comp")
+        labels = fresh.select("node", "comp")
         if not changed:
             return labels
 
 
 def link(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and comp of the members (key, doc_id, n, m) that have a verified link.
+    """node and comp of the members (key, node, n, m) that have a verified link.
 
     At first all members of a bucket meet its pivot: the member with the fewest elements of
     its own, which in a group of edited copies is nearest to all; each keeps a bit mask of
@@ -274,23 +281,23 @@ def link(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> D
     holds members that could still be linked.
     """
     shares = 1
-    best = F.struct((F.col("m") / F.col("n")).alias("whole"), (-F.col("doc_id")).alias("id"))
+    best = F.struct((F.col("m") / F.col("n")).alias("whole"), (-F.col("node")).alias("id"))
 
     def may_be_close(common_: Column, n: Column, other: Column) -> Column:
         return common_ * (1 + threshold) >= threshold * (n + other) - 1e-6
 
     def pivots_of(rows: DataFrame, *carried: str) -> DataFrame:
-        share = F.pmod(F.xxhash64("doc_id"), F.lit(shares)).alias("share")
-        chosen = rows.groupBy("key", share).agg(F.max_by(F.struct("doc_id", *carried), best).alias("p"))
-        return common.materialise(chosen.select("key", F.col("p.doc_id").alias("b"), *(F.col(f"p.{c}").alias(f"{c}_b") for c in carried)), "pivots")
+        share = F.pmod(F.xxhash64("node"), F.lit(shares)).alias("share")
+        chosen = rows.groupBy("key", share).agg(F.max_by(F.struct("node", *carried), best).alias("p"))
+        return common.materialise(chosen.select("key", F.col("p.node").alias("b"), *(F.col(f"p.{c}").alias(f"{c}_b") for c in carried)), "pivots")
 
-    first = members.join(pivots_of(members), "key").filter("doc_id <> b")
-    found = common.materialise(met(first.select(F.col("doc_id").alias("a"), "b").distinct(), sets), "met")
+    first = members.join(pivots_of(members), "key").filter("node <> b")
+    found = common.materialise(met(first.select(F.col("node").alias("a"), "b").distinct(), sets), "met")
     edges = found.filter(F.col("j") >= threshold - 1e-9).select("a", "b")
     comps = components(edges)
-    left = first.withColumnRenamed("doc_id", "a").join(found, ["a", "b"]).select("key", F.col("a").alias("doc_id"), "n", "m", "inside", "mask")
+    left = first.withColumnRenamed("node", "a").join(found, ["a", "b"]).select("key", F.col("a").alias("node"), "n", "m", "inside", "mask")
     while True:
-        now = left.join(comps, "doc_id", "left").select("key", "doc_id", "n", "m", "inside", "mask", F.coalesce("comp", "doc_id").alias("comp"))
+        now = left.join(comps, "node", "left").select("key", "node", "n", "m", "inside", "mask", F.coalesce("comp", "node").alias("comp"))
         now = common.materialise(now, "members")
         open_keys = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("n").alias("least")).filter("x < y").select("key", "least")
         rest = now.join(open_keys, "key").filter(may_be_close(F.col("m"), F.col("n"), F.col("least"))).drop("least")
@@ -301,47 +308,66 @@ def link(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> D
         within = F.aggregate(F.zip_with("mask", "mask_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
         outside = F.least(F.col("m") - F.col("inside"), F.col("m_b") - F.col("inside_b"))
         able = may_be_close(F.least("m", "m_b"), F.col("n"), F.col("n_b")) & may_be_close(within + outside, F.col("n"), F.col("n_b"))
-        own = rest.select(F.col("key").alias("own"), F.col("doc_id").alias("a"), "comp", "n", "m", "inside", "mask")
+        own = rest.select(F.col("key").alias("own"), F.col("node").alias("a"), "comp", "n", "m", "inside", "mask")
         pairs = own.join(pivots, (F.col("own") == F.col("key")) & (F.col("comp") != F.col("comp_b")) & able)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         close = common.materialise(measured(pairs, sets).filter(F.col("j") >= threshold - 1e-9).select("a", "b"), "links")
         if not close.isEmpty():
             edges = edges.union(close)
             comps = components(edges)
-        left = rest.drop("comp").join(pivots.select("key", F.col("b").alias("doc_id")), ["key", "doc_id"], "left_anti")
+        left = rest.drop("comp").join(pivots.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
-    """doc_id and class_id (the smallest doc_id of its class) of every row."""
+def classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = True) -> DataFrame:
+    """doc_id, version and class (a number) of every row that has words."""
     common.arrow_batches(docs.sparkSession)
     rows = common.materialise(sketches(docs, weighted), "sketches")
-    reps = common.materialise(rows.groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.max("bands").alias("bands")), "sets")
-    exploded = reps.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
+    reps = rows.groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.max("bands").alias("bands"))
+    reps = common.materialise(reps.withColumn("node", F.monotonically_increasing_id()), "sets")
+    exploded = reps.select("node", F.explode("bands").alias("key"))
     full = exploded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = common.materialise(exploded.join(full, "key", "left_semi").select("key", "doc_id"), "members")
-    sets = common.materialise(element_sets(docs, members.select("doc_id").distinct(), weighted), "element-sets")
+    members = common.materialise(exploded.join(full, "key", "left_semi").select("key", "node"), "members")
+    some = reps.select("node", "rep", "high", "low").join(members.select("node").distinct(), "node", "left_semi")
+    sets = common.materialise(element_sets(docs, some, weighted), "element-sets")
     for _ in range(PRUNINGS):
         some = common.materialise(partnered(sets, threshold), "partnered")
-        sets = common.materialise(sets.join(some, "doc_id", "left_semi"), "element-sets")
-    members = members.join(some, "doc_id").select("key", "doc_id", "n", "m")
+        sets = common.materialise(sets.join(some, "node", "left_semi"), "element-sets")
+    members = members.join(some, "node").select("key", "node", "n", "m")
     full = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     comps = link(common.materialise(members.join(full, "key", "left_semi"), "members"), sets, threshold)
-    named = reps.join(comps.withColumnRenamed("doc_id", "rep"), "rep", "left").select("high", "low", F.coalesce("comp", "rep").alias("class_id"))
-    own = rows.select("doc_id", "high", "low").join(named, ["high", "low"]).select("doc_id", "class_id")
-    return own
-
-
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
-    """doc_id and class_id of every row of ``docs``; documents without words are a class of their own."""
-    found = classes(docs, threshold, weighted).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    named = reps.join(comps, "node", "left").select("high", "low", F.coalesce("comp", "node").alias("class"))
+    return rows.select("doc_id", "version", "high", "low").join(named, ["high", "low"]).select("doc_id", "version", "class")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = True) -> DataFrame:
+    """doc_id and class_id, the smallest doc_id of its class, of every row of ``docs``; documents without words are a class of their own."""
+    found = common.materialise(classes(docs, threshold, weighted), "classes")
+    twice = found.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b")
+    if not twice.isEmpty():  # a doc_id with several texts is one document: its classes are linked
+        rows = found.join(twice.select("doc_id", "a"), "doc_id")
+        joined = components(rows.filter("a < class").select("a", F.col("class").alias("b"))).withColumnRenamed("node", "class")
+        found = found.join(joined, "class", "left").select("doc_id", F.coalesce("comp", "class").alias("class"))
+    least = found.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    found = found.select("doc_id", "class").distinct().join(least, "class").select("doc_id", "class_id")
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     return every.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that have a smaller one in their class."""
-    extra = classes(docs, threshold).filter("class_id < doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(extra, docs["doc_id"] == extra["__id"], "left_anti")
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = True) -> DataFrame:
+    """One row of each class of ``docs``: the smallest ``doc_id``, and one of rows that repeat its text. Rows without words stay."""
+    found = common.materialise(classes(docs, threshold, weighted), "classes")
+    first = found.groupBy("class").agg(F.min(F.struct("doc_id", "version")).alias("first"))
+    counted = found.groupBy("doc_id", "version", "class").agg(F.count("*").alias("copies"))
+    rest = counted.join(first, "class").select(F.col("doc_id").alias("__id"), F.col("version").alias("__v"), "copies", (F.struct("doc_id", "version") == F.col("first")).alias("is_first"))
+    # most documents are the first of their class and occur once: only the others meet the texts
+    rest = common.materialise(rest.filter("not is_first or copies > 1"), "others")
+    same = (docs["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__v"))
+    alone = docs.join(rest, same, "left_anti")
+    repeated = rest.filter("is_first")
+    if repeated.isEmpty():
+        return alone
+    one = docs.join(repeated.select("__id", "__v"), same).dropDuplicates(["__id", "__v"]).select(*docs.columns)
+    return alone.unionByName(one)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

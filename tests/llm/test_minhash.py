@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -7,14 +8,17 @@ from packproof.llm import common, minhash
 
 def shingles(text):
     w = (text or "").split()
-    return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    return Counter([tuple(w)] if 0 < len(w) < 5 else [tuple(w[k : k + 5]) for k in range(len(w) - 4)])
 
 
-def jaccard(a, b):
-    return len(a & b) / len(a | b) if a | b else 0
+def jaccard(a, b, weighted=True):
+    if not weighted:
+        a, b = Counter(a.keys()), Counter(b.keys())
+    both = sum((a & b).values())
+    return both / (sum(a.values()) + sum(b.values()) - both) if a and b else 0
 
 
-def brute(rows):
+def brute(rows, weighted=True):
     label = {i: i for i, _ in rows}
     sets = [(i, s) for i, t in rows if (s := shingles(t))]
 
@@ -25,7 +29,7 @@ def brute(rows):
 
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
-            if jaccard(a, b) >= 0.8:
+            if jaccard(a, b, weighted) >= 0.8:
                 x, y = sorted((root(i), root(j)))
                 label[y] = x
     return sorted((i, root(i)) for i, _ in rows)
@@ -45,9 +49,9 @@ def corpus(seed, n):
     return [(i * 2 + 1, t) for i, t in enumerate(rows)]
 
 
-def run(spark, rows):
+def run(spark, rows, weighted=True):
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, high int, bands int").repartition(3)
-    return sorted(map(tuple, minhash.near_duplicates(docs).collect()))
+    return sorted(map(tuple, minhash.near_duplicates(docs, weighted=weighted).collect()))
 
 
 def test_brute(spark):
@@ -55,6 +59,43 @@ def test_brute(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def repeating(seed):
+    """Texts whose runs repeat, so that weighted and plain similarity differ."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(12):
+        line = [f"w{rng.randrange(500)}" for _ in range(9)]
+        body = [f"w{rng.randrange(500)}" for _ in range(30)]
+        rows += [" ".join(body + line * n) for n in (1, 2, 3, 4, 12, 13, 15)]
+    return list(enumerate(rows))
+
+
+def test_weights_count(spark):
+    rows = repeating(4)
+    assert brute(rows) != brute(rows, False)
+    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, False) == brute(rows, False)
+
+
+def test_repeated_ids(spark):
+    """A doc_id with several texts links whatever they link; one row of each class is kept."""
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, c), (4, c), (4, c), (5, c), (6, "own words only here"), (7, None), (7, None)]
+    assert run(spark, rows) == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (4, 4), (5, 4), (6, 6), (7, 7), (7, 7)])
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, class int").repartition(4)
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r[0], r[1]) for r in kept.collect()), key=str) == sorted([(1, a), (1, b), (4, c), (6, "own words only here"), (7, None), (7, None)], key=str)
+
+
+def test_very_long_text(spark):
+    rng = random.Random(9)
+    w = [f"w{rng.randrange(5000)}" for _ in range(120_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:60_000] + ["x"] + w[60_000:])), (3, " ".join(w[:60_000])), (4, "one two three")]
+    assert run(spark, rows) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+
+
 def test_chain_in_one_group(spark):
     """Neighbours are close, the ends are not: one class all the same."""
     rng = random.Random(1)
