@@ -3,9 +3,10 @@
 Vectors are cut to distinct ones first: copies share a node, which keeps the few smallest
 ids that an answer can need. The graph starts from sorted stretches of random hyperplane
 codes, within which all vectors are compared, so no stretch grows with the data. NN-descent
-then joins, for every node, its neighbours and reverse neighbours with each other and
-keeps each node's nearest; reverse lists of popular nodes are dealt over several groups
-instead of being cut. Rounds go on until at most CHANGED of the list entries are new. Queries walk
+then joins, for every node, its neighbours and reverse neighbours with each other, but for
+pairs that have both been in the lists before, and keeps each node's nearest; reverse lists of
+popular nodes are dealt over several groups instead of being cut. Rounds go on until at most
+CHANGED of the list entries are new. Queries walk
 the graph greedily from their own node with a beam, until all of the beam is opened.
 Nodes are numbered by their smallest id, so that ties go to it in lists, beams and answers.
 Graph work uses half-precision unit vectors, whose products are summed without rounding, so
@@ -13,7 +14,8 @@ that a pair has one similarity wherever it is compared; the beam is scored again
 precision on the original vectors.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, as
-queries and as candidates, nor do rows with null ``vec_id``; a query among few vectors gets
+queries and as candidates, nor do rows with null ``vec_id`` and vectors of another length
+than most (of lengths that are as frequent, the smaller one counts); a query among few vectors gets
 all of them; ties go to the smaller ``vec_id``; a repeated ``vec_id`` counts once per distinct
 vector; extra columns are ignored.
 """
@@ -144,14 +146,18 @@ def start(units: DataFrame, degree: int) -> DataFrame:
 
 
 def improve(graph: DataFrame, units: DataFrame, degree: int) -> DataFrame:
-    """One round of NN-descent: the neighbours of each node, both ways, are compared with each other."""
-    edges = graph.select("node", F.explode("near.node").alias("other"))
+    """One round of NN-descent: node, near and ``fresh``, the nodes that came to the list in this round.
+
+    The neighbours of each node, both ways, are compared with each other, if one of them is fresh.
+    """
+    edges = graph.select("node", F.explode("near.node").alias("other"), "fresh").select("node", "other", F.array_contains("fresh", F.col("other")).alias("new"))
     popular = edges.groupBy(F.col("other").alias("node")).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
-    dealt = edges.join(popular, "node", "left").select("node", F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce("groups", F.lit(1)), F.lit(1)) - 1)).alias("deal"), "other")
-    back = edges.select(F.col("other").alias("node"), F.col("node").alias("other")).join(popular, "node").select("node", F.pmod(F.xxhash64("other"), F.col("groups")).cast("int").alias("deal"), "other")
+    dealt = edges.join(popular, "node", "left").select("node", F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce("groups", F.lit(1)), F.lit(1)) - 1)).alias("deal"), "other", "new")
+    back = edges.select(F.col("other").alias("node"), F.col("node").alias("other"), "new").join(popular, "node").select("node", F.pmod(F.xxhash64("other"), F.col("groups")).cast("int").alias("deal"), "other", "new")
     worst = F.element_at("near", -1)["far"]
     heads = graph.select(F.col("node").alias("other"), F.when(F.size("near") >= degree, worst).otherwise(F.lit(2.0).cast("float")).alias("worst")).join(units.withColumnRenamed("node", "other"), "other")
-    grouped = dealt.union(back).distinct().join(heads, "other").groupBy("node", "deal").agg(F.collect_list(F.struct("other", "worst", "unit")).alias("all"))
+    members = dealt.union(back).groupBy("node", "deal", "other").agg(F.max("new").alias("new"))
+    grouped = members.join(heads, "other").groupBy("node", "deal").agg(F.collect_list(F.struct("other", "worst", "unit", "new")).alias("all"), F.max("new").alias("some"))
 
     def run(batches):
         for batch in batches:
@@ -159,28 +165,28 @@ def improve(graph: DataFrame, units: DataFrame, degree: int) -> DataFrame:
             edges = np.asarray(lists.offsets)
             entries = lists.values
             ids, worst, x = entries.field(0).to_numpy(), entries.field(1).to_numpy(), _vectors(entries.field(2))
+            new = entries.field(3).to_numpy(zero_copy_only=False)
             a_out, b_out, s_out = [], [], []
             for p, q in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 sim = (x[p:q] @ x[p:q].T).astype(np.float32)
-                a, b = np.nonzero(-sim <= worst[p:q, None])
+                a, b = np.nonzero((-sim <= worst[p:q, None]) & (new[p:q, None] | new[p:q]))
                 off = a != b
                 a, b = a[off], b[off]
                 a_out.append(ids[p + a]), b_out.append(ids[p + b]), s_out.append(sim[a, b])
             if a_out:
                 yield _lists(np.concatenate(a_out), np.concatenate(b_out), np.concatenate(s_out), degree)
 
-    better = grouped.select("all").mapInArrow(run, f"node long, near {LIST}")
-    return nearest(graph.select("node", "near").union(better), degree)
+    better = grouped.filter("some").select("all").mapInArrow(run, f"node long, near {LIST}")
+    after = nearest(graph.select("node", "near").union(better), degree)
+    return after.join(graph.select("node", F.col("near.node").alias("old")), "node").select("node", "near", F.array_except("near.node", "old").alias("fresh"))
 
 
 def build(units: DataFrame, degree: int = DEGREE) -> DataFrame:
     """The neighbour graph: node, near (array of far = -cosine and node)."""
-    graph = common.materialise(start(units, degree), "graph")
+    graph = common.materialise(start(units, degree).withColumn("fresh", F.col("near.node")), "graph")
     while True:
-        before, graph = graph, common.materialise(improve(graph, units, degree), "graph")
-        lists = graph.join(before.select("node", F.col("near.node").alias("old")), "node")
-        fresh = F.size(F.array_except("near.node", "old"))
-        new, entries = lists.agg(F.sum(fresh), F.sum(F.size("near"))).first()
+        graph = common.materialise(improve(graph, units, degree), "graph")
+        new, entries = graph.agg(F.sum(F.size("fresh")), F.sum(F.size("near"))).first()
         if (new or 0) <= CHANGED * (entries or 0):
             return graph
 
@@ -225,6 +231,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each ``queries.vec_id``, by cosine."""
     spark = vectors.sparkSession
     common.arrow_batches(spark)
+    lengths = vectors.filter("vec_id is not null and embedding is not null").groupBy(F.size("embedding").alias("n")).count()
+    usual = lengths.orderBy(F.desc("count"), "n").limit(1).first()
+    vectors = vectors.filter(F.size("embedding") == (usual["n"] if usual else 0))
     full, members = nodes(vectors, k)
     units = full.select("node", "unit")
     graph = build(units)

@@ -49,6 +49,16 @@ def test_few_and_none(spark):
     assert [i for i, _ in got[0]] == [2, 1]
 
 
+def test_unequal_lengths(spark):
+    """Only vectors of the most frequent length take part, and of two as frequent ones the shorter."""
+    rng = random.Random(3)
+    even = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)]
+    odd = [(100 + i, [rng.gauss(0, 1) for _ in range((4, 16, 24)[i % 3])]) for i in range(30)]
+    got, want = run(spark, even + odd, 10), brute(even, range(0, 200, 10))
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    assert run(spark, [(0, [1.0, 2.0]), (10, [1.0, 2.0, 3.0]), (1, [1.0, 1.0]), (11, [1.0, 1.0, 1.0])], 10).keys() == {0}
+
+
 def test_recall(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
     rows = [tuple(r) for r in table.collect()]
