@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,12 @@ def query(sql: str | None = None):
     return register
 
 
+def derived(t, sql: str) -> DataFrame:
+    """Rows of a SELECT over tables named in braces, as in ``derive``."""
+    named = {n: t(n) for n in set(re.findall(r"\{([a-z]\w*)\}", sql))}
+    return next(iter(named.values())).sparkSession.sql(sql, **named)
+
+
 #: In DuckDB the tests that the derived values can meet, in plain patterns.
 _EVALS = r"""WITH fv AS (SELECT *, regexp_matches(value, '^MRP Rs') AS price, regexp_matches(value, 'incl\.') AS taxed, regexp_matches(value, '[0-9] k?g$') AS unit, regexp_matches(value, '^Packed by') AS place, (regexp_matches(value, '^PKD:') OR regexp_matches(value, '^MRP Rs')) AS dated, regexp_matches(value, '^Customer care') AS care, regexp_matches(value, '^Lic No') AS licence, regexp_matches(value, '^Ingredients') AS contents FROM {features}),
  tiers AS (
@@ -727,8 +734,52 @@ def snk1_registry(t):
     return store.registry_rows(t("registry").select("id", "pos", "sku", "declared_mrp", "risk"))
 
 
-@query()
+# --- layout ---------------------------------------------------------------------------------
+
+_FITS = """s.col = w.col AND greatest(0, least(s.ymax, w.ymax) - greatest(s.ymin, w.ymin)) >= 0.45 * greatest(1, least(s.ymax - s.ymin, w.ymax - w.ymin))
+ AND greatest(0, least(s.xmax, w.xmax) - greatest(s.xmin, w.xmin)) < 0.25 * greatest(1, least(s.xmax - s.xmin, w.xmax - w.xmin)) AND greatest(0, s.xmin - w.xmax, w.xmin - s.xmax) <= 3.5 * greatest(s.ymax - s.ymin, w.ymax - w.ymin)"""
+
+
+@query(f"""WITH k AS ({_TOKENS}),
+ sp AS (SELECT scan_id, [{{'x0': NULL::INT, 'x1': NULL::INT, 'reach': NULL::INT, 'starts': [0]}}] || list_transform(list_sort(list({{'x0': xmin, 'x1': least(400, xmax)}})), lambda e: {{'x0': e.x0, 'x1': e.x1, 'reach': 0, 'starts': [0]}}) AS sp FROM k GROUP BY scan_id),
+ cs AS (SELECT scan_id, list_reduce(sp, lambda a, e: {{'x0': 0, 'x1': 0, 'reach': greatest(a.reach, e.x1), 'starts': CASE WHEN coalesce(e.x0 > a.reach, true) AND e.x0 - a.starts[-1] >= 16 THEN a.starts || [e.x0] ELSE a.starts END}}).starts AS starts FROM sp),
+ pl AS (SELECT k.*, starts, len(list_filter(starts, lambda x: x <= (xmin + xmax) / 2)) AS col FROM k JOIN cs USING (scan_id)),
+ ws AS (SELECT scan_id, list_sort(list({{'ymin': ymin, 'token_pos': token_pos, 'xmin': xmin, 'xmax': xmax, 'ymax': ymax, 'text': text, 'col': col}})) AS ws FROM pl WHERE col > 0 AND (xmin + xmax) / 2 <= coalesce(starts[col + 1] - 1, 400) GROUP BY scan_id),
+ fd AS (SELECT scan_id, unnest(list_reduce(list_transform(ws, lambda w, i: [{{'w': w, 'line': i, 'seed': true}}]),
+  lambda a, b: a || list_transform(b, lambda x: {{'w': x.w, 'line': coalesce(list_filter(a, lambda p: p.seed AND {_FITS.replace('s.', 'p.w.').replace(' w.', ' x.w.').replace('(w.', '(x.w.')})[1].line, 1 + list_max(list_transform(a, lambda p: p.line))), 'seed': len(list_filter(a, lambda p: p.seed AND {_FITS.replace('s.', 'p.w.').replace(' w.', ' x.w.').replace('(w.', '(x.w.')})) = 0}}))) AS x FROM ws),
+ ln AS (SELECT scan_id, x.line AS line, x.w.col AS col, string_agg(x.w.text, ' ' ORDER BY x.w.xmin, x.w.token_pos, x.w.text) AS text, min(x.w.xmin)::DOUBLE AS xmin, min(x.w.ymin)::DOUBLE AS ymin, max(x.w.xmax)::DOUBLE AS xmax, max(x.w.ymax)::DOUBLE AS ymax FROM fd GROUP BY ALL)
+ SELECT scan_id, (row_number() OVER (PARTITION BY scan_id ORDER BY ymin, xmin + xmax, col, line) - 1)::INT AS line_pos, text, xmin, ymin, xmax, ymax FROM ln""")
 def grp1_lines(t):
-    """Lines of the derived tokens (no SQL: greedy clustering; tested by cases)."""
+    """Lines of the derived tokens."""
     tokens = _tokens(t).withColumns({"conf": F.lit(0.9), "page_w": F.lit(400)})
-    return layout.cluster_lines(tokens)
+    return layout.cluster_lines(tokens).select("scan_id", "line_pos", "text", "xmin", "ymin", "xmax", "ymax")
+
+
+@query(f"""WITH k AS ({_TOKENS}),
+ b AS (SELECT scan_id, list_sort(list({{'m': (ymin + ymax) / 2, 'token_pos': token_pos, 'xmin': xmin, 'xmax': xmax, 'ymin': ymin, 'ymax': ymax, 'text': text}})) AS bs FROM k GROUP BY scan_id),
+ f AS (SELECT scan_id, list_reduce(list_transform(bs, lambda w, i: [{{'w': w, 'line': 1}}]),
+  lambda a, b: a || list_transform(b, lambda x: {{'w': x.w, 'line': coalesce(list_filter(range(1, list_max(list_transform(a, lambda p: p.line)) + 1), lambda l: abs(x.w.m - list_avg(list_transform(list_filter(a, lambda p: p.line = l), lambda p: p.w.m))) <= 15)[1], 1 + list_max(list_transform(a, lambda p: p.line)))}})) AS xs FROM b),
+ o AS (SELECT scan_id, unnest(xs) AS x FROM f), m AS (SELECT scan_id, x.line AS line, avg(x.w.m) AS mean FROM o GROUP BY ALL), r AS (SELECT scan_id, line, row_number() OVER (PARTITION BY scan_id ORDER BY mean, line) - 1 AS line_pos FROM m)
+ SELECT o.scan_id, x.w.token_pos AS token_pos, x.w.xmin AS xmin, x.w.ymin AS ymin, x.w.text AS text, line_pos::INT AS line_pos FROM o JOIN r ON r.scan_id = o.scan_id AND r.line = o.x.line""")
+def grp2_baselines(t):
+    return layout.cluster_baselines(_tokens(t)).select("scan_id", "token_pos", "xmin", "ymin", "text", "line_pos")
+
+
+_LABELS = "CASE WHEN l_suppkey % 7 = 0 THEN 'Biscuits' WHEN l_suppkey % 5 = 0 THEN 'MRP 5' ELSE 'Brand' || CAST(l_partkey % 50 AS STRING) END"
+_ITEMS = "SELECT 'INS-' || CAST(l_orderkey AS STRING) AS scan_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS pos, CASE WHEN l_linenumber = 1 THEN 'mrp' ELSE 'other' END AS category, " + _LABELS + " AS value, 0.5 + CAST(l_discount AS DOUBLE) * 4 AS confidence, CAST(l_partkey % 300 AS DOUBLE) AS xmin, CAST(l_partkey % 300 + l_quantity AS DOUBLE) AS xmax, CAST(l_suppkey % 90 * 4 AS DOUBLE) AS ymin, CAST(l_suppkey % 90 * 4 + 5 + floor(l_quantity / 2) AS DOUBLE) AS ymax FROM {lineitem}"
+
+
+@query(f"""WITH RECURSIVE raw AS ({_ITEMS}), it AS (SELECT *, greatest(4, ymax - ymin) AS h, greatest(4, xmax - xmin) AS w, (ymin + ymax) / 2 AS yc, (xmin + xmax) / 2 AS xc, category = 'mrp' OR value = 'MRP 5' AS declared FROM raw),
+ c AS (SELECT *, pow(h, 2.2) * sqrt(length(value)) * confidence * CASE WHEN yc / 360 < 0.45 THEN 1.2 WHEN yc / 360 < 0.75 THEN 1.0 ELSE 0.4 END AS weight FROM it WHERE NOT declared),
+ a AS (SELECT scan_id, arg_min(pos, (-weight, pos)) AS pos, greatest(10, arg_min(h, (-weight, pos))) AS height FROM c GROUP BY scan_id),
+ able AS (SELECT c.* FROM c JOIN a USING (scan_id) WHERE c.pos <> a.pos AND c.h >= 0.40 * a.height AND value <> 'Biscuits'),
+ reach AS (SELECT scan_id, pos FROM a UNION SELECT n.scan_id, n.pos FROM reach r JOIN c m ON m.scan_id = r.scan_id AND m.pos = r.pos JOIN able n ON n.scan_id = r.scan_id
+  AND ((abs(n.yc - m.yc) < 0.75 * greatest(10, n.h, m.h) AND greatest(0, n.xmin - m.xmax, m.xmin - n.xmax) < 1.8 * greatest(10, n.h, m.h))
+   OR (greatest(0, n.ymin - m.ymax, m.ymin - n.ymax) < 1.3 * greatest(10, n.h, m.h) AND (least(n.xmax, m.xmax) > greatest(n.xmin, m.xmin) OR abs(n.xc - m.xc) < 1.1 * greatest(n.w, m.w))))),
+ own AS (SELECT c.*, a.height, row_number() OVER (PARTITION BY scan_id ORDER BY floor(ymin / greatest(1, floor(height * 0.75))), xmin, -weight, pos) AS o FROM c JOIN reach USING (scan_id, pos) JOIN a USING (scan_id)),
+ words AS (SELECT scan_id, string_agg(value, ' ' ORDER BY o) AS value FROM (SELECT scan_id, value, min(o) AS o FROM own GROUP BY ALL) GROUP BY scan_id)
+ SELECT scan_id, words.value, round(min(confidence), 2) AS confidence, round(max(confidence), 2) AS confidence_max, floor(max(height))::INT AS font_height, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM own JOIN words USING (scan_id) GROUP BY ALL
+ UNION ALL SELECT scan_id, x.value, round(x.confidence, 2), round(x.confidence, 2), floor(x.h)::INT, x.xmin, x.ymin, x.xmax, x.ymax FROM (SELECT scan_id, arg_max(it, (ymax - ymin, -pos)) AS x, bool_and(declared) AS none FROM it GROUP BY scan_id) WHERE none AND x.category = 'other'""")
+def grp3_brand_clusters(t):
+    rows = derived(t, _ITEMS).withColumns({"panel": F.lit("front"), "page_h": F.lit(360.0)})
+    return layout.brand_clusters(rows).select("scan_id", "value", "confidence", "confidence_max", "font_height", "xmin", "ymin", "xmax", "ymax")

@@ -185,3 +185,7 @@ ALIASES = {'mrp': ['mrp', 'm.r.p', 'maximum retail price', 'max retail price', '
                   'విక్రేత', 'ઉત્પાદક', 'વેચાણકર્તા', 'প্রস্তুতকারক', 'কোম্পানি'],
  'country_of_origin': ['country of origin', 'made in', 'origin', 'produced in', 'manufactured in', 'उत्पत्ति का देश', 'भारत में निर्मित', 'स्वदेशी',
                        'தயாரிப்பு நாடு', 'ఉత్పత్తి దేశం', 'ઉત્પાદન દેશ']}
+
+# Words that mark a text as a declaration, not a brand, and the categories of declarations.
+DECLARATION = r"\b(?:mrp|rs|₹|batch|pkg|mfg|pkd|exp|expiry|net\s*wt|net\s*qty|fssai|lic(?:\.|\s*no)?|email|phone|tel|fax|gram|kg|g|ml|l|tax|taxes|servings?|nutrition|ingredients|dosage|instructions|warning|caution|best\s*before|use\s*by)\b"
+STATUTORY = ("mrp", "quantity", "mfg_date", "license", "address", "helpline", "nutrition", "ingredients", "batch_number")

@@ -85,7 +85,9 @@ def test_lines(spark):
     assert [r["text"] for r in layout.cluster_lines(rows, "true_gap").orderBy("line_pos").collect()] == ["Energy", "250 kcal", "Protein"]
     # measured from a column's start, the second word of a column is cut off
     assert [r["text"] for r in layout.cluster_lines(rows).orderBy("line_pos").collect()] == ["Energy", "kcal", "250", "Protein"]
-    assert layout.column_splits([(20, 70), (80, 100)], 400, "true_gap") == [(0, 400)]
+    spans = spark.createDataFrame([("s", [(20.0, 70.0), (80.0, 100.0), (130.0, 140.0)])], "k string, t array<struct<xmin:double,xmax:double>>")
+    starts = lambda width, split: spans.select(layout.column_starts(F.col("t"), F.lit(width), split).alias("x")).first()["x"]
+    assert (starts(400, "true_gap"), starts(400, "reference"), starts(0, "reference")) == ([0, 130], [0, 20, 80, 130], [0])
     base = layout.cluster_baselines(spark.createDataFrame([("s", "p", k, float(y), float(y + 10)) for k, y in enumerate([0, 4, 50, 55])], "scan_id string, panel string, k int, ymin double, ymax double"))
     assert sorted((r["k"], r["line_pos"]) for r in base.collect()) == [(0, 0), (1, 0), (2, 1), (3, 1)]
 
@@ -94,6 +96,10 @@ def test_brand_clusters_and_fusion(spark):
     rows = [("s", "f", k, "other", v, c, *map(float, b), 1000.0) for k, (v, c, b) in enumerate([("SUPER", 0.9, (100, 100, 300, 200)), ("STAR", 0.62, (320, 100, 500, 200)), ("Biscuits", 0.9, (520, 100, 700, 160)), ("small", 0.9, (100, 220, 140, 240))])]
     got = layout.brand_clusters(spark.createDataFrame(rows, "scan_id string, panel string, pos int, category string, value string, confidence double, xmin double, ymin double, xmax double, ymax double, page_h double")).collect()
     assert [(r["value"], r["confidence"], r["tampering_suspected"]) for r in got] == [("SUPER STAR", 0.62, True)]
+    # a chain of neighbours is one cluster; declarations alone leave the tallest text without a category
+    chain = [("s", "f", k, "other", f"Part{k}", 0.9, 100.0 * k, 100.0, 100.0 * k + 90, 150.0, 1000.0) for k in range(5)] + [("s", "b", 0, "other", "MRP 5", 0.8, 0.0, 0.0, 50.0, 40.0, 1000.0), ("s", "b", 1, "mrp", "Rs 5", 0.9, 0.0, 50.0, 50.0, 60.0, 1000.0), ("s", "c", 0, "mrp", "Rs 5", 0.9, 0.0, 50.0, 50.0, 60.0, 1000.0)]
+    made = layout.brand_clusters(spark.createDataFrame(chain, "scan_id string, panel string, pos int, category string, value string, confidence double, xmin double, ymin double, xmax double, ymax double, page_h double"))
+    assert sorted((r["panel"], r["value"]) for r in made.collect()) == [("b", "MRP 5"), ("f", "Part0 Part1 Part2 Part3 Part4")]
     cols = "scan_id string, panel string, token_pos int, text string, conf double, xmin double, ymin double, xmax double, ymax double"
     first = spark.createDataFrame([("s", "p", 0, "RRTO", 0.5, 0.0, 0.0, 10.0, 10.0), ("s", "p", 1, "good", 0.95, 20.0, 0.0, 30.0, 10.0)], cols).withColumns({"indic": F.lit(False), "garbled": F.col("text") == "RRTO"})
     second = spark.createDataFrame([("s", "p", 0, "नया", 0.8, 1.0, 0.0, 10.0, 10.0), ("s", "p", 1, "x", 0.8, 20.0, 0.0, 30.0, 10.0), ("s", "p", 2, "far", 0.8, 50.0, 0.0, 60.0, 10.0)], cols)
