@@ -1,10 +1,12 @@
 """Golden cases of rules, brands, risk, layout, sources and streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from packproof.functions import fuzzy
 from packproof.operators import layout
 from packproof.plans import brands, risk, rules
 from packproof.sources import store
@@ -61,6 +63,21 @@ def test_spoofing(spark, registry):
     assert len(rows) == len(cases) + 1
 
 
+def test_close_pairs_are_complete(spark):
+    """Every pair at or above the bound is found by its rarest letter pairs."""
+    rng = random.Random(6)
+    names = ["".join(rng.choices("abcde ", k=rng.randint(1, 14))).strip() or "a" for _ in range(150)]
+    edited = []
+    for n in names:
+        k = rng.randrange(len(n))
+        edited.append((n[:k] + rng.choice(["", "x", "a"]) + n[k + rng.randint(0, 1) :]) or "a")
+    left = spark.createDataFrame([(e, e) for e in dict.fromkeys(edited)], "seg string, form string")
+    right = spark.createDataFrame([(n, n) for n in dict.fromkeys(names)], "brand string, form string")
+    got = {tuple(r) for r in brands.close_pairs(left, right).collect()}
+    want = {(e, n) for e in edited for n in names if fuzzy.ratio(e, n) >= brands.CLOSE}
+    assert want <= got and len(want) > 100 and len(got) < 150 * 150 / 4
+
+
 def test_entities(spark):
     lines = spark.createDataFrame([("MRP Rs. 40",), ("Mktd by Acme",), ("xx",)], "text string")
     plain = {(r["text"], r["entity"]) for r in brands.extract_entities(lines).collect()}
