@@ -206,19 +206,21 @@ def jn2_licences(t):
     return found[0].union(found[1])
 
 
-@query("""WITH b AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN c.name WHEN 1 THEN 'the Nation_' || n_nationkey ELSE 'zz ' || p_partkey END AS brand FROM {part} JOIN {nation} ON n_nationkey = p_partkey % 25 JOIN {companies} c ON c.load_pos = p_partkey % 10),
- tok AS (SELECT company_id, load_pos, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS token FROM {companies}),
- first AS (SELECT token, arg_min(company_id, load_pos) AS company_id FROM tok WHERE length(token) >= 3 GROUP BY token),
+@query("""WITH b AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN c.name WHEN 1 THEN 'the Nation_' || n_nationkey WHEN 2 THEN 'LABEL-' || (p_partkey % 10) ELSE 'zz ' || p_partkey END AS brand FROM {part} JOIN {nation} ON n_nationkey = p_partkey % 25 JOIN {companies} c ON c.load_pos = p_partkey % 10),
+ known AS (SELECT company_id, load_pos, name AS text, 1 AS part FROM {companies} UNION ALL SELECT company_id, load_pos, 'Label ' || load_pos, 0 FROM {companies}),
+ exact AS (SELECT regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS key, arg_max(company_id, (load_pos, 1 - part)) AS company_id FROM known GROUP BY 1),
+ tok AS (SELECT company_id, load_pos, part, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM known),
+ first AS (SELECT token, arg_min(company_id, (load_pos, 1 - part)) AS company_id FROM tok WHERE length(token) >= 3 GROUP BY token),
  words AS (SELECT brand, unnest(regexp_extract_all(lower(brand), '[a-z0-9]+')) AS token, unnest(range(len(regexp_extract_all(lower(brand), '[a-z0-9]+')))) AS p FROM (SELECT DISTINCT brand FROM b)),
  back AS (SELECT brand, arg_min(first.company_id, p) AS company_id FROM words JOIN first USING (token) WHERE length(token) >= 3 GROUP BY brand)
- SELECT p_partkey, b.brand, coalesce(c.company_id, back.company_id) AS company_id FROM b LEFT JOIN {companies} c ON lower(c.name) = lower(b.brand) LEFT JOIN back ON back.brand = b.brand""")
+ SELECT p_partkey, b.brand, coalesce(e.company_id, back.company_id) AS company_id FROM b LEFT JOIN exact e ON e.key = regexp_replace(lower(b.brand), '[^a-z0-9]', '', 'g') LEFT JOIN back ON back.brand = b.brand""")
 def jn3_company_by_brand(t):
     p = t("part").join(t("nation"), F.col("n_nationkey") == F.col("p_partkey") % 25).join(t("companies"), F.col("load_pos") == F.col("p_partkey") % 10)
     k = F.col("p_partkey")
-    brand = F.when(k % 3 == 0, F.col("name")).when(k % 3 == 1, F.concat(F.lit("the Nation_"), F.col("n_nationkey").cast("string"))).otherwise(F.concat(F.lit("zz "), k.cast("string")))
+    brand = F.when(k % 4 == 0, F.col("name")).when(k % 4 == 1, F.concat(F.lit("the Nation_"), F.col("n_nationkey").cast("string"))).when(k % 4 == 2, F.concat(F.lit("LABEL-"), (k % 10).cast("string"))).otherwise(F.concat(F.lit("zz "), k.cast("string")))
     rows = p.select("p_partkey", brand.alias("brand"))
-    none = t("companies").select("company_id", F.col("name").alias("brand"), "load_pos").limit(0)
-    return joins.match_company(rows, t("companies"), none).select("p_partkey", "brand", "company_id")
+    own = t("companies").select("company_id", F.concat(F.lit("Label "), F.col("load_pos").cast("string")).alias("brand"), "load_pos")
+    return joins.match_company(rows, t("companies"), own).select("p_partkey", "brand", "company_id")
 
 
 @query(_MATCH + "SELECT scan_id, r.id AS registry_id FROM hit JOIN {registry} r USING (pos)")
@@ -226,11 +228,10 @@ def jn4_match_registry(t):
     return joins.match_registry(t("scans"), t("registry"))
 
 
-@query("""SELECT r.id AS registry_id, count(DISTINCT s.id) AS n FROM (SELECT * FROM {registry} WHERE pos % 50 = 0) r JOIN {scans} s ON contains(lower(s.product_name), lower(r.product_name)) OR contains(lower(r.product_name), lower(s.product_name))
+@query("""SELECT r.id AS registry_id, count(DISTINCT s.id) AS n FROM {registry} r JOIN {scans} s ON contains(lower(s.product_name), lower(r.product_name)) OR contains(lower(r.product_name), lower(s.product_name))
  OR (s.barcode <> 'No barcode detected' AND contains(s.barcode, r.sku)) OR s.brand = r.brand OR s.batch_number = r.batch_number GROUP BY r.id""")
 def jn5_linked_scans(t):
-    # the dossier of chosen registry rows: every fiftieth
-    return joins.linked_scans(t("registry").filter("pos % 50 = 0"), t("scans")).groupBy("registry_id").agg(F.count("*").alias("n"))
+    return joins.linked_scans(t("registry"), t("scans")).groupBy("registry_id").agg(F.count("*").alias("n"))
 
 
 _LOOKUP = "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'x' || r.sku WHEN 1 THEN 'b' || (p_partkey % 40) WHEN 2 THEN substr(p_name, 2, 5) ELSE 'none such' END AS query FROM {part} JOIN {registry} r ON r.pos = p_partkey"
@@ -263,23 +264,23 @@ def jn9_delete(t):
     return scans.agg(F.count("*").alias("n")).select(F.lit("scan").alias("kind"), "n").union(violations.agg(F.count("*")).select(F.lit("violation"), "*"))
 
 
-@query("""WITH u AS (SELECT 'IN-' || (c_custkey % 70) AS id_badge, arg_max(c_mktsegment, c_custkey) AS zone FROM {customer} WHERE c_custkey % 3 = 0 GROUP BY 1)
+@query("""WITH u AS (SELECT 'IN-' || (c_custkey - c_custkey % 3) AS id_badge, arg_max(c_mktsegment, c_custkey) AS zone FROM {customer} GROUP BY 1)
  SELECT i.id_badge, name, coalesce(u.zone, i.zone) AS zone FROM {inspectors} i LEFT JOIN u USING (id_badge)
  UNION ALL SELECT 'NEW-' || n_nationkey, n_name, 'seed' FROM {nation}""")
 def jn10_patch_and_merge(t):
-    c = t("customer").filter("c_custkey % 3 = 0").select(F.concat(F.lit("IN-"), (F.col("c_custkey") % 70).cast("string")).alias("id_badge"), F.col("c_mktsegment").alias("zone"), F.col("c_custkey").alias("ts"))
+    c = t("customer").select(F.concat(F.lit("IN-"), (F.col("c_custkey") - F.col("c_custkey") % 3).cast("string")).alias("id_badge"), F.col("c_mktsegment").alias("zone"), F.col("c_custkey").alias("ts"))
     own = t("inspectors").select("id_badge", "name", "zone")
-    seed = t("nation").select(F.concat(F.lit("NEW-"), F.col("n_nationkey").cast("string")).alias("id_badge"), F.col("n_name").alias("name"), F.lit("seed").alias("zone")).union(own.limit(5))
+    seed = t("nation").select(F.concat(F.lit("NEW-"), F.col("n_nationkey").cast("string")).alias("id_badge"), F.col("n_name").alias("name"), F.lit("seed").alias("zone")).union(own)
     return joins.merge_missing(joins.patch(own, c, "id_badge"), seed, "id_badge")
 
 
-@query("""WITH b AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'REG-' || p_partkey ELSE 'NEW-' || (p_partkey % 90) END AS id, p_partkey AS row_no FROM {part} WHERE p_partkey % 5 > 0),
+@query("""WITH b AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'REG-' || p_partkey ELSE 'NEW-' || (p_partkey % 90) END AS id, p_partkey AS row_no FROM {part}),
  m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY row_no) AS nth, id IN (SELECT id FROM {registry}) AS taken FROM b)
  SELECT CASE WHEN p = 1 THEN id WHEN taken OR nth > 1 THEN id || '-' || substr(sha256('s' || row_no || '|' || row_no), 1, 8) ELSE id END AS id, p AS part, row_no AS list_pos
  FROM (SELECT id, row_no, nth, taken, 0 AS p FROM m UNION ALL SELECT id, pos, 1, false, 1 FROM {registry})""")
 def jn11_import(t):
     k = F.col("p_partkey")
-    batch = t("part").filter("p_partkey % 5 > 0").select(F.when(k % 3 == 0, F.concat(F.lit("REG-"), k.cast("string"))).otherwise(F.concat(F.lit("NEW-"), (k % 90).cast("string"))).alias("id"), F.concat(F.lit("s"), k.cast("string")).alias("sku"), F.col("p_name").alias("product_name"), k.alias("row_no"))
+    batch = t("part").select(F.when(k % 3 == 0, F.concat(F.lit("REG-"), k.cast("string"))).otherwise(F.concat(F.lit("NEW-"), (k % 90).cast("string"))).alias("id"), F.concat(F.lit("s"), k.cast("string")).alias("sku"), F.col("p_name").alias("product_name"), k.alias("row_no"))
     return joins.import_registry(t("registry"), batch).select("id", "part", "list_pos")
 
 
@@ -554,17 +555,17 @@ def fn18_soundex(t):
     return _named(t).select("n", text.soundex_in(F.col("n")).alias("s"))
 
 
-_MET = _sql_replace("regexp_replace(regexp_replace(upper(n), '[^A-Z]', '', 'g'), '^[KGPAW]([NER])', '\\1')", [("PH", "F"), ("BH", "B"), ("KH", "K"), ("DH", "D")])
+_LETTERS = "regexp_replace(upper(n), '[^A-Z]', '', 'g')"
+_MET = _sql_replace(f"CASE WHEN regexp_matches({_LETTERS}, '^(KN|GN|PN|AE|WR)') THEN substr({_LETTERS}, 2) ELSE {_LETTERS} END", [("PH", "F"), ("BH", "B"), ("KH", "K"), ("DH", "D")])
 _MET = _sql_replace(f"regexp_replace({_MET}, 'MB$', 'M')", [("SCH", "SK"), ("CIA", "X"), ("TCH", "CH"), ("CH", "X"), ("SH", "X"), ("TH", "0")])
 _MET = _sql_replace(f"replace(regexp_replace({_MET}, 'C([EIY])', 'S\\1', 'g'), 'C', 'K')", [])
 _MET = _sql_replace(f"regexp_replace({_MET}, 'G([EIY])', 'J\\1', 'g')", [("Q", "K"), ("X", "KS"), ("Z", "S"), ("V", "F"), ("W", "F")])
 
 
-@query(f"""WITH w AS (SELECT n, {_MET} AS w FROM ({_NAMED}) WHERE NOT regexp_matches(upper(n), '^(KE|GE|PE|AN|AR|WN|WE|KR|GR|PR)')), j AS (SELECT n, w[1] || regexp_replace(substr(w, 2), '[AEIOU]', '', 'g') AS j FROM w)
+@query(f"""WITH w AS (SELECT n, {_MET} AS w FROM ({_NAMED})), j AS (SELECT n, w[1] || regexp_replace(substr(w, 2), '[AEIOU]', '', 'g') AS j FROM w)
  SELECT n, substr({_sql_single('j', _AZ.upper() + '0')}, 1, 6) AS m FROM j""")
 def fn19_metaphone(t):
-    rows = _named(t).filter(~F.upper("n").rlike("^(KE|GE|PE|AN|AR|WN|WE|KR|GR|PR)"))  # where one pattern of the SQL would do too much
-    return rows.select("n", text.metaphone_in(F.col("n")).alias("m"))
+    return _named(t).select("n", text.metaphone_in(F.col("n")).alias("m"))
 
 
 @query(f"""WITH k AS (SELECT n, regexp_extract_all(lower(n), '[a-z0-9]+') AS w FROM ({_NAMED}))
@@ -573,29 +574,40 @@ def fn20_ngrams(t):
     return _named(t).select("n", F.array_join(text.brand_ngrams(F.col("n")), "|").alias("g"))
 
 
-@query("SELECT scan_id, pos, regexp_full_match(v, '[0-9]{1,2}') AND v::INT >= 1 AND pos % 10 < 3 AND pos % 20 < 9 AS price FROM (SELECT scan_id, pos, regexp_extract(value, '[0-9]+') AS v FROM {features} WHERE category = 'quantity' AND regexp_matches(value, '^Net'))")
+@query("SELECT scan_id, pos, regexp_full_match(v, '[0-9]{1,5}') AND coalesce(try_cast(v AS BIGINT), 0) BETWEEN 1 AND 9999 AND pos % 10 < 3 AND pos % 20 < 9 AS price FROM (SELECT scan_id, pos, regexp_extract(value, '[0-9]+') AS v FROM {features})")
 def fn2_price_tag(t):
-    rows = t("features").filter("category = 'quantity'").filter(F.col("value").startswith("Net"))
     number = F.regexp_extract("value", "[0-9]+", 0)
-    return rows.select("scan_id", "pos", text.price_tag(number, F.col("pos") % 20, F.col("pos") % 10, F.lit(20), F.lit(10)).alias("price"))
+    return t("features").select("scan_id", "pos", text.price_tag(number, F.col("pos") % 20, F.col("pos") % 10, F.lit(20), F.lit(10)).alias("price"))
 
 
-@query("SELECT scan_id, pos, false AS counterfeit_spelling, coalesce(confidence, 0.5) < 0.70 AS tampering_suspected, 'RL-' || upper(category) || '-001' AS rule_id FROM {features}")
+@query("SELECT scan_id, pos, pos % 3 = 0 AS counterfeit_spelling, coalesce(confidence, 0.5) < 0.70 AS tampering_suspected, 'RL-' || upper(category) || '-001' AS rule_id FROM {features}")
 def fn3_flags(t):
-    flags = text.feature_flags(F.col("value"), F.coalesce("confidence", F.lit(0.5)), F.col("category"))
+    # every third line is misspelled
+    value = F.when(F.col("pos") % 3 == 0, F.concat("value", F.element_at(F.array(*map(F.lit, (" Net  Weigt", " packd", " BEST BEFOR"))), (F.col("pos") % 2 + 1).cast("int")))).otherwise(F.col("value"))
+    flags = text.feature_flags(value, F.coalesce("confidence", F.lit(0.5)), F.col("category"))
     return t("features").select("scan_id", "pos", flags.alias("f")).select("scan_id", "pos", "f.*")
 
 
 @query("SELECT scan_id, pos, value AS v FROM {features}")
 def fn4_indic_digits(t):
-    # digits are written in Devanagari first, so the round trip gives the value back
-    return t("features").select("scan_id", "pos", ids.normalize_indic_digits(F.translate("value", "0123456789", "०१२३४५६७८९")).alias("v"))
+    # digits are written in one of five scripts first, so the round trip gives the value back
+    scripts = [F.translate("value", "0123456789", d) for d in ("०१२३४५६७८९", "௦௧௨௩௪௫௬௭௮௯", "౦౧౨౩౪౫౬౭౮౯", "૦૧૨૩૪૫૬૭૮૯", "০১২৩৪৫৬৭৮৯")]
+    written = F.element_at(F.array(*scripts), (F.col("pos") % 5 + 1).cast("int"))
+    return t("features").select("scan_id", "pos", ids.normalize_indic_digits(written).alias("v"))
 
 
-@query("SELECT scan_id, pos, CASE WHEN regexp_matches(value, '[0-9]') THEN false WHEN regexp_matches(regexp_replace(value, '[^a-zA-Z]', '', 'g'), '([a-z])') AND NOT regexp_matches(value, '[aeiouyAEIOUY]') THEN true ELSE false END AS h FROM {features} WHERE category IN ('quantity', 'license')")
+#: Letters only, short, doubled or vowelless readings, and what they are taken for.
+_READ = "CASE pos % 5 WHEN 0 THEN value WHEN 1 THEN '||l' WHEN 2 THEN 'brrt' WHEN 3 THEN substr(value, 1, 2) ELSE '--' END"
+_CONSONANTS = "bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ"
+
+
+@query(f"""WITH r AS (SELECT scan_id, pos, coalesce(confidence, 0.5) AS c, {_READ} AS v FROM {{features}}), l AS (SELECT *, regexp_replace(v, '[^a-zA-Z]', '', 'g') AS l FROM r)
+ SELECT scan_id, pos, CASE WHEN NOT regexp_matches(v, '[a-zA-Z0-9]') THEN true WHEN regexp_full_match(v, '[lI1|:;~_.iL-]{{2,}}') THEN true WHEN l = '' THEN false WHEN lower(l) IN ({", ".join(repr(a) for a in C.ACRONYMS)}) OR regexp_matches(v, '[0-9]') THEN false
+  WHEN regexp_matches(l, '(?i){C.GARBLED.replace("'", "''")}') THEN true WHEN NOT regexp_matches(l, '[aeiouyAEIOUY]') AND length(l) >= 2 THEN true WHEN length(l) <= 2 AND c < 0.75 THEN true
+  WHEN c < 0.88 AND len(list_filter(range(1, length(l)), lambda i: l[i] = l[i + 1] AND contains('{_CONSONANTS}', l[i]))) > 0 THEN true WHEN c < 0.85 AND regexp_matches(l, '^[{_CONSONANTS}]{{2,}}') THEN true ELSE false END AS h FROM l""")
 def fn13_hallucination(t):
-    rows = t("features").filter(F.col("category").isin("quantity", "license"))
-    return rows.select("scan_id", "pos", text.is_latin_hallucination(F.col("value"), F.lit(0.95)).alias("h"))
+    rows = derived(t, f"SELECT scan_id, pos, coalesce(confidence, 0.5) AS c, {_READ} AS v FROM {{features}}")
+    return rows.select("scan_id", "pos", text.is_latin_hallucination(F.col("v"), F.col("c")).alias("h"))
 
 
 @query(f"""WITH k AS ({_TOKENS}) SELECT scan_id, token_pos, xmin, ymin, xmax, ymax, CASE WHEN w * h > 0 THEN w * h / ((xmax - xmin) * (ymax - ymin) + 2500 - w * h) ELSE 0.0 END::DOUBLE AS iou
@@ -625,11 +637,12 @@ def srt4_reading_order(t):
     return ranking.reading_order(_tokens(t)).select("scan_id", "ymin", "xmin", "xmax", "text", "line_pos")
 
 
-@query(_EVALS + """, backs AS (SELECT scan_id, bool_or(side <> 'front') AS b FROM {features} GROUP BY scan_id), hits AS (SELECT ev.scan_id, ev.eval_id, arg_min(f.side, f.pos) AS side FROM ev JOIN {features} f ON f.scan_id = ev.scan_id AND (contains(ev.eval_id, f.category) OR f.value = ev.value) WHERE ev.status IS NOT NULL AND ev.eval_id IN ('eval_addr', 'eval_care') GROUP BY ALL)
- SELECT ev.scan_id, ev.eval_id, coalesce(h.side, CASE WHEN b THEN 'back_0' ELSE 'front' END) AS side FROM ev LEFT JOIN hits h ON h.scan_id = ev.scan_id AND h.eval_id = ev.eval_id JOIN backs ON backs.scan_id = ev.scan_id WHERE ev.eval_id IN ('eval_addr', 'eval_care')""")
+@query(_EVALS + """, own AS MATERIALIZED (SELECT ev.scan_id, ev.eval_id, CASE WHEN ev.eval_id = 'eval_mrp' AND status = 'ISSUE' THEN NULL WHEN ev.eval_id = 'eval_qty' AND status = 'PASS' THEN NULL ELSE ev.value END AS value FROM ev WHERE status IS NOT NULL),
+ f AS MATERIALIZED (SELECT scan_id, pos, side, category, value FROM {features}), backs AS (SELECT scan_id, bool_or(side <> 'front') AS b FROM f GROUP BY scan_id),
+ hits AS (SELECT scan_id, eval_id, arg_min(side, pos) AS side FROM (SELECT own.scan_id, own.eval_id, f.side, f.pos FROM own JOIN f ON f.scan_id = own.scan_id AND f.value = own.value UNION ALL SELECT own.scan_id, own.eval_id, f.side, f.pos FROM own JOIN f ON f.scan_id = own.scan_id WHERE contains(own.eval_id, f.category)) GROUP BY ALL)
+ SELECT own.scan_id, own.eval_id, coalesce(h.side, CASE WHEN b THEN 'back_0' ELSE 'front' END) AS side FROM own LEFT JOIN hits h ON h.scan_id = own.scan_id AND h.eval_id = own.eval_id JOIN backs ON backs.scan_id = own.scan_id""")
 def rul2_side(t):
-    evals = rules.evaluate_rules(t("features")).filter(F.col("eval_id").isin("eval_addr", "eval_care"))
-    return rules.tag_side(evals, t("features")).select("scan_id", "eval_id", "side")
+    return rules.tag_side(rules.evaluate_rules(t("features")), t("features")).select("scan_id", "eval_id", "side")
 
 
 @query("""SELECT scan_id, coalesce(arg_min(value, pos) FILTER (category = 'mrp' AND side = 'front'), 'Packaged FMCG Commodity') AS product_name,
@@ -684,14 +697,21 @@ def rul4_spoofing(t):
     k = F.col("p_partkey")
     seen = t("part").select("p_partkey", F.when(k % 3 == 0, F.col("p_brand")).when(k % 3 == 1, F.concat(F.lit("Br0nd#"), (k % 25).cast("string"))).otherwise(F.col("p_name")).alias("brand"))
     owned = t("part").groupBy(F.col("p_brand").alias("brand")).agg(F.min("p_partkey").alias("load_pos")).withColumn("company_id", F.concat(F.lit("C"), (F.col("load_pos") % 10).cast("string")))
-    spoofs = t("part").filter("p_partkey < 50").select(F.concat(F.lit("Brnd"), k.cast("string")).alias("spoof"), F.col("p_brand").alias("target"), F.lit("Typographic").alias("type"))
+    spoofs = t("part").select(F.concat(F.lit("Brnd"), k.cast("string")).alias("spoof"), F.col("p_brand").alias("target"), F.lit("Typographic").alias("type"))
     return brand_plans.detect_spoofing(seen, t("companies"), owned, spoofs).select("p_partkey", "brand", "status", "matched_brand", "score", "company_id")
 
 
-@query("SELECT count(*) AS n, count(DISTINCT soundex) AS codes FROM (SELECT DISTINCT p_brand, 'B653' AS soundex FROM {part})")
+_TYPES = "SELECT p_type AS n FROM {part} UNION SELECT p_name || ' Foods' FROM {part}"
+
+
+@query(f"""WITH b AS ({_TYPES}), w AS (SELECT DISTINCT n AS brand, unnest(regexp_extract_all(lower(n), '[a-z0-9]+')) AS token FROM b),
+ e AS (SELECT n AS brand, NULL AS token, n FROM b UNION ALL SELECT brand, token, token FROM w WHERE length(token) >= 3 AND token NOT IN ({", ".join(repr(g) for g in C.GENERIC)})),
+ x AS (SELECT brand, token, n, regexp_replace({_SDX}, '[^A-Z]', '', 'g') AS w, {_MET} AS m FROM e), y AS (SELECT *, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202') AS c, m[1] || regexp_replace(substr(m, 2), '[AEIOU]', '', 'g') AS j FROM x)
+ SELECT brand, token, regexp_replace(lower(n), '[^a-z0-9]', '', 'g') AS key, trim(regexp_replace({_sql_replace('translate(lower(n), ' + repr(''.join(C.HOMOGLYPHS)) + ', ' + repr(''.join(C.HOMOGLYPHS.values())) + ')', C.HOMOGLYPH_PAIRS)}, '[^a-z0-9 ]', '', 'g')) AS homoglyph,
+  regexp_replace({_sql_single(_sql_replace('lower(n)', C.DIGRAPHS), _AZ + '0123456789 ')}, '[^a-z0-9]', '', 'g') AS digraph, CASE WHEN w = '' THEN '0000' ELSE rpad(w[1] || replace(substr({_sql_single('c', '0123456')}, 2), '0', ''), 4, '0') END AS soundex, substr({_sql_single('j', _AZ.upper() + '0')}, 1, 6) AS metaphone FROM y""")
 def rul5_signatures(t):
-    own = brand_plans.brand_signatures(t("part").select(F.col("p_brand").alias("brand")), plain=True).filter("token is null")
-    return own.agg(F.count("*").alias("n"), F.countDistinct("soundex").alias("codes"))
+    names = derived(t, _TYPES.replace(" UNION ", " UNION ALL ")).select(F.col("n").alias("brand"))
+    return brand_plans.brand_signatures(names, plain=True)
 
 
 # --- streams by their batch twins, and sinks --------------------------------------------------

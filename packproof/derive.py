@@ -24,10 +24,10 @@ TABLES = {
           CASE WHEN o_orderkey % 7 = 0 THEN 'No barcode detected' ELSE '890' || lpad(CAST(p_partkey AS STRING), 9, '0') || CAST(o_orderkey % 10 AS STRING) END AS barcode,
           CASE WHEN o_orderkey % 4 = 0 THEN 'Registered Packager / Importer' WHEN o_orderkey % 4 = 1 THEN 'Acme Foods'
                ELSE 'Plot ' || CAST(o_orderkey % 13 AS STRING) || ', Sector ' || CAST(o_orderkey % 9 AS STRING) || ', City ' || CAST(o_custkey % 11 AS STRING) END AS manufacturer,
-          p_brand AS brand, CASE WHEN o_custkey % 17 = 0 THEN 'SYSTEM-AUTO' ELSE 'IN-' || CAST(o_custkey % 50 AS STRING) END AS inspector_id,
-          'Inspector ' || CAST(o_custkey % 50 AS STRING) AS inspector_name,
+          p_brand AS brand, CASE WHEN o_custkey % 17 = 0 THEN 'SYSTEM-AUTO' ELSE 'IN-' || CAST(o_custkey AS STRING) END AS inspector_id,
+          'Inspector ' || CAST(o_custkey AS STRING) AS inspector_name,
           CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 > 0 THEN (o_orderkey % 5) * 5000 ELSE 0 END AS penalty
-        FROM {orders} JOIN {part} ON p_partkey = o_orderkey % 200""",
+        FROM {orders} JOIN {part} ON p_partkey = o_orderkey % (SELECT max(p_partkey) + 1 FROM {part})""",
     # classified lines; pos numbers the lines of a scan
     "features": f"""
         SELECT 'INS-' || CAST(l_orderkey AS STRING) AS scan_id,
@@ -61,7 +61,7 @@ TABLES = {
     "rulebook": """
         SELECT 'RL-' || CAST(p_partkey AS STRING) AS id, CASE p_partkey WHEN 0 THEN 'RL-MAND-007' WHEN 1 THEN 'RL-PHYS-012' WHEN 2 THEN 'RL-AUTH-001' WHEN 3 THEN 'RL-MAND-003' WHEN 4 THEN 'RL-MAND-004' ELSE 'RL-X-' || CAST(p_partkey AS STRING) END AS code,
           p_name AS title, p_type AS category, p_size % 3 > 0 AS active, CAST(p_size AS DOUBLE) AS min_threshold
-        FROM {part} WHERE p_partkey < 40""",
+        FROM {part}""",
     "registry": f"""
         SELECT 'REG-' || CAST(p_partkey AS STRING) AS id, p_partkey AS pos,
           '890' || {_PAD} || CAST((10 - (35 + {_DIGITS}) % 10) % 10 AS STRING) AS sku,
@@ -96,13 +96,13 @@ TABLES = {
     "inspectors": """
         SELECT 'IN-' || CAST(c_custkey AS STRING) AS id_badge, c_name AS name, c_mktsegment AS zone, CAST(c_custkey % 40 AS BIGINT) AS total_inspections, CAST(c_custkey % 6 AS BIGINT) AS reports_generated,
           CASE c_custkey % 3 WHEN 0 THEN 'In Field' WHEN 1 THEN 'In Lab' ELSE 'On Leave' END AS current_status, 90.0 + c_custkey % 10 AS stored_accuracy
-        FROM {customer} WHERE c_custkey < 60""",
+        FROM {customer}""",
     "reports": """
         SELECT 'REP-' || CAST(c_custkey AS STRING) AS id, CASE WHEN c_custkey % 2 = 0 THEN 'INS-' || CAST(c_custkey AS STRING) END AS scan_id, c_name AS subject_entity,
           CASE c_custkey % 2 WHEN 0 THEN 'Surprise Audit' ELSE 'Routine Inspection' END AS type, CASE c_custkey % 3 WHEN 0 THEN 'Clear' ELSE 'Violation Found' END AS status,
           'Inspector ' || CAST(c_custkey % 50 AS STRING) AS inspector_name, CASE c_custkey % 4 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' ELSE 'LOW' END AS severity,
           CAST(c_custkey % 7 AS BIGINT) * 1000 AS fine, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'INSTITUTIONAL' END AS source
-        FROM {customer} WHERE c_custkey < 100""",
+        FROM {customer}""",
     # a text per document and a predicted class from its words
     "labelled": """
         SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' ELSE 'poor' END AS expected,
