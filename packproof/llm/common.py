@@ -30,12 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests, local mode) a temporary folder becomes the session's checkpoint folder.
+    The folder is the session's ``spark.checkpoint.dir``; only a local master may go without
+    one, and a temporary folder becomes the session's checkpoint folder.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -8,9 +8,11 @@ alike. A document's score is the mean, over its tokens, of target loss minus bac
 
 Counts are exact and grow with the input. Documents are dealt into chunks of about
 CHUNK_INPUT bytes. A chunk sends its distinct words and bigrams (64-bit hashes) with their
-counts to BUCKETS ranges of hashes, in one packed message a range; a range sums them over all
+counts to ranges of hashes, in one packed message a range; a range sums them over all
 chunks and answers each message with the sums, in the message's order, and with its share of
-the totals. A chunk that has all answers scores its documents. A frequent word is one entry a
+the totals. There are as many ranges as keep each within about RANGE_INPUT bytes of input,
+so neither a chunk nor a range grows with the corpus; the messages, chunks times ranges, do.
+Beyond LARGE bytes of input chunks grow with its root, to BIGGEST bytes, to keep messages few. A chunk that has all answers scores its documents. A frequent word is one entry a
 chunk, so no key is hot, and nothing is gathered on the driver or broadcast.
 
 Cases: null and empty texts have no tokens and null losses; without target documents the
@@ -30,10 +32,9 @@ from . import common
 
 #: Weight of a context's own bigrams is count / (count + PRIOR); UNIFORM is shared out evenly.
 PRIOR, UNIFORM = 20.0, 0.05
-#: Ranges of hashes (a power of two), and bytes of input tables in a chunk of documents.
-BUCKETS, CHUNK_INPUT = 2048, 4 << 20
+#: Bytes of input tables in a chunk of documents and in a range of hashes; where chunks begin to grow, and end.
+CHUNK_INPUT, RANGE_INPUT, LARGE, BIGGEST = 4 << 20, 8 << 20, 64 << 30, 64 << 20
 
-_SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 _START, _WORD, _ODD = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95), np.uint64(1)
 #: Bytes of a count in a message and in an answer.
 _SENT, _ANSWERED = 4, 5
@@ -78,8 +79,8 @@ def _unpack(data, rows: int, width: int) -> np.ndarray:
     return out.view("<u8")[..., 0]
 
 
-def _send(table: pa.Table) -> pa.Table:
-    """A chunk's messages, one a range: keys, then n, n of the target, and how many of each end a text."""
+def _send(table: pa.Table, bits: int) -> pa.Table:
+    """A chunk's messages, one for each of 2**bits ranges: keys, then n, n of the target, and how many of each end a text."""
     first, h = _tokens(table)
     keys, word, pair, start = _keys(first, h)
     length = np.diff(first)
@@ -94,10 +95,11 @@ def _send(table: pa.Table) -> pa.Table:
         counts[k] = np.bincount(word[on], minlength=len(keys)) + np.bincount(pair[on], minlength=len(keys))
         counts[k, start] = np.count_nonzero(rows & some)
         counts[k + 2] = np.bincount(last[rows[some]], minlength=len(keys))
-    edge = np.searchsorted(keys >> _SHIFT, np.arange(BUCKETS + 1, dtype=np.uint64))
+    ranges = 1 << bits
+    edge = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(ranges + 1, dtype=np.uint64))
     data = [_pack(np.diff(keys[a:b], prepend=np.uint64(0)), 8) + _pack(counts[:, a:b], _SENT) for a, b in zip(edge, edge[1:])]
-    chunk = np.full(BUCKETS, table["chunk"][0].as_py(), np.int64)
-    return pa.table({"bucket": pa.array(np.arange(BUCKETS, dtype=np.int32)), "chunk": chunk, "data": pa.array(data, pa.binary())})
+    chunk = np.full(ranges, table["chunk"][0].as_py(), np.int64)
+    return pa.table({"bucket": pa.array(np.arange(ranges, dtype=np.int32)), "chunk": chunk, "data": pa.array(data, pa.binary())})
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -146,20 +148,27 @@ def _score(table: pa.Table, answers: pa.Table) -> pa.Table:
     return out.filter(table["asked"])
 
 
-def _chunks(docs: DataFrame) -> int:
-    """Number of chunks, by the size of the tables that ``docs`` reads; where Spark does not know it, by shuffle partitions."""
+def _sizes(docs: DataFrame) -> tuple[int, int]:
+    """Number of chunks and bits of the number of ranges, by the size of the tables that ``docs`` reads;
+    where Spark does not know it, by shuffle partitions."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size >= 1 << 50:
-        return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, size // CHUNK_INPUT)
+        size = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2 * CHUNK_INPUT
+    chunk = min(BIGGEST, max(CHUNK_INPUT, int(CHUNK_INPUT * (size / LARGE) ** 0.5)))
+    return max(8, size // chunk), max(6, (size // RANGE_INPUT).bit_length())
 
 
-def _scores(rows: DataFrame, chunks: int) -> DataFrame:
+def _scores(rows: DataFrame, sizes: tuple[int, int]) -> DataFrame:
     """Scores of the asked ones of ``rows`` (doc_id, text, is_target, is_label, counted, asked) by models of the counted ones."""
     common.arrow_batches(rows.sparkSession)
+    chunks, bits = sizes
     deal = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(chunks))
     rows = rows.withColumn("chunk", deal)
-    messages = rows.groupBy("chunk").applyInArrow(_send, "bucket int, chunk long, data binary")
+
+    def send(table: pa.Table) -> pa.Table:
+        return _send(table, bits)
+
+    messages = rows.groupBy("chunk").applyInArrow(send, "bucket int, chunk long, data binary")
     answers = messages.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, data binary, words long, tokens long, target long")
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
 
@@ -186,12 +195,12 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     """doc_id, n_tokens, loss_target and loss_background (means over tokens) and score of every row."""
     known = models.docs if "doc_id" in models.docs.columns else models.docs.withColumn("doc_id", F.xxhash64("text"))
     rows = _rows(known, F.col("is_target"), True, False).union(_rows(docs, F.lit(False), False, True))
-    return _scores(rows, max(_chunks(docs), _chunks(known)))
+    return _scores(rows, max(_sizes(docs), _sizes(known)))
 
 
-def score_all(docs: DataFrame, chunks: int) -> DataFrame:
+def score_all(docs: DataFrame, sizes: tuple[int, int]) -> DataFrame:
     """``score`` of the rows of ``docs`` (doc_id, text, is_target) by the models of these rows."""
-    return _scores(_rows(docs, F.col("is_target"), True, True), chunks)
+    return _scores(_rows(docs, F.col("is_target"), True, True), sizes)
 
 
 def labelled_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -206,4 +215,4 @@ def labelled_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    return score_all(labelled_target(docs, common.table(spark, sf_dir, "labels")), _chunks(docs))
+    return score_all(labelled_target(docs, common.table(spark, sf_dir, "labels")), _sizes(docs))
