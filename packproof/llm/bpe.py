@@ -4,7 +4,9 @@ Pre-tokenisation is a finite-state transducer over code-point classes. Transitio
 functions compose associatively, so token starts come from a blocked scan: every block
 composes the functions of its code points, the block functions are folded, and each
 block is replayed from its entry state. All texts of a chunk are scanned together.
-The slices between starts go through a cache of merged pieces.
+The slices between starts go through a cache of merged pieces. Their ends, as byte offsets
+into the text, are kept beside the ids; decoding puts the bytes of the ids between them and
+fails if an end does not fall between two ids or the last one is not the end of the text.
 
 Cases: null reads as empty; an empty text has no ids and decodes to no bytes; equal
 texts have equal ids; duplicated rows stay; every other column of the input is ignored
@@ -32,7 +34,7 @@ from . import common
 
 DEFAULT_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Pieces up to this length are merged in batches; the cache starts afresh after so many entries.
-CACHE_PIECE, CACHE_SIZE = 48, 600_000
+CACHE_PIECE, CACHE_SIZE = 48, 400_000
 BLOCK = 64
 
 # Code-point classes, then the symbols that one code point of lookahead makes of them.
@@ -366,32 +368,47 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), vocabulary: str
 
 
 def decode(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """Columns ``keep`` and ``decoded`` (binary): the bytes that ``ids`` stand for; null ids give no bytes."""
+    """Columns ``keep`` and ``decoded`` (binary): the bytes that ``ids`` stand for; null ids give no bytes.
+
+    Where ``encoded`` has ``piece_ends``, ids are put between them, and ids that do not fit are an error.
+    """
     keep = tuple(dict.fromkeys(keep))
     own = [encoded.schema[c] for c in keep]
+    offsets = "piece_ends" in encoded.columns
+
+    def sizes_of(column: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def run(batches):
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            column = batch.column(len(keep))
             taken = tokens_of(vocabulary).take(column.flatten())
             if taken.null_count:
                 raise ValueError("an id is not in the vocabulary")
             _, edges, data = taken.buffers()
-            edges = np.frombuffer(edges, np.int64)[taken.offset : taken.offset + len(taken) + 1]
-            edges = edges[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int64)
+            token_ends = np.frombuffer(edges, np.int64)[taken.offset : taken.offset + len(taken) + 1]
+            edges = token_ends[np.concatenate([[0], np.cumsum(sizes_of(column))])].astype(np.int64)
+            if offsets:
+                ends = batch.column(len(keep) + 1)
+                counts = sizes_of(ends)
+                at = ends.flatten().to_numpy() + np.repeat(edges[:-1], counts)
+                last = np.cumsum(counts) - 1
+                reached = np.where(counts > 0, at[np.maximum(last, 0)] if len(at) else 0, edges[:-1])
+                if (token_ends[np.minimum(np.searchsorted(token_ends, at), len(token_ends) - 1)] != at).any() or (reached != edges[1:]).any():
+                    raise ValueError("ids do not fit the offsets of their text")
             made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(edges.tobytes()), data if data is not None else pa.py_buffer(b"")])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), made.cast(pa.binary())], [*keep, "decoded"])
 
-    return encoded.select(*keep, F.col("ids").alias("__ids")).mapInArrow(run, T.StructType([*own, T.StructField("decoded", T.BinaryType())]))
+    rows = encoded.select(*keep, F.col("ids").alias("__ids"), *([F.col("piece_ends").alias("__ends")] if offsets else []))
+    return rows.mapInArrow(run, T.StructType([*own, T.StructField("decoded", T.BinaryType())]))
 
 
 def digests(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """Per document: number of ids, SHA-256 of the ids and of the bytes they decode to."""
-    encoded = encode(docs, ("doc_id",), vocabulary, offsets=False)
-    small = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"))
-    back = decode(small, ("doc_id", "n_tokens", "ids_sha256"), vocabulary)
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Per document: number of ids, SHA-256 of the ids and of the bytes they decode to, number of pieces between offsets."""
+    encoded = encode(docs, ("doc_id",), vocabulary)
+    own = [F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"), F.size("piece_ends").cast("long").alias("n_pieces")]
+    back = decode(encoded.select("doc_id", "ids", "piece_ends", *own), ("doc_id", "n_tokens", "ids_sha256", "n_pieces"), vocabulary)
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_pieces")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

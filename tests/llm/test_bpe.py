@@ -3,9 +3,12 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from packproof.llm import bpe
 
@@ -32,7 +35,7 @@ def test_cases():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("ab 's\n\t'relvtmd1.,é"), st.characters(exclude_categories=("Cs", "Cn", "Co"), max_codepoint=0xFFFF)), max_size=40), min_size=1, max_size=5))
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("ab 's\n\t'relvtmd1.,é"), st.characters(exclude_categories=("Cs",))), max_size=40), min_size=1, max_size=5))
 def test_as_tiktoken(texts):
     assert ours(texts)[0] == [ORACLE.encode_ordinary(t) for t in texts]
 
@@ -44,6 +47,15 @@ def test_query(spark):
     want = []
     for i, t in rows:
         ids = ORACLE.encode_ordinary(t or "")
-        want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+        want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest(), len(regex.findall(PATTERN, t or ""))))
     assert got == sorted(want, key=str)
     assert bpe.digests(docs.limit(0)).count() == 0
+
+
+def test_offsets_are_held_against_ids(spark):
+    docs = spark.createDataFrame([(1, "It's a test"), (2, "")], "doc_id long, text string")
+    encoded = bpe.encode(docs)
+    assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in bpe.decode(encoded).collect()} == {1: "It's a test", 2: ""}
+    for wrong in ("transform(piece_ends, x -> x + 1)", "slice(piece_ends, 1, 2)", "array(1, 11)"):
+        with pytest.raises(Exception, match="do not fit"):
+            bpe.decode(encoded.withColumn("piece_ends", F.expr(f"if(doc_id = 1, {wrong}, piece_ends)"))).collect()
