@@ -101,10 +101,9 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
         out, at, seen = None, 0, {}
         for batch in batches:
             data, edges = common.text_bytes(batch.column(1))
-            raw = data.tobytes()
             rows = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                image = to_png(raw[a:b])
+                image = to_png(data[a:b].tobytes())
                 digest = hashlib.sha256(image).digest()
                 if digest not in seen:
                     if out is None:
@@ -169,34 +168,34 @@ def metadata(at: DataFrame, folder: str) -> DataFrame:
 
 
 def features(at: DataFrame, folder: str) -> DataFrame:
-    """Per digest: sizes and digests of payload and media, tail checksum, feature, and the header's fields."""
+    """Per digest: sizes and digests of payload and media, tail checksum, feature, from whole images."""
     folder = _uri(folder)
 
     def run(batches):
         for batch, images in _ranges(batches, folder, lambda n: n):
             rows = []
             for digest, image in zip(batch.column(0).to_pylist(), images):
-                width, height, bits = read_header(image[:HEADER])
                 media = hashlib.sha256(image)
                 if media.digest() != digest:
                     raise ValueError("stored bytes do not have their address")
                 payload = from_png(image)
                 # UTF-8 never has a byte 255, so the fill can be told from the text
-                rows.append((digest, len(payload.rstrip(b"\xff")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), media.hexdigest(), feature(payload), width, height, bits))
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                rows.append((digest, len(payload.rstrip(b"\xff")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), media.hexdigest(), feature(payload)))
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], FIELDS)
 
-    return _sequential(at).mapInArrow(run, "digest binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long, bits long")
+    return _sequential(at).mapInArrow(run, "digest binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
-FIELDS = ["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits"]
+FIELDS = ["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.shared_path(spark, "media")
     manifest = store(common.table(spark, sf_dir, "documents"), folder)
-    read = features(places(manifest), folder)
-    return manifest.select("doc_id", "digest").join(read, "digest").select("doc_id", *FIELDS[1:])
+    at = common.materialise(places(manifest), "places")
+    read = features(at, folder).join(metadata(at, folder), "digest")
+    return manifest.select("doc_id", "digest").join(read, "digest").select("doc_id", *FIELDS[1:], "width", "height", "bits")
 
 
 def unpack(folder: str, shard: str) -> dict[str, bytes]:
