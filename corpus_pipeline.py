@@ -35,7 +35,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by their rates: toxic ones go, the other domains keep their weight."""
+    """Documents by their rates: toxic ones go; clean ones stay, as often as the target weights need."""
     return mixing.apply(docs, common.table(spark, sf_dir, "labels"))
 
 

@@ -9,12 +9,19 @@ tokens times that posterior. Rates r >= 0 are fitted by projected gradient least
 
 starting from r = 1, with M the inverse of G = sum_i tokens_i p_i p_i'. In that metric a
 step of length one is safe: r_i <- max(0, r_i - p_i' M (A r - T)). A rate is a fold over the
-few residuals seen so far, so no rate is stored between rounds: each round is one map-side
+residuals seen so far, so no rate is stored between rounds: each round is one map-side
 aggregate over a compact table, and only as many numbers as there are domains come back.
+Steps end when the targets are met or the objective falls by less than SETTLED of itself,
+which is where targets cannot be met: a target of zero with soft posteriors never can be,
+as every document is in part in each domain. ``residuals`` says how far each domain is off.
+
+``apply`` keeps clean documents: those that are rather not toxic have a rate of one at least,
+and the total is raised until no clean domain has to shrink for the shares of ``targets``.
+A rate's fraction is settled by a keyed hash of the document, so expected totals are kept.
 
 Cases: null and empty texts have no tokens, prior posteriors and the rate that follows from
-them; without labelled documents posteriors are even; repeated rows count each time; ties
-need no order; extra columns are ignored; an empty table gives no rows.
+them; without labelled documents posteriors are even; of labels that contradict each other
+toxic counts before poor, and poor before good; repeated rows count each time; ties need no order; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ from . import common
 DOMAINS = ("good", "poor", "toxic")
 #: Word buckets; labelled documents learned from, drawn by hash; standard errors that make a bucket telling.
 BUCKETS, LABELLED, SIGNIFICANCE = 1 << 16, 4000, 5.0
-STEPS, TOLERANCE = 20, 1e-5
+STEPS, TOLERANCE, SETTLED = 100, 1e-5, 1e-3
 #: Shares of all tokens that the mix should have.
 TARGETS = {"good": 0.75, "poor": 0.25, "toxic": 0.0}
 
@@ -51,8 +58,11 @@ def tokens_of(text: Column) -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFrame:
     """text and domain of at most ``limit`` labelled documents, drawn by a hash of their ids."""
     known = labels.select(F.col("doc_id").alias("__id"), domain_of(F.col("quality"), F.col("toxic")).alias("domain")).filter("__id is not null and domain is not null")
-    known = known.groupBy("__id").agg(F.min("domain").alias("domain"))
-    drawn = known.orderBy(F.xxhash64("__id"), "__id").limit(limit)
+    known = known.groupBy("__id").agg(F.max("domain").alias("domain"))
+    # a little more than ``limit`` by the hash alone, so that the order is taken of few rows
+    below = min(1.0, (1.2 * limit + 100) / max(known.count(), 1))
+    few = known.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int(below * (1 << 30)))
+    drawn = few.orderBy(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)), "__id").limit(limit)
     rows = docs.select("doc_id", "text")
     return rows.join(F.broadcast(drawn), rows["doc_id"] == drawn["__id"]).select("text", "domain")
 
@@ -98,20 +108,27 @@ def posteriors(docs: DataFrame, model: DataFrame, base: list[float]) -> DataFram
     return raised.select("doc_id", "version", "copies", "tokens", F.transform("e", lambda x: x / total).alias("p"))
 
 
-def rate(p: Column, steps: list[list[float]]) -> Column:
-    """The rate of a document with posteriors ``p`` after the given steps."""
+def rate(p: Column, steps: list[list[float]], least: Column | None = None) -> Column:
+    """The rate of a document with posteriors ``p`` after the given steps, not below ``least`` (zero)."""
+    least = F.lit(0.0) if least is None else least
     out = F.lit(1.0)
     if not steps:
         return out
     moves = F.array(*(F.array(*map(F.lit, s)) for s in steps))
 
     def move(r: Column, s: Column) -> Column:
-        return F.greatest(F.lit(0.0), r - reduce(lambda a, b: a + b, (p[k] * s[k] for k in range(len(steps[0])))))
+        return F.greatest(least, r - reduce(lambda a, b: a + b, (p[k] * s[k] for k in range(len(steps[0])))))
 
     return F.aggregate(moves, out, move)
 
 
-def fit(memberships: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
+def totals(memberships: DataFrame, r: Column, n: int) -> np.ndarray:
+    """Expected tokens of each domain at rates ``r``."""
+    weight = F.col("tokens") * F.col("copies")
+    return np.array(memberships.agg(*(F.coalesce(F.sum(weight * F.col("p")[k] * r), F.lit(0.0)) for k in range(n))).first(), float)
+
+
+def fit(memberships: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE, least: Column | None = None, settled: float = SETTLED) -> list[list[float]]:
     """Steps of the projected gradient towards ``targets``, token totals by domain."""
     n = len(targets)
     p, weight = F.col("p"), F.col("tokens") * F.col("copies")
@@ -120,35 +137,51 @@ def fit(memberships: DataFrame, targets: list[float], steps: int = STEPS, tolera
     scale = max(float(gram.max()), 1e-12)
     metric = np.linalg.inv(gram + 1e-9 * scale * np.eye(n))
     found: list[list[float]] = []
+    before = np.inf
     for _ in range(steps):
-        r = rate(p, found)
-        now = memberships.agg(*(F.coalesce(F.sum(weight * p[k] * r), F.lit(0.0)) for k in range(n))).first()
-        residual = np.array(now, float) - targets
-        if np.abs(residual).max() <= tolerance * max(float(np.abs(targets).max()), 1.0):
+        residual = totals(memberships, rate(p, found, least), n) - targets
+        now = float(residual @ metric @ residual)
+        if np.abs(residual).max() <= tolerance * max(float(np.abs(targets).max()), 1.0) or now > (1 - settled) * before:
             break
+        before = now
         found.append((metric @ residual).tolist())
     return found
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = TARGETS, domains: tuple[str, ...] = DOMAINS) -> DataFrame:
-    """doc_id, version, copies, tokens, p and rate of every document.
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domains: tuple[str, ...] = DOMAINS, keep_clean: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rates, residuals): doc_id, version, copies, tokens, p and rate of every document; and by
+    domain the tokens wanted, reached at these rates, and their difference.
 
-    ``targets`` are shares of all tokens by domain; None keeps every domain's present
-    tokens, but for the last domain, which is to vanish.
+    ``targets`` are shares by domain, of all present tokens. With ``keep_clean`` they are shares
+    of a total so large that no domain but the last has to shrink, and a document with less than
+    half its weight in the last domain has a rate of one at least.
     """
+    n = len(domains)
     model, base = learn(labelled(docs, labels), domains)
     memberships = common.materialise(posteriors(docs, model, base), "memberships")
-    present = memberships.agg(*(F.coalesce(F.sum(F.col("tokens") * F.col("copies") * F.col("p")[k]), F.lit(0.0)) for k in range(len(domains)))).first()
-    if targets is None:
-        wanted = [*map(float, present[:-1]), 0.0]
-    else:
-        wanted = [targets[d] * sum(present) for d in domains]
-    return memberships.withColumn("rate", rate(F.col("p"), fit(memberships, np.array(wanted))))
-
-
-def apply(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with each row repeated as often as its rounded rate says: rate 0 goes, rate 1 stays."""
-    rates = mix(docs, labels, None).select(F.col("doc_id").alias("__id"), F.col("version").alias("__v"), F.round("rate").cast("int").alias("__times"))
+    present = totals(memberships, F.lit(1.0), n)
+    wanted, total, least = np.array([targets[d] for d in domains], float), present.sum(), None
+    if keep_clean:
+        total = max([total, *(have / share for have, share in zip(present[:-1], wanted[:-1]) if share > 0)])
+        least = F.when(F.col("p")[n - 1] < 0.5, 1.0).otherwise(0.0)
+    wanted = wanted * total
+    rates = memberships.withColumn("rate", rate(F.col("p"), fit(memberships, wanted, least=least), least))
+    return rates, residuals(rates, wanted, domains)
+
+
+def residuals(rates: DataFrame, wanted: np.ndarray, domains: tuple[str, ...] = DOMAINS) -> DataFrame:
+    """domain, wanted, reached and residual (reached - wanted), in tokens."""
+    reached = totals(rates, F.col("rate"), len(domains))
+    rows = [(d, float(w), float(r), float(r - w)) for d, w, r in zip(domains, wanted, reached)]
+    return rates.sparkSession.createDataFrame(rows, "domain string, wanted double, reached double, residual double")
+
+
+def apply(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, key: str = "mix-0") -> DataFrame:
+    """``docs`` with each row as often as its rate says, on average over ``key``; clean documents stay."""
+    rates, _ = mix(docs, labels, targets, keep_clean=True)
+    drawn = F.pmod(F.xxhash64("doc_id", "version", F.lit(key)), F.lit(1 << 30)) / float(1 << 30)
+    whole = F.floor("rate")
+    rates = rates.select(F.col("doc_id").alias("__id"), F.col("version").alias("__v"), (whole + F.when(drawn < F.col("rate") - whole, 1).otherwise(0)).cast("int").alias("__times"))
     same = docs["doc_id"].cast("long").eqNullSafe(rates["__id"]) & (F.xxhash64(docs["text"]) == rates["__v"])
     joined = docs.join(rates, same).filter("__times > 0")
     return joined.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
@@ -156,6 +189,7 @@ def apply(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    rows = mix(docs, common.table(spark, sf_dir, "labels"))
+    rows, left = mix(docs, common.table(spark, sf_dir, "labels"))
     rows = rows.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))  # one row for each of the table
-    return rows.select("doc_id", "tokens", *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), "rate")
+    off = {r["domain"]: r["residual"] for r in left.collect()}  # one row per domain
+    return rows.select("doc_id", "tokens", *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), "rate", *(F.lit(off[d]).alias(f"residual_{d}") for d in DOMAINS))

@@ -21,7 +21,7 @@ def test_fit_reaches_targets(spark):
     w = rng.integers(0, 300, 400)
     rows = spark.createDataFrame([(i, int(w[i]), 1, p[i].tolist()) for i in range(400)], "doc_id long, tokens long, copies long, p array<double>")
     targets = np.array([0.5, 0.4, 0.1]) * w.sum()
-    steps = mixing.fit(rows, targets, steps=60, tolerance=1e-9)
+    steps = mixing.fit(rows, targets, tolerance=1e-9, settled=0.0)
     got = np.array([r[1] for r in rows.select("doc_id", mixing.rate(F.col("p"), steps)).orderBy("doc_id").collect()])
     assert (got >= 0).all() and np.allclose((p * (w * got)[:, None]).sum(0), targets, rtol=1e-4)
     assert np.allclose(got, brute(p, w, targets), atol=1e-3)
@@ -36,8 +36,10 @@ def test_posteriors(spark):
     by = {(r["doc_id"], r["tokens"]): r for r in rows}
     assert by[1, 2]["copies"] == 2 and by[3, 0]["copies"] == 1 and by[6, 500]["copies"] == 1 and len(rows) == 6
     assert all(r["p"] == pytest.approx([3 / 6, 1 / 6, 2 / 6]) for r in rows)
-    assert len(mixing.mix(docs.limit(0), labels).collect()) == 0
-    assert len(mixing.mix(docs, labels.limit(0)).collect()) == 6
+    assert len(mixing.mix(docs.limit(0), labels)[0].collect()) == 0
+    assert len(mixing.mix(docs, labels.limit(0))[0].collect()) == 6
+    torn = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0), (2, 0, 1)], labels.schema)
+    assert sorted(r["domain"] for r in mixing.labelled(docs, torn).collect()) == ["poor", "poor", "toxic"]
 
 
 def test_bernoulli_bayes(spark):
@@ -63,7 +65,9 @@ def test_whole_table(spark):
     assert len(rows) == 1000 and (rows.rate >= 0).all()
     total = rows.tokens.sum()
     for k, share in mixing.TARGETS.items():
-        assert (rows.tokens * rows[f"p_{k}"] * rows.rate).sum() / total == pytest.approx(share, abs=0.01)
+        reached = (rows.tokens * rows[f"p_{k}"] * rows.rate).sum()
+        assert reached / total == pytest.approx(share, abs=0.01)
+        assert rows[f"residual_{k}"].iloc[0] == pytest.approx(reached - share * total, abs=1)
     labels = {r["doc_id"]: r for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     top = rows[["p_good", "p_poor", "p_toxic"]].to_numpy().argmax(1)
     truth = [(2 if labels[i]["toxic"] else 0 if labels[i]["quality"] else 1) if i in labels else -1 for i in rows.doc_id]
@@ -86,3 +90,20 @@ def test_apply_keeps_clean_documents(spark):
     gone = set(rows) - set(ids)
     assert len(toxic) > 20 and len(gone & toxic) > 0.85 * len(toxic)
     assert len(gone & clean) < 0.02 * len(clean)
+
+
+def test_apply_meets_target_weights(spark):
+    """Realised tokens by domain, after whole copies have been drawn, have the wanted shares; nothing clean is lost."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    targets = {"good": 0.7, "poor": 0.3, "toxic": 0.0}
+    rates, left = mixing.mix(docs, labels, targets, keep_clean=True)
+    rates = rates.toPandas()
+    p = np.stack(rates.p)
+    kept = mixing.apply(docs, labels, targets).groupBy("doc_id", F.xxhash64("text").alias("version")).count().toPandas()
+    times = rates.merge(kept, "left", ["doc_id", "version"])["count"].fillna(0).to_numpy()
+    assert (times[p[:, 2] < 0.5] >= 1).all() and (abs(times / rates.copies - rates.rate) < 1).all()
+    realised = (p * (rates.tokens * times).to_numpy()[:, None]).sum(0)
+    assert realised / realised.sum() == pytest.approx([0.7, 0.3, 0.0], abs=0.03)
+    report = {r["domain"]: r for r in left.collect()}
+    assert all(abs(report[k]["reached"] - x) < 0.05 * realised.sum() for k, x in zip(mixing.DOMAINS, realised))

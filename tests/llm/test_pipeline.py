@@ -39,7 +39,7 @@ def test_planted_cases(spark, tmp_path):
     near[30] = "changed"
     rows += [[500, rows[4][1], "en", "s", 0], [501, " ".join(near), "en", "s", 0], [502, None, "en", "s", 0], [503, "12 34 !!", "en", "s", 0], [504, "", None, None, None]]
     tables(spark, tmp_path, rows, labels)
-    got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}  # repeated by their rates
     clean = {r[0] for r in rows[:160] if r[0] % 4 != 1}
     assert clean <= set(got) and not set(got) & {500, 501, 502, 503, 504}
     assert len(set(got) - clean) <= 2  # toxic ones are gone
