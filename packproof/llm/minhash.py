@@ -37,6 +37,8 @@ from . import common
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 K = BANDS * ROWS
+#: One bucket in so many is settled before the others.
+FIRST = 5
 #: Rounds in which sets without a possible partner are dropped before pairs are formed.
 PRUNINGS = 2
 #: Rank cells double from FINE to 1 and have unit length from there.
@@ -271,14 +273,15 @@ def components(edges: DataFrame) -> DataFrame:
 def link(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """node and comp of the members (key, node, n, m) that have a verified link.
 
-    At first all members of a bucket meet its pivot: the member with the fewest elements of
-    its own, which in a group of edited copies is nearest to all; each keeps a bit mask of
-    the pivot's elements that it has. Then, round by round, members meet the pivots of a
-    growing number of hashed shares of the bucket, but only those of another component
-    that could be close: the masks give their common elements within the first pivot
-    exactly, and the shared elements that each has outside of it bound the rest. Pivots
-    leave their bucket, as they have met all others that matter. It ends when no bucket
-    holds members that could still be linked.
+    In some of the buckets all members meet the pivot first: the member with the fewest
+    elements of its own, which in a group of edited copies is nearest to all. That settles most
+    groups, and a bucket within one component is done. In the others all members meet the
+    pivot, and each keeps a bit mask of the pivot's elements that it has. Then, round by round,
+    members meet the pivots of a growing number of hashed shares of the bucket (2**20 at most),
+    but only those of another component that could be close: the masks give their common
+    elements within the first pivot exactly, and the shared elements that each has outside of it
+    bound the rest. Pivots leave their bucket, as they have met all others that matter. It ends
+    when no bucket holds members that could still be linked.
     """
     shares = 1
     best = F.struct((F.col("m") / F.col("n")).alias("whole"), (-F.col("node")).alias("id"))
@@ -291,9 +294,17 @@ def link(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> D
         chosen = rows.groupBy("key", share).agg(F.max_by(F.struct("node", *carried), best).alias("p"))
         return common.materialise(chosen.select("key", F.col("p.node").alias("b"), *(F.col(f"p.{c}").alias(f"{c}_b") for c in carried)), "pivots")
 
+    def close_to(pairs: DataFrame) -> DataFrame:
+        return pairs.filter(F.col("j") >= threshold - 1e-9).select("a", "b")
+
     first = members.join(pivots_of(members), "key").filter("node <> b")
-    found = common.materialise(met(first.select(F.col("node").alias("a"), "b").distinct(), sets), "met")
-    edges = found.filter(F.col("j") >= threshold - 1e-9).select("a", "b")
+    pairs = lambda rows: rows.select(F.col("node").alias("a"), "b").distinct()
+    edges = common.materialise(close_to(measured(pairs(first.filter(F.pmod(F.xxhash64("key"), F.lit(FIRST)) == 0)), sets)), "links")
+    comps = components(edges)
+    named = members.join(comps, "node", "left").groupBy("key").agg(F.min(F.coalesce("comp", "node")).alias("x"), F.max(F.coalesce("comp", "node")).alias("y"))
+    first = first.join(common.materialise(named.filter("x < y").select("key"), "open"), "key", "left_semi")
+    found = common.materialise(met(pairs(first), sets), "met")
+    edges = edges.union(close_to(found)).distinct()
     comps = components(edges)
     left = first.withColumnRenamed("node", "a").join(found, ["a", "b"]).select("key", F.col("a").alias("node"), "n", "m", "inside", "mask")
     while True:
