@@ -508,9 +508,7 @@ def fn10_cin(t):
 @query("""SELECT scan_id, pos, CASE WHEN regexp_matches(value, '^Ingredients') THEN 'ingredients' WHEN regexp_matches(value, '^MRP Rs') THEN 'mrp' WHEN regexp_matches(value, '^Net Wt') THEN 'quantity' WHEN regexp_matches(value, '^PKD:') THEN 'mfg_date'
  WHEN regexp_matches(value, '^Lic No') THEN 'license' WHEN regexp_matches(value, '^Customer care') THEN 'helpline' WHEN regexp_matches(value, '^Packed by') THEN 'address' ELSE 'other' END AS category FROM {features}""")
 def fn1_classify(t):
-    # equal lines are classified once
-    lines = t("features").select("value").distinct().withColumn("category", text.classify_line(F.col("value")))
-    return t("features").select("scan_id", "pos", "value").join(lines, "value").select("scan_id", "pos", "category")
+    return text.classify_lines(t("features").select("scan_id", "pos", "value")).select("scan_id", "pos", "category")
 
 
 def _sql_replace(sql: str, pairs) -> str:
@@ -610,6 +608,27 @@ def fn13_hallucination(t):
     return rows.select("scan_id", "pos", text.is_latin_hallucination(F.col("v"), F.col("c")).alias("h"))
 
 
+_DEVANAGARI = "CASE pos % 4 WHEN 0 THEN 'शुद्ध मात्रा ' || value WHEN 1 THEN 'प्रसिद्ध भेळ' WHEN 2 THEN 'दिल्ली में' ELSE 'निव्वळ चव' END"
+
+
+@query(f"SELECT scan_id, pos, CASE WHEN pos % 4 IN (1, 3) THEN 'mr' ELSE 'hi' END AS language FROM {{features}}")
+def fn12_devanagari(t):
+    rows = derived(t, f"SELECT scan_id, pos, {_DEVANAGARI} AS v FROM {{features}}")
+    return rows.select("scan_id", "pos", text.devanagari_language(F.col("v")).alias("language"))
+
+
+_MIXED = "CASE pos % 3 WHEN 0 THEN 'मूल्य ab, वजन!' WHEN 1 THEN value || '  abcd क' ELSE value END"
+
+
+@query(rf"""WITH m AS (SELECT scan_id, pos, {_MIXED} AS t FROM {{features}}), c AS (SELECT *, length(regexp_replace(t, '[^ऀ-ॿ]', '', 'g')) AS signs, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters FROM m),
+ f AS (SELECT *, trim(regexp_replace(CASE WHEN signs > 0 THEN coalesce(nullif(trim(regexp_replace(regexp_replace(t, '[A-Za-z]+|[,|._~`''"!?:-]', '', 'g'), '\s+', ' ', 'g')), ''), t) ELSE t END, '\s+', ' ', 'g')) AS g FROM c)
+ SELECT scan_id, pos, CASE WHEN letters >= 4 AND signs <= 1 THEN coalesce(nullif(trim(regexp_replace(regexp_replace(g, '[ऀ-ॿ]', '', 'g'), '\s+', ' ', 'g')), ''), g) ELSE g END AS v FROM f""")
+def fn14_crosstalk(t):
+    """Stray Latin in Devanagari texts, a stray sign in Latin ones, and lines as they are."""
+    rows = derived(t, f"SELECT scan_id, pos, {_MIXED} AS t FROM {{features}}")
+    return rows.select("scan_id", "pos", text.prune_crosstalk(F.col("t")).alias("v"))
+
+
 @query(f"""WITH k AS ({_TOKENS}) SELECT scan_id, token_pos, xmin, ymin, xmax, ymax, CASE WHEN w * h > 0 THEN w * h / ((xmax - xmin) * (ymax - ymin) + 2500 - w * h) ELSE 0.0 END::DOUBLE AS iou
  FROM (SELECT *, greatest(0, least(xmax, 60) - greatest(xmin, 10))::DOUBLE AS w, greatest(0, least(ymax, 60) - greatest(ymin, 10))::DOUBLE AS h FROM k)""")
 def fn23_iou(t):
@@ -749,9 +768,33 @@ def snk2_audit(t):
     return store.inspection_audit(t("scans"), t("evals"))
 
 
-@query("SELECT id, CAST(pos AS VARCHAR) AS pos, sku, CAST(declared_mrp AS VARCHAR) AS declared_mrp, risk FROM {registry}")
+@query("""SELECT sku AS "SKU_Barcode", product_name AS "Product_Name", brand AS "Brand", category AS "Category", batch_number AS "Batch_Number", CAST(declared_mrp AS VARCHAR) AS "Declared_MRP_INR", '' AS "Net_Quantity", mfg_date AS "Mfg_Date", expiry_date AS "Expiry_Date", manufacturer AS "Manufacturer_Address",
+ '' AS "FSSAI_License", '' AS "Consumer_Care", 'India' AS "Country_Of_Origin", '' AS "CIN", risk AS "Risk_Score", CAST(scans_count AS VARCHAR) AS "Scans_Count", CAST(passed_count AS VARCHAR) AS "Passed_Count", '0' AS "Violations_Count", '' AS "Registered_Date" FROM {registry}""")
 def snk1_registry(t):
-    return store.registry_rows(t("registry").select("id", "pos", "sku", "declared_mrp", "risk"))
+    return store.registry_rows(t("registry"))
+
+
+@query("""SELECT id AS "Log ID", strftime(ts_text::TIMESTAMP, '%d %b %Y, %I:%M:%S %p') AS "Formatted Date & Time", ts_text AS "Raw Timestamp", user_name AS "User / Principal", action AS "Action Taken", target AS "Target Resource", '' AS "Source IP", status AS "Status", coalesce(details, '') AS "Details" FROM {audit_logs}""")
+def snk3_audit_trail(t):
+    return store.audit_trail(t("audit_logs"))
+
+
+@query("""SELECT name AS "Name", id_badge AS "Badge ID", CAST(total_inspections AS VARCHAR) AS "Total Inspections", CAST(reports_generated AS VARCHAR) AS "Reports Generated", current_status AS "Current Status", zone AS "Jurisdiction", '' AS "Email", '' AS "Phone" FROM {inspectors}""")
+def snk3_roster(t):
+    return store.roster(t("inspectors"))
+
+
+@query("""SELECT id AS "Report ID", coalesce(source, 'INSTITUTIONAL') AS "Origin", subject_entity AS "Subject Entity", '' AS "Assessed Product", type AS "Type", '' AS "Date Generated", inspector_name AS "Inspector", status AS "Status", CAST(fine AS VARCHAR) AS "Fine INR", coalesce(scan_id, '') AS "Scan Ref" FROM {reports}""")
+def snk3_reports(t):
+    return store.report_rows(t("reports"))
+
+
+@query("""WITH r AS (SELECT CASE WHEN pos % 7 = 0 THEN ' ' ELSE sku END AS sku, product_name, CASE WHEN pos % 3 = 0 THEN brand END AS brand, CASE WHEN pos % 2 = 0 THEN '' ELSE category END AS category, CASE WHEN pos % 5 = 0 THEN 'x' ELSE CAST(declared_mrp AS VARCHAR) END AS declared_mrp, CASE WHEN pos % 4 > 0 THEN batch_number END AS batch_number FROM {registry})
+ SELECT sku, product_name, coalesce(brand, 'Imported Brand') AS brand, coalesce(nullif(category, ''), 'Packaged Foods') AS category, coalesce(nullif(try_cast(declared_mrp AS DOUBLE), 0), 50.0)::DOUBLE AS declared_mrp, coalesce(batch_number, 'BATCH-0115') AS batch_number, 0::BIGINT AS scans_count, 0::BIGINT AS passed_count, 0::BIGINT AS violations_count FROM r WHERE trim(sku) <> ''""")
+def src3_import(t):
+    k = F.col("pos")
+    rows = t("registry").select(F.when(k % 7 == 0, " ").otherwise(F.col("sku")).alias("sku"), "product_name", F.when(k % 3 == 0, F.col("brand")).alias("brand"), F.when(k % 2 == 0, "").otherwise(F.col("category")).alias("category"), F.when(k % 5 == 0, "x").otherwise(F.col("declared_mrp").cast("string")).alias("declared_mrp"), F.when(k % 4 > 0, F.col("batch_number")).alias("batch_number"))
+    return store.imported(rows, "2024-01-15", store.CSV_DEFAULTS)
 
 
 # --- layout ---------------------------------------------------------------------------------
@@ -803,3 +846,10 @@ _ITEMS = "SELECT 'INS-' || CAST(l_orderkey AS STRING) AS scan_id, row_number() O
 def grp3_brand_clusters(t):
     rows = derived(t, _ITEMS).withColumns({"panel": F.lit("front"), "page_h": F.lit(360.0)})
     return layout.brand_clusters(rows).select("scan_id", "value", "confidence", "confidence_max", "font_height", "xmin", "ymin", "xmax", "ymax")
+
+
+@query(f"""WITH c AS (SELECT *, pow(greatest(4, ymax - ymin), 2.2) * sqrt(length(value)) * confidence * CASE WHEN (ymin + ymax) / 2 / 360 < 0.45 THEN 1.2 WHEN (ymin + ymax) / 2 / 360 < 0.75 THEN 1.0 ELSE 0.4 END AS weight FROM ({_ITEMS}))
+ SELECT scan_id, arg_max(pos, (weight, -pos)) AS pos, arg_max(value, (weight, -pos)) AS value FROM c GROUP BY scan_id""")
+def win6_anchor(t):
+    rows = derived(t, _ITEMS).withColumns({"panel": F.lit("front"), "page_h": F.lit(360.0), "script_family": F.lit("Latin")})
+    return ranking.brand_anchor(rows).select("scan_id", "pos", "value")

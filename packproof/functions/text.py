@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as C
@@ -26,6 +26,13 @@ def classify_line(text: Column) -> Column:
     return out.otherwise("other")
 
 
+def classify_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """``lines`` with ``category`` of their text; equal texts are classified once, null ones are ``other``."""
+    texts = lines.select(F.col(column).alias("__text")).filter("__text is not null").distinct()
+    texts = texts.select("__text", classify_line(F.col("__text")).alias("category"))
+    return lines.drop("category").join(texts, F.col(column) == F.col("__text"), "left").drop("__text").fillna("other", ["category"])
+
+
 def price_tag(text: Column, x: Column, y: Column, width: Column, height: Column) -> Column:
     """A bare number of 1 to 9999 near the top left reads as a price."""
     number = F.regexp_extract(normalize_indic_digits(text), r"^\s*[^a-zA-Z0-9:ऀ-ൿ]*\s*([0-9]{1,5}(?:\.[0-9]{1,2})?)\s*[^a-zA-Z0-9:ऀ-ൿ]*$", 1).try_cast("double")
@@ -205,4 +212,4 @@ def category_label(category: Column) -> Column:
     return F.coalesce(F.try_element_at(known, category), F.upper(F.replace(category, F.lit("_"), F.lit(" "))))
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("Column", "F", "C", "pd", "unicodedata", "java", "has")]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in ("Column", "DataFrame", "F", "C", "pd", "unicodedata", "java", "has")]

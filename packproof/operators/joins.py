@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from .records import NO_BARCODE
 
-#: Rows below which a dimension may be broadcast; larger ones are shuffled.
-SMALL = 20_000
-
-
 def digits(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[^0-9]", "")
 
@@ -63,19 +59,24 @@ def match_company(brands: DataFrame, companies: DataFrame, company_brands: DataF
 def contains_pairs(left: DataFrame, right: DataFrame, both_ways: bool) -> DataFrame:
     """(left name, right name) of distinct names of which one holds the other, whatever the case.
 
-    Equal lower-case names meet in an equi-join. For the rest the longer name is cut into
-    all its word runs, which meet the shorter names by equality: a containment that starts
-    and ends inside a word is found by runs of characters of that name's length instead.
+    The shorter name is entered under the rarest of its runs of three characters (all of it, if
+    it is shorter than that), the longer under all of its runs; the pairs that meet are verified.
     """
     l = left.select(F.col("name").alias("l")).distinct().filter("l <> ''")
     r = right.select(F.col("name").alias("r")).distinct().filter("r <> ''")
 
+    def runs(name: str, n: int):
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda k: F.substring(F.lower(name), k, F.lit(n))))
+
     def inside(outer: DataFrame, o: str, inner: DataFrame, i: str) -> DataFrame:
-        # substrings of the outer name in the lengths that inner names have: a handful
-        lengths = inner.select(F.length(i).alias("n")).distinct()
-        cuts = outer.join(F.broadcast(lengths), F.length(o) >= F.col("n"))
-        cuts = cuts.select(o, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(o) - F.col("n") + 1), lambda k: F.lower(F.substring(F.col(o), k, F.col("n")))))).alias("cut"))
-        return cuts.join(inner.withColumn("cut", F.lower(i)), "cut").select("l", "r")
+        held = [outer.filter(F.length(o) >= n).select(o, F.explode(runs(o, n)).alias("run")) for n in (3, 2, 1)]
+        common = held[0].groupBy("run").agg(F.count("*").alias("n"))
+        own = inner.filter(F.length(i) >= 3).select(i, F.explode(runs(i, 3)).alias("run")).join(common, "run", "left")
+        rarest = own.groupBy(i).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run"))["run"].alias("run"))
+        met = rarest.join(held[0], "run")
+        for n, rows in ((2, held[1]), (1, held[2])):
+            met = met.unionByName(inner.filter(F.length(i) == n).select(i, F.lower(i).alias("run")).join(rows, "run"))
+        return met.filter(F.contains(F.lower(o), F.lower(i))).select("l", "r")
 
     out = inside(l, "l", r, "r")
     return (out.union(inside(r, "r", l, "l")) if both_ways else out).distinct()

@@ -9,7 +9,7 @@ from ..functions.ids import parse_cin, parse_fssai
 
 
 def regulatory_faults(features: DataFrame) -> DataFrame:
-    """scan_id, faults and notes: licence and corporate numbers on the package that break their syntax."""
+    """scan_id, faults and notes: licence and corporate numbers on the package, of which faults break their syntax."""
     low, up = F.lower("value"), F.upper("value")
     fssai = F.regexp_extract("value", "(?<![A-Za-z0-9_])[1-3][0-9]{13}(?![A-Za-z0-9_])", 0)
     cin = F.regexp_extract(up, "(?<![A-Z0-9_])[LU][0-9]{5}[A-Z]{2}(?:18|19|20)[0-9]{2}[A-Z]{3}[0-9]{6}(?![A-Z0-9_])", 0)
@@ -17,8 +17,9 @@ def regulatory_faults(features: DataFrame) -> DataFrame:
     company = F.contains(low, F.lit("cin")) | F.contains(low, F.lit("l1")) | F.contains(low, F.lit("u1"))
     rows = features.select("scan_id", "pos", F.when(licensed & (fssai != ""), parse_fssai(fssai)).alias("f"), F.when(company & (cin != ""), parse_cin(cin)).alias("c"))
     bad = lambda p: F.coalesce(~F.col(f"{p}.valid"), F.lit(False)).cast("int")
-    notes = F.array_compact(F.array(*(F.when(bad(p) == 1, F.concat(F.lit("REGULATORY ANOMALY: "), F.col(f"{p}.reason"))) for p in ("f", "c"))))
-    marked = rows.select("scan_id", (bad("f") + bad("c")).alias("n"), F.struct("pos", notes.alias("notes")).alias("x")).filter("n > 0")
+    said = {"f": "FSSAI licence number has a valid form.", "c": "Corporate identity number has a valid form."}
+    notes = F.array_compact(F.array(*(F.when(bad(p) == 1, F.concat(F.lit("REGULATORY ANOMALY: "), F.col(f"{p}.reason"))).when(F.col(f"{p}.valid"), F.lit(good)) for p, good in said.items())))
+    marked = rows.select("scan_id", (bad("f") + bad("c")).alias("n"), F.struct("pos", notes.alias("notes")).alias("x")).filter(F.size("x.notes") > 0)
     return marked.groupBy("scan_id").agg(F.sum("n").alias("faults"), F.flatten(F.array_sort(F.collect_list("x"))["notes"]).alias("notes"))
 
 
@@ -49,8 +50,9 @@ def counterfeit_risk(signals: DataFrame, features: DataFrame | None = None) -> D
     tail = [(~soft & (acuity < 45), 10.0, "Low typographic edge acuity."), (gamut < 48, 8.0, "Colour gamut departs from the master."), (violations >= 3, 8.0, "Several statutory declarations are missing.")]
     score += sum((F.when(test, points).otherwise(0.0) for test, points, _ in tail), F.lit(0.0))
     final = F.least(F.lit(100), F.greatest(F.lit(1), F.bround(score).cast("int")))
-    notes = [F.when(test, note) for test, _, note in checks] + [F.when(spoof, F.lit("HIGH RISK: brand mimics a registered one."))]
-    late = [F.when(test, note) for test, _, note in tail]
+    located = F.when(~detected, F.lit("Barcode not located on this panel; it may be on another.")).when(valid, F.lit("Barcode has a valid check digit."))
+    notes = [located] + [F.when(test, note) for test, _, note in checks] + [F.when(spoof, F.lit("HIGH RISK: brand mimics a registered one."))]
+    late = [F.when(soft, F.lit("Camera focus is low: print acuity does not count."))] + [F.when(test, note) for test, _, note in tail]
     barcode = F.when(~detected, 70).when(~valid, 15).when(other, 40).when(mismatch, 35).otherwise(98)
     factors = F.struct(
         barcode.alias("barcode"), F.when(~spoof, 96).when(critical, 5).otherwise(20).alias("brand"), F.greatest(F.lit(10), 95 - 30 * n).cast("int").alias("regulatory"),

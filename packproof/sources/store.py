@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.dates import parse_ts
 from ..operators.joins import norm_key
 
 _S, _D, _L, _B = T.StringType(), T.DoubleType(), T.LongType(), T.BooleanType()
@@ -58,16 +59,42 @@ def read_corporate_registry(spark: SparkSession, path: str) -> dict[str, DataFra
     return {"companies": companies, "company_brands": own, "spoofs": spoofs}
 
 
-#: Columns of a registry file, in order; cin is carried but not used.
-IMPORT = ["id", "sku", "product_name", "brand", "category", "batch_number", "mfg_date", "expiry_date", "declared_mrp", "net_quantity", "manufacturer", "fssai", "cin", "risk"]
-DEFAULTS = {"brand": "Registered Brand", "category": "Packaged Foods", "risk": "LOW", "net_quantity": "1 unit"}
+#: Columns of a registry file, in order, and the names that they have here.
+REGISTRY = {
+    "SKU_Barcode": "sku", "Product_Name": "product_name", "Brand": "brand", "Category": "category", "Batch_Number": "batch_number", "Declared_MRP_INR": "declared_mrp", "Net_Quantity": "net_quantity",
+    "Mfg_Date": "mfg_date", "Expiry_Date": "expiry_date", "Manufacturer_Address": "manufacturer", "FSSAI_License": "fssai", "Consumer_Care": "consumer_care", "Country_Of_Origin": "origin", "CIN": "cin",
+    "Risk_Score": "risk", "Scans_Count": "scans_count", "Passed_Count": "passed_count", "Violations_Count": "violations_count", "Registered_Date": "registered_date",
+}
+#: What stands for missing fields of an imported row, in CSV and in JSON.
+CSV_DEFAULTS = {"brand": "Imported Brand", "category": "Packaged Foods", "declared_mrp": "50", "net_quantity": "100 g", "expiry_date": "2027-12-31", "manufacturer": "Registered FMCG Packager", "origin": "India", "risk": "LOW"}
+JSON_DEFAULTS = {"brand": "Registered Brand", "category": "Packaged Foods", "declared_mrp": "50", "net_quantity": "200 g", "expiry_date": "2027-12-31", "manufacturer": "Registered FMCG Packager / Importer", "origin": "India", "risk": "LOW"}
+#: Names of an imported JSON item's fields.
+ITEM = {"id": "id", "sku": "sku", "productName": "product_name", "brand": "brand", "category": "category", "batchNumber": "batch_number", "declaredMRP": "declared_mrp", "netQuantity": "net_quantity", "mfgDate": "mfg_date", "expiryDate": "expiry_date", "manufacturer": "manufacturer", "fssaiLicense": "fssai", "consumerCare": "consumer_care", "originCountry": "origin", "cin": "cin", "riskScore": "risk", "registeredDate": "registered_date"}
+
+
+def imported(rows: DataFrame, as_of: str, defaults: dict[str, str]) -> DataFrame:
+    """SRC-3: string rows with a sku and a product name, and what stands for missing fields; ``as_of`` (yyyy-MM-dd) is the day of the import.
+
+    A price that is no number, or zero, is missing. Without a batch the row is of the day's batch.
+    """
+    day = {"mfg_date": as_of, "registered_date": as_of, "batch_number": "BATCH-" + as_of.replace("-", "")[-4:]}
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    filled = rows.select(*(F.coalesce(text(c), F.lit((day | defaults).get(c))).alias(c) for c in rows.columns))
+    price = F.coalesce(F.nullif(F.col("declared_mrp").try_cast("double"), F.lit(0.0)), F.lit(float(defaults["declared_mrp"])))
+    return filled.filter("sku is not null and product_name is not null").withColumn("declared_mrp", price).withColumns({c: F.lit(0).cast("long") for c in ("scans_count", "passed_count", "violations_count")})
+
 
+def read_registry_csv(spark: SparkSession, path: str, as_of: str) -> DataFrame:
+    """Columns by position, as an export writes them; quoted commas are text. The corporate number of column 13 is not taken over."""
+    raw = spark.read.schema(", ".join(f"{c} string" for c in REGISTRY.values())).csv(path, header=True, enforceSchema=True, quote='"', escape='"')
+    kept = [c for c in REGISTRY.values() if c not in ("cin", "scans_count", "passed_count", "violations_count", "registered_date")]
+    return imported(raw.select(*kept), as_of, CSV_DEFAULTS)
 
-def read_registry_csv(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-3: rows with a sku and a product name, defaults for what is missing; quoted commas are text."""
-    raw = spark.read.schema(", ".join(f"{c} string" for c in IMPORT)).csv(path, header=True, quote='"', escape='"')
-    filled = raw.select(*(F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(DEFAULTS.get(c))).alias(c) for c in IMPORT))
-    return filled.filter("sku is not null and product_name is not null").withColumn("declared_mrp", F.coalesce(F.col("declared_mrp").try_cast("double"), F.lit(0.0)))
+
+def read_registry_json(spark: SparkSession, path: str, as_of: str) -> DataFrame:
+    """An array of items, or one item a line; null in ``id`` where an item has none."""
+    raw = spark.read.schema(", ".join(f"{k} string" for k in ITEM)).json(path, multiLine=True)
+    return imported(raw.select(*(F.col(k).alias(c) for k, c in ITEM.items())), as_of, JSON_DEFAULTS)
 
 
 def _csv(df: DataFrame, path: str) -> None:
@@ -75,8 +102,10 @@ def _csv(df: DataFrame, path: str) -> None:
 
 
 def registry_rows(registry: DataFrame) -> DataFrame:
-    """SNK-1: the export's columns."""
-    return registry.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in registry.columns))
+    """SNK-1: the nineteen columns of an export, as text; what ``registry`` lacks is empty, its origin India, counts 0."""
+    absent = {"origin": "India", "scans_count": "0", "passed_count": "0", "violations_count": "0"}
+    own = lambda c: F.col(c).cast("string") if c in registry.columns else F.lit(None).cast("string")
+    return registry.select(*(F.coalesce(own(c), F.lit(absent.get(c, ""))).alias(name) for name, c in REGISTRY.items()))
 
 
 def export_registry(registry: DataFrame, path: str) -> None:
@@ -97,6 +126,38 @@ def inspection_audit(scans: DataFrame, evals: DataFrame) -> DataFrame:
     return joined.select("id", "scan_date", "product_name", "verdict", F.coalesce("mrp_status", F.lit("NA")).alias("mrp_status"), F.coalesce("qty_status", F.lit("NA")).alias("qty_status"), score.alias("score"))
 
 
-def export_rows(df: DataFrame, path: str, columns: list[str | Column]) -> None:
-    """SNK-3: chosen columns of the audit trail, roster or reports as quoted CSV."""
-    _csv(df.select(*columns), path)
+#: Columns of the other exports (SNK-3), and where they come from.
+AUDIT_TRAIL = {"Log ID": "id", "Formatted Date & Time": "formatted", "Raw Timestamp": "ts_text", "User / Principal": "user_name", "Action Taken": "action", "Target Resource": "target", "Source IP": "ip_address", "Status": "status", "Details": "details"}
+ROSTER = {"Name": "name", "Badge ID": "id_badge", "Total Inspections": "total_inspections", "Reports Generated": "reports_generated", "Current Status": "current_status", "Jurisdiction": "zone", "Email": "email", "Phone": "phone"}
+REPORTS = {"Report ID": "id", "Origin": "source", "Subject Entity": "subject_entity", "Assessed Product": "product_name", "Type": "type", "Date Generated": "date_generated", "Inspector": "inspector_name", "Status": "status", "Fine INR": "fine", "Scan Ref": "scan_id"}
+
+
+def _renamed(rows: DataFrame, names: dict[str, str], defaults: dict[str, str] | None = None) -> DataFrame:
+    own = lambda c: F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string")
+    return rows.select(*(F.coalesce(own(c), F.lit((defaults or {}).get(c, ""))).alias(name) for name, c in names.items()))
+
+
+def audit_trail(logs: DataFrame) -> DataFrame:
+    """The audit trail's export: times also as day, month and year with a twelve-hour clock."""
+    return _renamed(logs.withColumn("formatted", F.date_format(parse_ts(F.col("ts_text")), "dd MMM yyyy, hh:mm:ss a")), AUDIT_TRAIL)
+
+
+def roster(inspectors: DataFrame) -> DataFrame:
+    return _renamed(inspectors, ROSTER)
+
+
+def report_rows(reports: DataFrame) -> DataFrame:
+    return _renamed(reports, REPORTS, {"source": "INSTITUTIONAL", "fine": "0"})
+
+
+def export_audit_trail(logs: DataFrame, path: str) -> None:
+    """SNK-3, as are the next two."""
+    _csv(audit_trail(logs), path)
+
+
+def export_roster(inspectors: DataFrame, path: str) -> None:
+    _csv(roster(inspectors), path)
+
+
+def export_reports(reports: DataFrame, path: str) -> None:
+    _csv(report_rows(reports), path)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packproof.functions import fuzzy
-from packproof.operators import layout
+from packproof.operators import joins, layout
 from packproof.plans import brands, risk, rules
 from packproof.sources import store
 from packproof.streaming import frames
@@ -130,11 +130,36 @@ def test_store(spark, tmp_path):
     (tmp_path / "reg.json").write_text(json.dumps({"companies": [{"id": "C1", "name": "Acme", "cin": "short", "fssaiLicense": "10012011000168", "gs1Prefix": "8901262", "brands": [" Zed ", ""], "spoofVariants": [{"spoof": "Zedd", "target": "Zed"}, {"spoof": "acme", "target": "x"}]}]}))
     reg = store.read_corporate_registry(spark, str(tmp_path / "reg.json"))
     assert reg["companies"].first()["cin"] is None and [r["spoof"] for r in reg["spoofs"].collect()] == ["Zedd"] and [r["brand"] for r in reg["company_brands"].collect()] == ["Zed"]
-    (tmp_path / "r.csv").write_text(",".join(store.IMPORT) + '\n1,SKU,"Tea, black",,,,,,12.5,,,,,\n2,,none,,,,,,,,,,,\n')
-    rows = store.read_registry_csv(spark, str(tmp_path / "r.csv")).collect()
-    assert [(r["product_name"], r["declared_mrp"], r["risk"]) for r in rows] == [("Tea, black", 12.5, "LOW")]
-    store.export_registry(store.read_registry_csv(spark, str(tmp_path / "r.csv")), str(tmp_path / "out"))
-    assert spark.read.csv(str(tmp_path / "out"), header=True).first()["product_name"] == "Tea, black"
+    (tmp_path / "r.csv").write_text(",".join(store.REGISTRY) + '\nSKU,"Tea, black",,,,12.5,,,,,,,,L1,HIGH\n,none\nS2,Salt,Own,Salts,B7,0,1 kg,2024-02-03,2025-02-03,"A ""B"" Ltd",1,care,Nepal,,LOW,3,2,1,2020-01-01\n')
+    rows = store.read_registry_csv(spark, str(tmp_path / "r.csv"), "2024-05-06")
+    got = {r["sku"]: r for r in rows.collect()}
+    tea, salt = got["SKU"], got["S2"]
+    assert (tea["product_name"], tea["declared_mrp"], tea["risk"], tea["brand"], tea["batch_number"], tea["mfg_date"], tea["expiry_date"], tea["net_quantity"]) == ("Tea, black", 12.5, "HIGH", "Imported Brand", "BATCH-0506", "2024-05-06", "2027-12-31", "100 g")
+    assert (len(got), salt["declared_mrp"], salt["manufacturer"], salt["origin"], salt["scans_count"]) == (2, 50.0, 'A "B" Ltd', "Nepal", 0) and "cin" not in rows.columns
+    store.export_registry(rows, str(tmp_path / "out"))
+    back = store.read_registry_csv(spark, str(tmp_path / "out"), "2024-05-06")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    assert spark.read.csv(str(tmp_path / "out"), header=True).columns == list(store.REGISTRY)
+    (tmp_path / "r.json").write_text(json.dumps([{"sku": 890, "productName": " Oil ", "declaredMRP": "x"}, {"productName": "no sku"}, {"id": "p1", "sku": "9", "productName": "Ghee", "declaredMRP": 7.5, "cin": "L1"}]))
+    oil, ghee = sorted(store.read_registry_json(spark, str(tmp_path / "r.json"), "2024-05-06").collect(), key=lambda r: r["sku"])
+    assert (oil["sku"], oil["product_name"], oil["declared_mrp"], oil["net_quantity"], oil["id"], oil["registered_date"]) == ("890", "Oil", 50.0, "200 g", None, "2024-05-06") and (ghee["declared_mrp"], ghee["cin"]) == (7.5, "L1")
+    store.export_registry_json(rows, str(tmp_path / "outj"))
+    assert spark.read.json(str(tmp_path / "outj")).count() == 2
+    logs = spark.createDataFrame([("L1", "2024-01-31T15:04:05", "U", "LOGIN", 'say "x", y')], "id string, ts_text string, user_name string, action string, details string")
+    store.export_audit_trail(logs, str(tmp_path / "logs"))
+    row = spark.read.csv(str(tmp_path / "logs"), header=True, escape='"').first()
+    assert (row["Formatted Date & Time"], row["Details"]) == ("31 Jan 2024, 03:04:05 PM", 'say "x", y')
+
+
+def test_contained_names(spark):
+    rng = random.Random(11)
+    left = ["".join(rng.choices("abC ", k=rng.randint(1, 9))) for _ in range(80)]
+    right = ["".join(rng.choices("aBc ", k=rng.randint(1, 5))) for _ in range(80)]
+    l, r = (spark.createDataFrame([(x,) for x in xs], "name string") for xs in (left, right))
+    inside = {(a, b) for a in left for b in right if b.lower() in a.lower()}
+    outside = {(a, b) for a in left for b in right if a.lower() in b.lower()}
+    assert {tuple(x) for x in joins.contains_pairs(l, r, False).collect()} == inside
+    assert {tuple(x) for x in joins.contains_pairs(l, r, True).collect()} == inside | outside
 
 
 def test_streams_equal_batches(spark, tmp_path):
