@@ -13,7 +13,7 @@ from .functions import constants as C
 from .functions import dates, geometry, ids, text
 from .operators import joins, layout, metrics, ranking, records, search
 from .plans import brands as brand_plans
-from .plans import risk, rules
+from .plans import risk, rules, workloads
 from .sources import store
 from .streaming import frames
 
@@ -853,3 +853,34 @@ def grp3_brand_clusters(t):
 def win6_anchor(t):
     rows = derived(t, _ITEMS).withColumns({"panel": F.lit("front"), "page_h": F.lit(360.0), "script_family": F.lit("Latin")})
     return ranking.brand_anchor(rows).select("scan_id", "pos", "value")
+
+
+# --- whole workloads ------------------------------------------------------------------------
+
+#: Words of the derived lines as tokens that touch, a line every forty pixels.
+_WORDS = """SELECT scan_id, side AS panel, CAST(pos * 100 + i AS INT) AS token_pos, word AS text, CAST(0.5 + (pos % 8) / 16.0 AS DOUBLE) AS conf, CAST(10 + 8 * i AS DOUBLE) AS xmin, CAST(18 + 8 * i AS DOUBLE) AS xmax, CAST(40 * pos AS DOUBLE) AS ymin, CAST(40 * pos + 20 AS DOUBLE) AS ymax, 1000 AS page_w
+ FROM {features} LATERAL VIEW posexplode(split(value, ' ')) w AS i, word"""
+_LINES = """WITH f0 AS (SELECT scan_id, pos, side, 0.5 + (pos % 8) / 16.0 AS confidence, value, CASE WHEN regexp_matches(value, '^Ingredients') THEN 'ingredients' WHEN regexp_matches(value, '^MRP Rs') THEN 'mrp' WHEN regexp_matches(value, '^Net Wt') THEN 'quantity' WHEN regexp_matches(value, '^PKD:') THEN 'mfg_date'
+ WHEN regexp_matches(value, '^Lic No') THEN 'license' WHEN regexp_matches(value, '^Customer care') THEN 'helpline' WHEN regexp_matches(value, '^Packed by') THEN 'address' ELSE 'other' END AS own FROM {features}),
+ f1 AS (SELECT *, lag(lower(value)) OVER w AS before, lag(pos) OVER w AS last FROM f0 WINDOW w AS (PARTITION BY scan_id, side ORDER BY pos)),
+ feats AS (SELECT scan_id, pos + CASE side WHEN 'front' THEN 0 ELSE 100000 END AS pos, side, confidence, value, CASE WHEN own <> 'other' OR last IS NULL OR last < pos - 1 THEN own WHEN regexp_matches(before, 'net content|net wt|net qty|net volume') THEN CASE WHEN regexp_matches(value, '[0-9] kg$') THEN 'quantity' ELSE 'other' END
+  WHEN regexp_matches(before, 'mrp|price') THEN CASE WHEN regexp_matches(value, '[0-9]') THEN 'mrp' ELSE 'other' END WHEN regexp_matches(before, 'mfg|pkd|packed|exp') THEN 'other' ELSE 'other' END AS category FROM f1),
+ """
+
+
+@query(_LINES + _EVALS.replace("{features}", "feats")[5:].replace("list_position(['mrp', 'other'], category) AS place_no FROM fv", "list_position(['mrp', 'other'], category) AS place_no FROM fv", 1).replace("SELECT 'eval_ingredients', 7, 0, *, CASE WHEN category = 'other' AND contents THEN 0 END, 1 FROM fv", "SELECT 'eval_ingredients', 7, 0, *, CASE WHEN category IN ('ingredients', 'other') AND contents THEN 0 END, 1 FROM fv") + """
+ SELECT scan_id, CASE WHEN count(*) FILTER (status <> 'PASS') > 0 THEN 'NON-COMPLIANT' ELSE 'COMPLIANT' END AS verdict, round_even(100.0::DOUBLE * count(*) FILTER (status = 'PASS') / count(*), 1) AS rate, sum(CASE WHEN status <> 'PASS' THEN money ELSE 0 END)::BIGINT AS penalty,
+ CASE arg_min(eval_id, rule_pos) FILTER (status <> 'PASS') WHEN 'eval_mrp' THEN 'RL-MAND-007' WHEN 'eval_qty' THEN 'RL-PHYS-012' WHEN 'eval_addr' THEN 'RL-AUTH-001' WHEN 'eval_date' THEN 'RL-MAND-003' WHEN 'eval_care' THEN 'RL-MAND-004' WHEN 'eval_fssai' THEN 'RL-LIC-005' END AS first_failed FROM ev WHERE status IS NOT NULL GROUP BY scan_id""")
+def w1_inspection(t):
+    """Workload 1 from tokens: lines, categories, context, rules, sides, verdicts."""
+    return workloads.inspect(derived(t, _WORDS)).select("scan_id", "verdict", "rate", "penalty", "first_failed")
+
+
+@query()
+def w2_risk(t):
+    """Workload 2: barcodes, owners, brands, licences and violations to risk (no SQL: fuzzy scoring; parts have queries of their own)."""
+    k = F.col("scan_no")
+    seen = t("scans").select(F.col("id").alias("scan_id"), F.when(k % 3 == 0, F.col("brand")).when(k % 3 == 1, F.concat(F.lit("Br0nd#"), (k % 25).cast("string"))).otherwise(F.col("product_name")).alias("brand"))
+    owned = t("part").groupBy(F.col("p_brand").alias("brand")).agg(F.min("p_partkey").alias("load_pos")).withColumn("company_id", F.concat(F.lit("C"), (F.col("load_pos") % 10).cast("string")))
+    spoofs = t("part").select(F.concat(F.lit("Brnd"), F.col("p_partkey").cast("string")).alias("spoof"), F.col("p_brand").alias("target"), F.lit("Typographic").alias("type"))
+    return workloads.assess(t("barcodes"), t("features"), t("evals"), seen, t("companies"), owned, spoofs).select("scan_id", "score", "verdict", "anomalies")
