@@ -37,8 +37,8 @@ from . import common
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 K = BANDS * ROWS
-#: One bucket in so many is settled before the others.
-FIRST = 5
+#: One bucket in so many is settled before the others; rounds of labels while links are still being found.
+FIRST, ROUNDS_OF_LABELS = 5, 2
 #: Rounds in which sets without a possible partner are dropped before pairs are formed.
 PRUNINGS = 2
 #: Rank cells double from FINE to 1 and have unit length from there.
@@ -251,22 +251,27 @@ def partnered(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return found.filter(F.col("m") >= threshold * F.col("n") - 1e-6).select("node", "n", "m")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None, known: DataFrame | None = None) -> DataFrame:
     """node and comp, the smallest node of its component, for every node of ``edges`` (a, b).
 
     Each round gives every node the smallest label among its neighbours, then the label of
     that label, so that paths shorten by half; labels are a written table between rounds.
+    After a given number of ``rounds`` labels may differ within a component, but never agree
+    between components. ``known`` are labels to begin with, of some of the nodes.
     """
     both = common.materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = common.materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "labels")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp"))
+    if known is not None:
+        labels = labels.join(known.withColumnRenamed("comp", "before"), "node", "left").select("node", F.least("comp", "before").alias("comp"))
+    labels = common.materialise(labels, "labels")
+    done = 0
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("jump"))
         fresh = common.materialise(step.join(jump, "comp", "left").select("node", "old", F.least("comp", "jump").alias("comp")), "labels")
-        changed = fresh.filter("old > comp").limit(1).count()
-        labels = fresh.select("node", "comp")
-        if not changed:
+        labels, done = fresh.select("node", "comp"), done + 1
+        if done == rounds or rounds is None and fresh.filter("old > comp").isEmpty():
             return labels
 
 
@@ -300,12 +305,12 @@ def link(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> D
     first = members.join(pivots_of(members), "key").filter("node <> b")
     pairs = lambda rows: rows.select(F.col("node").alias("a"), "b").distinct()
     edges = common.materialise(close_to(measured(pairs(first.filter(F.pmod(F.xxhash64("key"), F.lit(FIRST)) == 0)), sets)), "links")
-    comps = components(edges)
+    comps = components(edges, ROUNDS_OF_LABELS)
     named = members.join(comps, "node", "left").groupBy("key").agg(F.min(F.coalesce("comp", "node")).alias("x"), F.max(F.coalesce("comp", "node")).alias("y"))
     first = first.join(common.materialise(named.filter("x < y").select("key"), "open"), "key", "left_semi")
     found = common.materialise(met(pairs(first), sets), "met")
     edges = edges.union(close_to(found)).distinct()
-    comps = components(edges)
+    comps = components(edges, ROUNDS_OF_LABELS, comps)
     left = first.withColumnRenamed("node", "a").join(found, ["a", "b"]).select("key", F.col("a").alias("node"), "n", "m", "inside", "mask")
     while True:
         now = left.join(comps, "node", "left").select("key", "node", "n", "m", "inside", "mask", F.coalesce("comp", "node").alias("comp"))
@@ -313,8 +318,8 @@ def link(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> D
         open_keys = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("n").alias("least")).filter("x < y").select("key", "least")
         rest = now.join(open_keys, "key").filter(may_be_close(F.col("m"), F.col("n"), F.col("least"))).drop("least")
         if rest.isEmpty():
-            return comps
-        shares = min(shares * 8, 1 << 20)
+            return components(edges, known=comps)
+        shares = min(shares * 32, 1 << 20)
         pivots = pivots_of(rest, "comp", "n", "m", "inside", "mask")
         within = F.aggregate(F.zip_with("mask", "mask_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
         outside = F.least(F.col("m") - F.col("inside"), F.col("m_b") - F.col("inside_b"))
@@ -325,7 +330,7 @@ def link(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> D
         close = common.materialise(measured(pairs, sets).filter(F.col("j") >= threshold - 1e-9).select("a", "b"), "links")
         if not close.isEmpty():
             edges = edges.union(close)
-            comps = components(edges)
+            comps = components(edges, ROUNDS_OF_LABELS, comps)
         left = rest.drop("comp").join(pivots.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti")
 
 
