@@ -11,7 +11,8 @@ the graph greedily from their own node with a beam, until all of the beam is ope
 Nodes are numbered by their smallest id, so that ties go to it in lists, beams and answers.
 Graph work uses half-precision unit vectors, whose products are summed without rounding, so
 that a pair has one similarity wherever it is compared; the beam is scored again in double
-precision on the original vectors.
+precision on the original vectors. Starting orders and the beam grow with the logarithm of
+the table beyond USUAL vectors.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, as
 queries and as candidates, nor do rows with null ``vec_id`` and vectors of another length
@@ -31,6 +32,8 @@ from . import common
 
 #: Neighbours of a node; starting orders; vectors compared in one stretch.
 DEGREE, TREES, STRETCH = 20, 12, 2048
+#: For every doubling of the table beyond USUAL vectors: more starting orders, and a wider beam.
+USUAL, MORE_TREES, MORE_BEAM = 1 << 16, 4, 32
 #: Share of list entries that a last NN-descent round may have changed.
 CHANGED = 0.001
 #: Reverse neighbours that are joined in one group; beam, nodes opened in a step of a search.
@@ -101,13 +104,13 @@ def _lists(node: np.ndarray, other: np.ndarray, sim: np.ndarray, keep: int) -> p
     return pa.RecordBatch.from_arrays([pa.array(node[first]), pa.ListArray.from_arrays(pa.array(np.append(first, len(node)).astype(np.int32)), entries)], ["node", "near"])
 
 
-def start(units: DataFrame, degree: int) -> DataFrame:
+def start(units: DataFrame, degree: int, trees: int = TREES) -> DataFrame:
     """First neighbour lists: all pairs within sorted stretches, for several random orders."""
 
     def coded(batches):
         for batch in batches:
             x = _vectors(batch.column(1))
-            for tree in range(TREES):
+            for tree in range(trees):
                 planes = np.random.default_rng(tree).normal(size=(x.shape[1], 17)).astype(np.float32)
                 side = x @ planes
                 code = ((side[:, :16] > 0) << np.arange(15, -1, -1)).sum(1)
@@ -181,9 +184,9 @@ def improve(graph: DataFrame, units: DataFrame, degree: int) -> DataFrame:
     return after.join(graph.select("node", F.col("near.node").alias("old")), "node").select("node", "near", F.array_except("near.node", "old").alias("fresh"))
 
 
-def build(units: DataFrame, degree: int = DEGREE) -> DataFrame:
+def build(units: DataFrame, degree: int = DEGREE, trees: int = TREES) -> DataFrame:
     """The neighbour graph: node, near (array of far = -cosine and node)."""
-    graph = common.materialise(start(units, degree).withColumn("fresh", F.col("near.node")), "graph")
+    graph = common.materialise(start(units, degree, trees).withColumn("fresh", F.col("near.node")), "graph")
     while True:
         graph = common.materialise(improve(graph, units, degree), "graph")
         new, entries = graph.agg(F.sum(F.size("fresh")), F.sum(F.size("near"))).first()
@@ -191,7 +194,7 @@ def build(units: DataFrame, degree: int = DEGREE) -> DataFrame:
             return graph
 
 
-def walk(graph: DataFrame, units: DataFrame, queries: DataFrame) -> DataFrame:
+def walk(graph: DataFrame, units: DataFrame, queries: DataFrame, width: int = BEAM) -> DataFrame:
     """query (a node), node: the beam when greedy steps from each query's own node have opened all of it.
 
     A step opens the nearest nodes of each beam, brings their neighbours' vectors to the
@@ -213,7 +216,7 @@ def walk(graph: DataFrame, units: DataFrame, queries: DataFrame) -> DataFrame:
                     x = _vectors(pa.array(list(fresh.values()), pa.binary()))
                     sim = x @ np.frombuffer(head, np.float16).astype(np.float64)
                     have |= zip(fresh, (-sim).tolist())
-                best = sorted((d, n) for n, d in have.items())[: BEAM + 1]
+                best = sorted((d, n) for n, d in have.items())[: width + 1]
                 rows.append((query, head, [{"far": d, "node": n} for d, n in best], [*opened, *go]))
             kinds = [pa.int64(), pa.binary(), pa.list_(pa.struct([("far", pa.float64()), ("node", pa.int64())])), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["query", "head", "beam", "opened"])
@@ -236,7 +239,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     vectors = vectors.filter(F.size("embedding") == (usual["n"] if usual else 0))
     full, members = nodes(vectors, k)
     units = full.select("node", "unit")
-    graph = build(units)
+    doublings = max(0, units.count() - 1).bit_length() - (USUAL - 1).bit_length()
+    doublings = max(0, doublings)
+    graph = build(units, trees=TREES + MORE_TREES * doublings)
     asked = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).join(queries.select(F.col("vec_id").cast("long")).distinct(), "vec_id", "left_semi")
 
     def keyed(batches):
@@ -246,7 +251,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     own = asked.mapInArrow(keyed, "query_id long, vec binary").join(full.select("vec", F.col("node").alias("query")), "vec")
     own = common.materialise(own.select("query_id", "query").distinct(), "queries")
-    found = walk(graph, units, own.select(F.col("query").alias("node")).distinct())
+    found = walk(graph, units, own.select(F.col("query").alias("node")).distinct(), BEAM + MORE_BEAM * doublings)
 
     def exact(batches):
         for batch in batches:

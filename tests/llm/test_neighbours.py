@@ -70,6 +70,18 @@ def test_recall(spark):
     assert hits >= 0.95 * sum(map(len, want.values()))
 
 
+def test_recall_by_descent(spark, monkeypatch):
+    """Stretches far smaller than the table: the graph and the walk have to find the neighbours."""
+    monkeypatch.setattr(neighbours, "STRETCH", 48)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 32))
+    x = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got, want = run(spark, rows), brute(rows, range(0, 4000, 50))
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in v}) for q, v in want.items())
+    assert got.keys() == want.keys() and hits >= 0.9 * sum(map(len, want.values()))
+
+
 def test_ties_go_to_smaller_ids(spark):
     """Sixty multiples of one vector tie exactly; more than a neighbour list or an answer holds."""
     rng = random.Random(2)
