@@ -189,3 +189,20 @@ ALIASES = {'mrp': ['mrp', 'm.r.p', 'maximum retail price', 'max retail price', '
 # Words that mark a text as a declaration, not a brand, and the categories of declarations.
 DECLARATION = r"\b(?:mrp|rs|₹|batch|pkg|mfg|pkd|exp|expiry|net\s*wt|net\s*qty|fssai|lic(?:\.|\s*no)?|email|phone|tel|fax|gram|kg|g|ml|l|tax|taxes|servings?|nutrition|ingredients|dosage|instructions|warning|caution|best\s*before|use\s*by)\b"
 STATUTORY = ("mrp", "quantity", "mfg_date", "license", "address", "helpline", "nutrition", "ingredients", "batch_number")
+
+# Keywords of a line that give the next one its category, and the form that it must have.
+CONTEXT = [
+    ("quantity", ("net content", "net wt", "net qty", "net volume", "शुद्ध मात्रा", "शुद्ध वजन", "निव्वळ वजन", "நிகர எடை", "పరిమాణం"), r"\b[\d०-९]+(?:\.[\d०-९]+)?\s*(?:ml|g|gm|kg|l|fl\.?\s*oz|ग्राम|मिली|लीटर)\b"),
+    ("mrp", ("mrp", "price", "m.r.p", "अ.खू.मू", "अधिकतम खुदरा मूल्य", "एमआरपी", "விலை", "ధర", "કિંમત", "মূল্য"), r"\b[\d०-९]{1,5}(?:\.[\d०-९]{1,2})?\b"),
+    ("mfg_date", ("mfg", "pkd", "packed", "best before", "use before", "use by", "exp", "निर्माण तिथि", "उत्पादन दिनांक", "पैकिंग तिथि", "उपयोग की अंतिम तिथि", "தயாரிப்பு தேதி", "తయారీ తేదీ"), r"\b[\d०-९]{1,2}[/\.\-][\d०-९]{2,4}\b|\b[\d०-९]{1,2}\s+(?:months|days|महीने|माह)\b"),
+    ("batch_number", ("batch", "lot", "b.no", "b. no", "बैच", "लॉट", "தொகுதி"), None),
+    ("address", ("marketed by", "manufactured by", "mfg by", "packed by", "registered address", "regd office", "निर्माता", "उत्पादक", "द्वारा निर्मित", "पंजीकृत", "தயாரிப்பாளர்", "తయారీదారు"), None),
+]
+
+# Patterns of places, net contents and ingredients in the rules.
+PLACE = "\\b[1-9]\\d{5}\\b|pvt|ltd|mfg|road|nagar|dist|delhi|mumbai|gurugram|punjab|gujarat|haryana|rajasthan|india|godrej|unilever|idam|stella|helios|निर्माता|उत्पादक|पैकर|लिमिटेड|कार्यालय|पता|मार्केटेड|தயாரிப்பாளர்|விற்பனையாளர்|ఉత్పత్తి|உற்பத்தியாளர்"
+NET = r"\b(?:net\s*(?:wt|qty|vol|weight|contents?)|volume|content)\b"
+CONTENTS = "ingredient|contain|alcohol|aqua|parfum|fragrance"
+
+# Words of company names that do not point to a company.
+CORPORATE = ("ltd", "limited", "pvt", "private", "india", "foods", "industries", "products")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from .records import NO_BARCODE
 
 def digits(text: Column) -> Column:
@@ -34,10 +35,6 @@ def match_license(rows: DataFrame, companies: DataFrame, column: str, kind: str)
     return rows.withColumn("__k", F.nullif(clean(F.col(column)), F.lit(""))).join(dim, "__k", "left").drop("__k")
 
 
-#: Words of company names that do not point to a company.
-CORPORATE = ("ltd", "limited", "pvt", "private", "india", "foods", "industries", "products")
-
-
 def match_company(brands: DataFrame, companies: DataFrame, company_brands: DataFrame) -> DataFrame:
     """brand and company_id: exact key first, else the first known token in text order, first company in load order.
 
@@ -47,7 +44,7 @@ def match_company(brands: DataFrame, companies: DataFrame, company_brands: DataF
     known = names.unionByName(company_brands.select("company_id", "load_pos", F.col("brand").alias("text"), F.lit(False).alias("corporate")))
     exact = known.groupBy(norm_key(F.col("text")).alias("key")).agg(F.max_by("company_id", F.struct("load_pos", ~F.col("corporate"))).alias("exact"))
     words = known.select("company_id", "load_pos", "corporate", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("token"))
-    words = words.filter((F.length("token") >= 3) & ~(F.col("corporate") & F.col("token").isin(*CORPORATE)))
+    words = words.filter((F.length("token") >= 3) & ~(F.col("corporate") & F.col("token").isin(*C.CORPORATE)))
     words = words.groupBy("token").agg(F.min_by("company_id", F.struct("load_pos", ~F.col("corporate"))).alias("by_token"))
     distinct = brands.select("brand").distinct().withColumn("key", F.nullif(norm_key(F.col("brand")), F.lit("")))
     tokens = distinct.select("brand", F.posexplode(F.regexp_extract_all(F.lower("brand"), F.lit("[a-z0-9]+"), F.lit(0))).alias("token_pos", "token"))
