@@ -31,6 +31,8 @@ from . import common
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
+#: Bytes of input behind one key range at most; a task holds the keys of a range at a time.
+RANGE_INPUT = 16 << 20
 ROWS = "part int, payload binary, settled boolean"
 
 
@@ -137,14 +139,16 @@ def _compared(rows: DataFrame, parts: int, kinds: tuple[type, ...], every: bool)
             yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(pos))], ["doc_id", "pos"])
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(parts, "part").sortWithinPartitions("part")
+        return df.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
 
     return dealt(dealt(rows).mapInArrow(compare, ROWS)).mapInArrow(gather, "doc_id long, pos array<int>")
 
 
-def _parts(spark: SparkSession) -> int:
-    """Key ranges: as many as the session shuffles into, which is set by the input's size."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _parts(plain: DataFrame) -> int:
+    """Key ranges: as many as the session shuffles into, but no more than RANGE_INPUT bytes of what ``plain`` reads in each."""
+    size = int(plain._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    session = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return session if size >= 1 << 50 else max(session, size // RANGE_INPUT)
 
 
 def shared_anchors(plain: DataFrame) -> DataFrame:
@@ -153,7 +157,7 @@ def shared_anchors(plain: DataFrame) -> DataFrame:
     32 bits of the hash are kept beside its key range. A chance match costs a comparison
     of windows and no more, as those are compared by 80 bits beside the range.
     """
-    parts = _parts(plain.sparkSession)
+    parts = _parts(plain)
 
     def run(batches):
         for batch in batches:
@@ -179,7 +183,7 @@ def shared_anchors(plain: DataFrame) -> DataFrame:
 
 def repeated_windows(plain: DataFrame, anchors: DataFrame) -> DataFrame:
     """doc_id and starts (array<int>): windows whose words also start in a smaller document."""
-    parts = _parts(plain.sparkSession)
+    parts = _parts(plain)
 
     def run(batches):
         for batch in batches:
