@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a task works on at a time; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 21
-#: Rows of one Arrow batch between the JVM and a Python worker.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch between the JVM and a Python worker.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 _RNG = np.random.default_rng(20240601)
 _BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
@@ -53,6 +53,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def arrow_batches(spark: SparkSession) -> None:
     """Keep batches between JVM and Python small, so that long texts fit beside each other."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

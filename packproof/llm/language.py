@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from . import bpe, common
 
 #: Scores are kept for so many words; words longer than LONG bytes are rescaled; learning cuts words at CUT bytes.
-CACHE, LONG, CUT = 600_000, 48, 4096
+CACHE, LONG, CUT = 300_000, 48, 4096
 #: Words, and bytes of them, that are summed at a time.
 TOGETHER, BYTES = 5000, 1 << 19
 PER_LANGUAGE, ROUNDS, LANGUAGES = 3000, 3, 256
