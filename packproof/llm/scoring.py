@@ -10,7 +10,7 @@ Counts are exact and grow with the input. Documents are dealt into chunks of abo
 CHUNK_INPUT bytes. A chunk sends its distinct words and bigrams (64-bit hashes) with their
 counts to ranges of hashes, in one packed message a range; a range sums them over all
 chunks and answers each message with the sums, in the message's order, and with its share of
-the totals. There are as many ranges as keep each within about RANGE_INPUT bytes of input,
+the totals. There are as many ranges as keep each within about half a chunk's bytes of input,
 so neither a chunk nor a range grows with the corpus; the messages, chunks times ranges, do.
 Beyond LARGE bytes of input chunks grow with its root, to BIGGEST bytes, to keep messages few. A chunk that has all answers scores its documents. A frequent word is one entry a
 chunk, so no key is hot, and nothing is gathered on the driver or broadcast.
@@ -32,8 +32,8 @@ from . import common
 
 #: Weight of a context's own bigrams is count / (count + PRIOR); UNIFORM is shared out evenly.
 PRIOR, UNIFORM = 20.0, 0.05
-#: Bytes of input tables in a chunk of documents and in a range of hashes; where chunks begin to grow, and end.
-CHUNK_INPUT, RANGE_INPUT, LARGE, BIGGEST = 4 << 20, 8 << 20, 64 << 30, 64 << 20
+#: Bytes of input tables in a chunk of documents; of input where chunks begin to grow, and of the largest chunk.
+CHUNK_INPUT, LARGE, BIGGEST = 4 << 20, 64 << 30, 64 << 20
 
 _START, _WORD, _ODD = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95), np.uint64(1)
 #: Bytes of a count in a message and in an answer.
@@ -155,7 +155,7 @@ def _sizes(docs: DataFrame) -> tuple[int, int]:
     if size >= 1 << 50:
         size = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2 * CHUNK_INPUT
     chunk = min(BIGGEST, max(CHUNK_INPUT, int(CHUNK_INPUT * (size / LARGE) ** 0.5)))
-    return max(8, size // chunk), max(6, (size // RANGE_INPUT).bit_length())
+    return max(8, size // chunk), max(6, (2 * size // chunk).bit_length())
 
 
 def _scores(rows: DataFrame, sizes: tuple[int, int]) -> DataFrame:
