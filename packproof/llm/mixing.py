@@ -171,9 +171,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 
 def residuals(rates: DataFrame, wanted: np.ndarray, domains: tuple[str, ...] = DOMAINS) -> DataFrame:
     """domain, wanted, reached and residual (reached - wanted), in tokens."""
-    reached = totals(rates, F.col("rate"), len(domains))
-    rows = [(d, float(w), float(r), float(r - w)) for d, w, r in zip(domains, wanted, reached)]
-    return rates.sparkSession.createDataFrame(rows, "domain string, wanted double, reached double, residual double")
+    weight = F.col("tokens") * F.col("copies") * F.col("rate")
+    reached = rates.agg(*(F.coalesce(F.sum(weight * F.col("p")[k]), F.lit(0.0)).alias(f"r{k}") for k in range(len(domains))))
+    rows = [F.struct(F.lit(d).alias("domain"), F.lit(float(w)).alias("wanted"), F.col(f"r{k}").alias("reached"), (F.col(f"r{k}") - float(w)).alias("residual")) for k, (d, w) in enumerate(zip(domains, wanted))]
+    return reached.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
 def apply(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, key: str = "mix-0") -> DataFrame:
