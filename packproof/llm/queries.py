@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language, media, minhash, mixing, neighbours, order, scoring, secrets, substrings
+from . import alignment, bpe, language, media, minhash, mixing, neighbours, order, pieces, scoring, secrets, substrings, whitening
 
 QUERIES = {
     "op1_secrets": secrets.op1,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_neighbours": neighbours.op8,
     "op9_order": order.op9,
     "op10_scoring": scoring.op10,
+    "op11_pieces": pieces.op11,
+    "op12_alignment": alignment.op12,
+    "op13_whitening": whitening.op13,
 }
 SQL: dict[str, str] = {"op1_secrets": secrets.op1_sql(), "op7_substrings": substrings.OP7_SQL}
