@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .derive import oracle, table
 from .functions import constants as C
 from .functions import dates, geometry, ids, text
-from .operators import joins, layout, metrics, ranking, records, search
+from .operators import boxes, joins, layout, metrics, ranking, records, search
 from .plans import brands as brand_plans
 from .plans import risk, rules, workloads
 from .sources import store
@@ -284,6 +284,33 @@ def jn11_import(t):
     return joins.import_registry(t("registry"), batch).select("id", "part", "list_pos")
 
 
+#: Two readings of the panels of eight orders each; every third token of the second is far from the first's.
+_FIRST = """SELECT 'INS-' || CAST(CAST(floor(l_orderkey / 8) AS BIGINT) AS STRING) AS scan_id, CASE WHEN l_linestatus = 'F' THEN 'front' ELSE 'back_0' END AS panel,
+ CAST(row_number() OVER (PARTITION BY floor(l_orderkey / 8), l_linestatus ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS INT) AS token_pos,
+ CASE WHEN l_returnflag = 'A' THEN 'शुद्ध ' ELSE 'word ' END || CAST(l_partkey AS STRING) AS text, 0.55 + CAST(CAST(l_quantity AS INT) % 9 AS DOUBLE) / 20 AS conf,
+ CAST((l_partkey * 37) % 300 AS DOUBLE) AS xmin, CAST((l_suppkey * 53) % 120 AS DOUBLE) AS ymin, CAST((l_partkey * 37) % 300 + 20 + l_partkey % 70 AS DOUBLE) AS xmax, CAST((l_suppkey * 53) % 120 + 8 + l_suppkey % 30 AS DOUBLE) AS ymax,
+ l_returnflag = 'A' AS indic, l_returnflag = 'R' AND l_linenumber % 2 = 0 AS garbled FROM {lineitem}"""
+_SECOND = """SELECT scan_id, panel, token_pos, 'नया ' || CAST(token_pos AS STRING) AS text, 0.45 + CAST(token_pos % 10 AS DOUBLE) / 20 AS conf,
+ xmin + dx AS xmin, ymin + dy AS ymin, xmax + dx AS xmax, ymax + dy + token_pos % 2 AS ymax FROM (SELECT *, CASE WHEN token_pos % 3 = 0 THEN 150.0::DOUBLE ELSE token_pos % 9 END AS dx, CASE WHEN token_pos % 3 = 0 THEN 60.0::DOUBLE ELSE token_pos % 4 END AS dy FROM (""" + _FIRST + """) f) g"""
+#: Overlap of boxes a and b as intersection over union.
+_IOU = "(greatest(0, least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * greatest(0, least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin))) / ((a.xmax - a.xmin) * (a.ymax - a.ymin) + (b.xmax - b.xmin) * (b.ymax - b.ymin) - greatest(0, least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * greatest(0, least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) + 1e-6)"
+_NTH = "row_number() OVER (PARTITION BY scan_id, panel ORDER BY token_pos, xmin, ymin, xmax, ymax, text, conf)"
+
+
+@query(f"""WITH RECURSIVE p AS MATERIALIZED (SELECT *, {_NTH} AS n FROM ({_FIRST})), s AS MATERIALIZED (SELECT *, {_NTH} AS n FROM ({_SECOND})),
+ goes AS MATERIALIZED (SELECT a.scan_id, a.panel, a.n, min(b.n) AS m FROM s a JOIN p b ON b.scan_id = a.scan_id AND b.panel = a.panel WHERE {_IOU} > 0.25 GROUP BY ALL),
+ taker AS (SELECT scan_id, panel, m, min(n) AS n FROM goes GROUP BY ALL), offer AS (SELECT taker.scan_id, taker.panel, taker.m, s.text, s.conf FROM taker JOIN s USING (scan_id, panel, n)),
+ free AS MATERIALIZED (SELECT s.*, row_number() OVER (PARTITION BY scan_id, panel ORDER BY n) AS k FROM s ANTI JOIN goes USING (scan_id, panel, n)),
+ fold(scan_id, panel, k, kept) AS (SELECT scan_id, panel, 0::BIGINT, CAST([] AS STRUCT(n BIGINT, xmin DOUBLE, ymin DOUBLE, xmax DOUBLE, ymax DOUBLE)[]) FROM (SELECT DISTINCT scan_id, panel FROM free)
+  UNION ALL SELECT f.scan_id, f.panel, a.k, CASE WHEN len(list_filter(f.kept, lambda b: {_IOU} > 0.25)) > 0 THEN f.kept ELSE list_append(f.kept, {{'n': a.n, 'xmin': a.xmin, 'ymin': a.ymin, 'xmax': a.xmax, 'ymax': a.ymax}}) END FROM fold f JOIN free a ON a.scan_id = f.scan_id AND a.panel = f.panel AND a.k = f.k + 1),
+ done AS (SELECT scan_id, panel, arg_max(kept, k) AS kept FROM fold GROUP BY ALL), app AS (SELECT scan_id, panel, unnest(kept).n AS n FROM done),
+ last AS (SELECT scan_id, panel, max(token_pos) AS last FROM p GROUP BY ALL)
+ SELECT p.scan_id, p.panel, p.token_pos, CASE WHEN o.text IS NOT NULL AND NOT indic AND (garbled OR p.conf < 0.7) THEN o.text ELSE p.text END AS text, CASE WHEN o.text IS NOT NULL AND NOT indic AND (garbled OR p.conf < 0.7) THEN greatest(p.conf, o.conf) ELSE p.conf END AS conf, p.xmin, p.ymin FROM p LEFT JOIN offer o ON o.scan_id = p.scan_id AND o.panel = p.panel AND o.m = p.n
+ UNION ALL SELECT s.scan_id, s.panel, (coalesce(last, -1) + row_number() OVER (PARTITION BY s.scan_id, s.panel ORDER BY s.n))::INT, s.text, s.conf, s.xmin, s.ymin FROM app JOIN s USING (scan_id, panel, n) LEFT JOIN last ON last.scan_id = s.scan_id AND last.panel = s.panel""")
+def jn12_fused(t):
+    return boxes.fuse_ocr_passes(derived(t, _FIRST), derived(t, _SECOND)).select("scan_id", "panel", "token_pos", "text", "conf", "xmin", "ymin")
+
+
 @query("SELECT DISTINCT f.value AS text, a.entity, a.alias, 100.0::DOUBLE AS score FROM {features} f JOIN (SELECT * FROM (VALUES ('mrp', 'mrp'), ('mrp', 'incl. of all taxes'), ('net_qty', 'net wt'), ('mfg_date', 'pkd'), ('manufacturer', 'packed by'), ('manufacturer', 'customer care')) v(entity, alias)) a ON contains(lower(value), alias) WHERE NOT (alias = 'incl. of all taxes' AND contains(lower(value), 'mrp'))")
 def jn13_entities(t):
     return brand_plans.extract_entities(t("features").select(F.col("value").alias("text")).distinct())

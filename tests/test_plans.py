@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packproof.functions import fuzzy
-from packproof.operators import joins, layout
+from packproof.operators import boxes, joins, layout
 from packproof.plans import brands, risk, rules
 from packproof.sources import store
 from packproof.streaming import frames
@@ -120,7 +120,7 @@ def test_brand_clusters_and_fusion(spark):
     cols = "scan_id string, panel string, token_pos int, text string, conf double, xmin double, ymin double, xmax double, ymax double"
     first = spark.createDataFrame([("s", "p", 0, "RRTO", 0.5, 0.0, 0.0, 10.0, 10.0), ("s", "p", 1, "good", 0.95, 20.0, 0.0, 30.0, 10.0)], cols).withColumns({"indic": F.lit(False), "garbled": F.col("text") == "RRTO"})
     second = spark.createDataFrame([("s", "p", 0, "नया", 0.8, 1.0, 0.0, 10.0, 10.0), ("s", "p", 1, "x", 0.8, 20.0, 0.0, 30.0, 10.0), ("s", "p", 2, "far", 0.8, 50.0, 0.0, 60.0, 10.0)], cols)
-    assert sorted(r["text"] for r in layout.fuse_ocr_passes(first, second).collect()) == ["far", "good", "नया"]
+    assert sorted(r["text"] for r in boxes.fuse_ocr_passes(first, second).collect()) == ["far", "good", "नया"]
 
 
 def test_store(spark, tmp_path):
