@@ -231,7 +231,7 @@ def jn4_match_registry(t):
 @query("""SELECT r.id AS registry_id, count(DISTINCT s.id) AS n FROM {registry} r JOIN {scans} s ON contains(lower(s.product_name), lower(r.product_name)) OR contains(lower(r.product_name), lower(s.product_name))
  OR (s.barcode <> 'No barcode detected' AND contains(s.barcode, r.sku)) OR s.brand = r.brand OR s.batch_number = r.batch_number GROUP BY r.id""")
 def jn5_linked_scans(t):
-    return joins.linked_scans(t("registry"), t("scans")).groupBy("registry_id").agg(F.count("*").alias("n"))
+    return joins.linked_counts(t("registry"), t("scans"))
 
 
 _LOOKUP = "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'x' || r.sku WHEN 1 THEN 'b' || (p_partkey % 40) WHEN 2 THEN substr(p_name, 2, 5) ELSE 'none such' END AS query FROM {part} JOIN {registry} r ON r.pos = p_partkey"

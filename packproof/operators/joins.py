@@ -79,13 +79,6 @@ def contains_pairs(left: DataFrame, right: DataFrame, both_ways: bool) -> DataFr
     return (out.union(inside(r, "r", l, "l")) if both_ways else out).distinct()
 
 
-def _legs(scans: DataFrame, registry: DataFrame, legs: list[DataFrame]) -> DataFrame:
-    out = legs[0]
-    for leg in legs[1:]:
-        out = out.unionByName(leg)
-    return out
-
-
 def match_registry(scans: DataFrame, registry: DataFrame) -> DataFrame:
     """JN-4: scan_id and the first registry row (by pos) with its sku, a name that contains either way, or its brand.
 
@@ -99,20 +92,74 @@ def match_registry(scans: DataFrame, registry: DataFrame) -> DataFrame:
     names = contains_pairs(scans.select(F.col("product_name").alias("name")), registry.select(F.col("product_name").alias("name")), True)
     nearest = names.join(registry.groupBy(F.col("product_name").alias("r")).agg(F.min("pos").alias("pos")), "r").groupBy("l").agg(F.min("pos").alias("pos"))
     by_name = ids.join(nearest, "l").select("scan_id", "pos")
-    best = _legs(scans, registry, [by_sku, by_brand, by_name]).groupBy("scan_id").agg(F.min("pos").alias("pos"))
+    best = by_sku.unionByName(by_brand).unionByName(by_name).groupBy("scan_id").agg(F.min("pos").alias("pos"))
     return best.join(registry.select("pos", F.col("id").alias("registry_id")), "pos").select("scan_id", "registry_id")
 
 
-def linked_scans(registry: DataFrame, scans: DataFrame) -> DataFrame:
-    """JN-5: (registry_id, scan_id) by name (scan's in either), sku inside the barcode, brand or batch."""
-    r = registry.select(F.col("id").alias("registry_id"), "sku", "brand", "batch_number", F.col("product_name").alias("r"))
-    s = scans.select(F.col("id").alias("scan_id"), F.when(F.col("barcode") != NO_BARCODE, F.col("barcode")).alias("barcode"), "brand", "batch_number", F.col("product_name").alias("l"))
-    names = contains_pairs(scans.select(F.col("product_name").alias("name")), registry.select(F.col("product_name").alias("name")), True)
-    by_name = s.join(names, "l").join(r, "r").select("registry_id", "scan_id")
-    codes = contains_pairs(s.select(F.col("barcode").alias("name")), r.select(F.col("sku").alias("name")), False)
-    by_code = s.join(codes.withColumnRenamed("l", "barcode"), "barcode").join(r.withColumn("k", F.col("sku")), F.col("k") == codes["r"]).select("registry_id", "scan_id")
-    legs = [by_name, by_code] + [r.filter(f"{k} <> ''").join(s, k).select("registry_id", "scan_id") for k in ("brand", "batch_number")]
-    return _legs(scans, registry, legs).distinct()
+def _class_counts(classes: DataFrame, leg: str) -> DataFrame:
+    """``n`` of classes (name, sku, brand, batch) summed by name and sku, and within them by brand, by batch and by both.
+
+    ``within`` says which: '', 'b', 't' or 'bt'. Columns that do not count are ''.
+    """
+    shown = lambda c, on: F.coalesce(F.col(c), F.lit("")) if on else F.lit("")
+    kinds = F.array(*(F.struct(F.lit(w).alias("within"), shown("brand", "b" in w).alias("brand"), shown("batch", "t" in w).alias("batch")) for w in ("", "b", "t", "bt")))
+    rows = classes.select("name", "sku", "n", F.explode(kinds).alias("x")).select(F.lit(leg).alias("leg"), "name", "sku", "x.*", "n")
+    rows = rows.filter("(instr(within, 'b') = 0 or brand <> '') and (instr(within, 't') = 0 or batch <> '')")
+    return rows.groupBy("leg", "within", "name", "sku", "brand", "batch").agg(F.sum("n").alias("n"))
+
+
+def linked_counts(registry: DataFrame, scans: DataFrame) -> DataFrame:
+    """JN-5: registry_id and the number ``n`` of scans linked by name (either in the other), sku inside the barcode, brand or batch.
+
+    No pair of a registry row and a scan is made. Scans are first counted by class (name,
+    barcode, brand, batch), names and barcodes meet as distinct values, and the union of the
+    four legs is put together from counts of intersections: brand or batch, plus what name or
+    code add outside both. Each registry row asks for at most fifteen counts by one equi-join
+    and adds them up by sign; the other side has one row a key. ``id`` is a key of either
+    table; rows without a linked scan are left out.
+    """
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    rows = registry.select(F.col("id").alias("registry_id"), blank("product_name").alias("name"), blank("sku").alias("sku"), blank("brand").alias("brand"), blank("batch_number").alias("batch"))
+    code = F.when(F.col("barcode") != NO_BARCODE, blank("barcode"))
+    classes = scans.groupBy(blank("product_name").alias("l"), code.alias("barcode"), blank("brand").alias("brand"), blank("batch_number").alias("batch")).agg(F.count("*").alias("n"))
+    names = contains_pairs(classes.select(F.col("l").alias("name")), rows.select("name"), True).withColumnRenamed("r", "name")
+    codes = contains_pairs(classes.select(F.col("barcode").alias("name")), rows.select(F.col("sku").alias("name")), False).toDF("barcode", "sku")
+    no = F.lit("")
+    add = lambda *keys: classes.groupBy(*keys, "brand", "batch").agg(F.sum("n").alias("n"))
+    every = add().select(no.alias("name"), no.alias("sku"), "brand", "batch", "n")
+    by_name = add("l").join(names, "l").select("name", no.alias("sku"), "brand", "batch", "n")
+    coded = add("l", "barcode").join(codes, "barcode")
+    by_code = coded.select(no.alias("name"), "sku", "brand", "batch", "n")
+    low = lambda c: F.lower(F.col(c))
+    owners = rows.select("sku", "name").filter("sku is not null and name is not null").distinct()
+    by_both = coded.join(owners, "sku").filter(F.contains(low("l"), low("name")) | F.contains(low("name"), low("l"))).select("name", "sku", "brand", "batch", "n")
+    counts = _class_counts(every, "all").filter("within <> ''")
+    for leg, table in (("name", by_name), ("code", by_code), ("both", by_both)):
+        counts = counts.unionByName(_class_counts(table, leg))
+
+    def term(leg: str, within: str) -> Column:
+        """What a row asks for: its keys and the sign of the count, null where it lacks one of them."""
+        sign = (-1) ** (len(within) + (leg in ("all", "both")))
+        used = {"name": leg in ("name", "both"), "sku": leg in ("code", "both"), "brand": "b" in within, "batch": "t" in within}
+        keys = [(F.col(c) if on else no).alias(c) for c, on in used.items()]
+        whole = F.array_compact(F.array(*(F.col(c) for c, on in used.items() if on)))
+        return F.when(F.size(whole) == sum(used.values()), F.struct(F.lit(leg).alias("leg"), F.lit(within).alias("within"), *keys, F.lit(sign).alias("sign")))
+
+    terms = [term("all", w) for w in ("b", "t", "bt")] + [term(leg, w) for leg in ("name", "code", "both") for w in ("", "b", "t", "bt")]
+    asked = rows.select("registry_id", F.explode(F.array_compact(F.array(*terms))).alias("x")).select("registry_id", "x.*")
+    met = asked.join(counts, ["leg", "within", "name", "sku", "brand", "batch"])
+    return met.groupBy("registry_id").agg(F.sum(F.col("sign") * F.col("n")).alias("n")).filter("n > 0")
+
+
+def scans_of(registry: DataFrame, scans: DataFrame, registry_id: str) -> DataFrame:
+    """JN-5 for one registry row: the scans that it is linked to, in one pass over them."""
+    low = lambda c: F.lower(F.col(c))
+    own = registry.filter(F.col("id") == registry_id).select(*(F.nullif(F.col(c), F.lit("")).alias(f"__{c}") for c in ("product_name", "sku", "brand", "batch_number"))).limit(1)
+    name = (F.col("product_name") != "") & (F.contains(low("product_name"), low("__product_name")) | F.contains(low("__product_name"), low("product_name")))
+    code = (F.col("barcode") != NO_BARCODE) & F.contains("barcode", F.col("__sku"))
+    legs = [name, code, F.col("brand") == F.col("__brand"), F.col("batch_number") == F.col("__batch_number")]
+    linked = F.greatest(*(F.coalesce(leg, F.lit(False)) for leg in legs))
+    return scans.join(F.broadcast(own), linked).select(*scans.columns)
 
 
 def lookup_products(queries: DataFrame, registry: DataFrame) -> DataFrame:
