@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .derive import oracle, table
 from .functions import constants as C
-from .functions import dates, geometry, ids, text
+from .functions import dates, fuzzy, geometry, ids, text
 from .operators import boxes, joins, layout, metrics, ranking, records, search
 from .plans import brands as brand_plans
 from .plans import risk, rules, workloads
@@ -163,8 +163,10 @@ def _odd(t) -> DataFrame:
     return t("scans").withColumns({"product_name": F.when(n % 3 == 0, F.concat(F.lit("new "), n.cast("string"))).otherwise(F.col("product_name")), "brand": F.when(n % 2 == 0, "none").otherwise(F.col("brand"))})
 
 
-@query(f"""WITH s AS ({_ODD}), hit AS (SELECT DISTINCT s.id FROM s JOIN {{registry}} r ON (s.barcode <> 'No barcode detected' AND r.sku = s.barcode) OR contains(s.product_name, r.product_name) OR contains(r.product_name, s.product_name) OR r.brand = s.brand)
- SELECT 'REG-' || id AS id, barcode AS sku, product_name, batch_number, 1::BIGINT AS scans_count, CASE verdict WHEN 'NON-COMPLIANT' THEN 0 ELSE 1 END::BIGINT AS passed_count, CASE verdict WHEN 'NON-COMPLIANT' THEN 'HIGH' ELSE 'LOW' END AS risk FROM s WHERE id NOT IN (SELECT id FROM hit)""")
+@query(f"""WITH s AS MATERIALIZED ({_ODD}), reg AS MATERIALIZED (SELECT sku, product_name, brand FROM {{registry}}),
+ names AS MATERIALIZED (SELECT DISTINCT a.n FROM (SELECT DISTINCT product_name AS n FROM s) a JOIN (SELECT DISTINCT product_name AS n FROM reg) b ON contains(a.n, b.n) OR contains(b.n, a.n)),
+ hit AS (SELECT id FROM s JOIN (SELECT DISTINCT sku FROM reg) r ON r.sku = s.barcode WHERE s.barcode <> 'No barcode detected' UNION SELECT id FROM s JOIN (SELECT DISTINCT brand FROM reg) r ON r.brand = s.brand UNION SELECT id FROM s JOIN names ON names.n = s.product_name)
+ SELECT 'REG-' || id AS id, barcode AS sku, product_name, batch_number, 1::BIGINT AS scans_count, CASE verdict WHEN 'NON-COMPLIANT' THEN 0 ELSE 1 END::BIGINT AS passed_count, CASE verdict WHEN 'NON-COMPLIANT' THEN 'HIGH' ELSE 'LOW' END AS risk FROM s ANTI JOIN hit USING (id)""")
 def prj5_register_unmatched(t):
     scans = _odd(t)
     return records.register_unmatched(scans, joins.match_registry(scans, t("registry")))
@@ -316,6 +318,12 @@ def jn13_entities(t):
     return brand_plans.extract_entities(t("features").select(F.col("value").alias("text")).distinct())
 
 
+@query()
+def jn13_fuzzy(t):
+    """Nearest alias of each entity by partial ratio (no SQL; tested against brute force)."""
+    return brand_plans.extract_entities(t("features").select(F.col("value").alias("text")).distinct(), method="fuzzy")
+
+
 @query("SELECT r.id, r.scan_id, s.product_name, s.verdict FROM {reports} r LEFT JOIN {scans} s ON s.id = r.scan_id")
 def jn14_dossier(t):
     return joins.report_dossier(t("reports"), t("scans")).select("id", "scan_id", "product_name", "verdict")
@@ -685,7 +693,8 @@ def srt4_reading_order(t):
 
 @query(_EVALS + """, own AS MATERIALIZED (SELECT ev.scan_id, ev.eval_id, CASE WHEN ev.eval_id = 'eval_mrp' AND status = 'ISSUE' THEN NULL WHEN ev.eval_id = 'eval_qty' AND status = 'PASS' THEN NULL ELSE ev.value END AS value FROM ev WHERE status IS NOT NULL),
  f AS MATERIALIZED (SELECT scan_id, pos, side, category, value FROM {features}), backs AS (SELECT scan_id, bool_or(side <> 'front') AS b FROM f GROUP BY scan_id),
- hits AS (SELECT scan_id, eval_id, arg_min(side, pos) AS side FROM (SELECT own.scan_id, own.eval_id, f.side, f.pos FROM own JOIN f ON f.scan_id = own.scan_id AND f.value = own.value UNION ALL SELECT own.scan_id, own.eval_id, f.side, f.pos FROM own JOIN f ON f.scan_id = own.scan_id WHERE contains(own.eval_id, f.category)) GROUP BY ALL)
+ ec AS MATERIALIZED (SELECT eval_id, category FROM (SELECT DISTINCT eval_id FROM own) e JOIN (SELECT DISTINCT category FROM f) c ON contains(eval_id, category)),
+ hits AS (SELECT scan_id, eval_id, arg_min(side, pos) AS side FROM (SELECT own.scan_id, own.eval_id, f.side, f.pos FROM own JOIN f ON f.scan_id = own.scan_id AND f.value = own.value UNION ALL SELECT own.scan_id, own.eval_id, f.side, f.pos FROM own JOIN ec ON ec.eval_id = own.eval_id JOIN f ON f.scan_id = own.scan_id AND f.category = ec.category) GROUP BY ALL)
  SELECT own.scan_id, own.eval_id, coalesce(h.side, CASE WHEN b THEN 'back_0' ELSE 'front' END) AS side FROM own LEFT JOIN hits h ON h.scan_id = own.scan_id AND h.eval_id = own.eval_id JOIN backs ON backs.scan_id = own.scan_id""")
 def rul2_side(t):
     return rules.tag_side(rules.evaluate_rules(t("features")), t("features")).select("scan_id", "eval_id", "side")
@@ -698,6 +707,21 @@ def rul3_gate(t):
     return rules.brand_gate(t("features").withColumn("category", F.when(F.col("category") == "mrp", "brand_logo").otherwise(F.col("category"))))
 
 
+#: Every part name with the next one's, and with itself cut short: equal, near and far texts.
+_NAME_PAIRS = """SELECT a.p_partkey, 0 AS kind, a.p_name AS a, b.p_name AS b FROM {part} a JOIN {part} b ON b.p_partkey = a.p_partkey + 1 UNION ALL SELECT p_partkey, 1, p_name, substr(p_name, 2, 6) || p_type FROM {part}
+ UNION ALL SELECT a.p_partkey, 2, a.p_name || ' ' || a.p_type || ' ' || a.p_brand || ' ' || a.p_name || ' ' || a.p_type || ' ' || a.p_type, b.p_name || b.p_name || ' ' || b.p_brand || ' ' || b.p_type || b.p_type || b.p_type || b.p_type FROM {part} a JOIN {part} b ON b.p_partkey = a.p_partkey + 1"""
+
+
+@query(f"""WITH RECURSIVE p AS MATERIALIZED ({_NAME_PAIRS}), d AS MATERIALIZED (SELECT DISTINCT a, b FROM p),
+ lcs(a, b, i, line) AS (SELECT a, b, 0, list_transform(range(length(b) + 1), lambda x: 0) FROM d
+  UNION ALL SELECT a, b, i + 1, list_reduce(range(1, length(b) + 1), lambda acc, j: list_append(acc, CASE WHEN substr(a, i + 1, 1) = substr(b, j::INT, 1) THEN line[j] + 1 ELSE greatest(line[j + 1], acc[j]) END), [0]) FROM lcs WHERE i < length(a)),
+ done AS (SELECT a, b, line[length(b) + 1] AS n FROM lcs WHERE i = length(a))
+ SELECT p_partkey, kind, n::INT AS common, round(200.0::DOUBLE * n / (length(p.a) + length(p.b)), 9) AS ratio FROM p JOIN done ON done.a = p.a AND done.b = p.b""")
+def fn21_ratio(t):
+    a, b = F.col("a"), F.col("b")
+    return derived(t, _NAME_PAIRS).select("p_partkey", "kind", fuzzy.lcs_length(a, b).alias("common"), F.round(fuzzy.fuzz_ratio(a, b), 9).alias("ratio"))
+
+
 @query("SELECT id, expiry_date, CASE WHEN expiry_date::DATE < DATE '2025-01-01' THEN 'EXPIRED' WHEN expiry_date::DATE - DATE '2025-01-01' <= 60 THEN 'Expires in ' || (expiry_date::DATE - DATE '2025-01-01') || 'd' ELSE 'Active Batch' END AS state FROM {registry}")
 def fn24_expiry(t):
     return t("registry").select("id", "expiry_date", dates.expiry_status(F.col("expiry_date"), F.lit("2025-01-01").cast("date")).alias("state"))

@@ -15,7 +15,11 @@ def regulatory_faults(features: DataFrame) -> DataFrame:
     cin = F.regexp_extract(up, "(?<![A-Z0-9_])[LU][0-9]{5}[A-Z]{2}(?:18|19|20)[0-9]{2}[A-Z]{3}[0-9]{6}(?![A-Z0-9_])", 0)
     licensed = (F.col("category") == "fssai") | F.contains(low, F.lit("fssai"))
     company = F.contains(low, F.lit("cin")) | F.contains(low, F.lit("l1")) | F.contains(low, F.lit("u1"))
-    rows = features.select("scan_id", "pos", F.when(licensed & (fssai != ""), parse_fssai(fssai)).alias("f"), F.when(company & (cin != ""), parse_cin(cin)).alias("c"))
+    # as lambda bodies the parsers stay out of the generated code, which has a size limit; the
+    # generator keeps the parsed structs from being put in wherever a field of them is read
+    once = lambda parse, number: F.get(F.transform(F.array(number), parse), F.lit(0))
+    parsed = F.array(F.struct(F.when(licensed & (fssai != ""), once(parse_fssai, fssai)).alias("f"), F.when(company & (cin != ""), once(parse_cin, cin)).alias("c")))
+    rows = features.select("scan_id", "pos", F.inline(parsed))
     bad = lambda p: F.coalesce(~F.col(f"{p}.valid"), F.lit(False)).cast("int")
     said = {"f": "FSSAI licence number has a valid form.", "c": "Corporate identity number has a valid form."}
     notes = F.array_compact(F.array(*(F.when(bad(p) == 1, F.concat(F.lit("REGULATORY ANOMALY: "), F.col(f"{p}.reason"))).when(F.col(f"{p}.valid"), F.lit(good)) for p, good in said.items())))

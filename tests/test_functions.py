@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packproof.functions import constants as C
-from packproof.functions import fuzzy, geometry, ids, patterns, text
+from packproof.functions import geometry, ids, patterns, text
 
 
 def values(spark, column, *rows):
@@ -77,24 +77,6 @@ def test_signatures(spark):
     assert values(spark, text.brand_ngrams(F.col("a")), ("Dairy Milk",)) == [["dairy milk", "dairy", "milk"]]
 
 
-def test_fuzzy():
-    def lcs(a, b):
-        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
-        return t[-1][-1]
-
-    rng = random.Random(3)
-    for _ in range(300):
-        a, b = ("".join(rng.choices("abcd ", k=rng.randint(0, 12))) for _ in range(2))
-        assert fuzzy.lcs(a, b) == lcs(a, b)
-        assert 0 <= fuzzy.partial_ratio(a, b) <= 100
-    assert fuzzy.ratio("", "") == 100 and fuzzy.ratio("abc", "abd") == pytest.approx(200 * 2 / 6)
-    assert fuzzy.partial_ratio("mrp", "the mrp is") == 100 and fuzzy.token_sort_ratio("a b", "b a") == 100
-    assert fuzzy.levenshtein("kitten", "sitting") == 3
-
-
 def test_geometry(spark):
     row = values(spark, geometry.pdp_compliance(*(F.col(c) for c in "abcde")), (1000.0, 1500.0, 100.0, 10.0, 25.0))[0]
     assert (row["area_cm2"], row["required_mm"], row["compliant"]) == (150.0, 2.0, True)
