@@ -808,6 +808,13 @@ def str4_kpis(t):
     return frames.stream_kpis(rows).withColumn("day", F.substring(F.col("day").cast("string"), 1, 10))
 
 
+@query("""WITH f AS (SELECT scan_id, arg_min(title, rule_pos) AS title, arg_min(clause, rule_pos) AS clause FROM {evals} WHERE status <> 'PASS' GROUP BY scan_id)
+ SELECT s.id AS scan_id, product_name, coalesce(title, 'Unknown Compliance Defect') AS title, coalesce(clause, 'General Provision') AS clause, CASE WHEN coalesce(penalty, 0) = 0 THEN 25000 ELSE penalty END::BIGINT AS fine, scan_date AS day FROM {scans} s LEFT JOIN f ON f.scan_id = s.id WHERE verdict = 'NON-COMPLIANT'""")
+def str4_violations(t):
+    first = t("evals").filter("status <> 'PASS'").groupBy("scan_id").agg(F.min_by(F.struct("title", "clause"), "rule_pos").alias("f")).select("scan_id", "f.*")
+    return frames.stream_violations(t("scans"), first)
+
+
 @query("SELECT DISTINCT id, action FROM {audit_logs}")
 def str5_audit(t):
     logs = t("audit_logs").select("id", "action")
