@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .derive import oracle, table
 from .functions import constants as C
 from .functions import dates, fuzzy, geometry, ids, text
+from .lineage import fresh_path
 from .operators import boxes, joins, layout, metrics, ranking, records, search
 from .plans import brands as brand_plans
 from .plans import risk, rules, workloads
@@ -430,6 +431,17 @@ def agg13_latency(t):
     return out.select("n", F.round("mean", 6).alias("mean"), "least", "most", F.round("p95", 9).alias("p95"), F.round("per_second", 6).alias("per_second"))
 
 
+@query("SELECT event_type, count(*) AS n, quantile_disc(value, 0.95) AS nearest, round(quantile_cont(value, 0.95), 9) AS interpolated, round(quantile_cont(value, 0.5), 9) AS median FROM {events} GROUP BY event_type")
+def agg13_by_type(t):
+    """Percentiles of each kind of event by both rules."""
+    rows = t("events").select("event_type", F.col("value").alias("ms"))
+    out = rows.groupBy("event_type").agg(F.count("*").alias("n"))
+    for name, share, rule in (("nearest", 0.95, "nearest"), ("interpolated", 0.95, "interpolated"), ("median", 0.5, "interpolated")):
+        found = metrics.exact_percentiles(rows, "ms", share, ("event_type",), rule).withColumnRenamed("percentile", name)
+        out = out.join(found, "event_type")
+    return out.select("event_type", "n", "nearest", F.round("interpolated", 9).alias("interpolated"), F.round("median", 9).alias("median"))
+
+
 @query("SELECT category, count(DISTINCT scan_id) AS n, round(100.0::DOUBLE * count(DISTINCT scan_id) / (SELECT count(DISTINCT scan_id) FROM {features}), 2) AS rate FROM {features} GROUP BY category")
 def agg14_detection(t):
     return metrics.detection_rates(t("features"))
@@ -707,6 +719,22 @@ def rul3_gate(t):
     return rules.brand_gate(t("features").withColumn("category", F.when(F.col("category") == "mrp", "brand_logo").otherwise(F.col("category"))))
 
 
+#: Two readings of one crop for every order line, with every branch of the arbitration among them.
+_CROPS = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_partkey % 7 WHEN 0 THEN 'RRTO' WHEN 1 THEN 'Biscuit' WHEN 2 THEN '||||' WHEN 3 THEN '' WHEN 4 THEN 'ab' WHEN 5 THEN 'Butter' ELSE 'word ' || CAST(l_partkey AS STRING) END AS latin,
+ CAST(CAST(l_quantity AS INT) % 11 AS DOUBLE) / 20 + 0.45 AS latin_conf, CASE l_suppkey % 5 WHEN 0 THEN 'शुद्ध' WHEN 1 THEN 'न' WHEN 2 THEN '' WHEN 3 THEN 'शुद्ध abc, घी' ELSE 'घी 12' END AS dev, CAST(l_orderkey % 13 AS DOUBLE) / 13 AS dev_conf FROM {lineitem}"""
+
+
+@query(f"""WITH x AS (SELECT *, CASE WHEN dev = 'शुद्ध abc, घी' THEN 'शुद्ध घी' ELSE dev END AS d, dev <> '' AS indic, CASE l_suppkey % 5 WHEN 0 THEN 5 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 7 ELSE 2 END AS signs, length(regexp_replace(latin, '[^A-Za-z0-9]', '', 'g')) AS letters,
+  CASE WHEN latin IN ('RRTO', '||||', '') THEN true WHEN latin = 'ab' THEN latin_conf < 0.75 WHEN latin = 'Butter' THEN latin_conf < 0.88 ELSE false END AS garbled FROM ({_CROPS})),
+ y AS (SELECT *, CASE WHEN NOT garbled AND latin_conf >= 0.7 AND letters >= 2 THEN CASE WHEN indic AND signs >= 3 AND dev_conf > 0.85 AND latin_conf < 0.8 THEN 'dev' ELSE 'latin' END
+  WHEN garbled AND indic AND signs >= 1 AND dev_conf >= 0.25 THEN 'both' WHEN garbled AND d <> '' AND dev_conf > latin_conf THEN 'dev' WHEN indic AND signs >= 2 AND dev_conf >= 0.35 AND (latin_conf < 0.7 OR dev_conf >= latin_conf) THEN 'both'
+  WHEN indic AND signs <= 1 AND letters >= 1 THEN 'latin' WHEN indic AND signs >= 2 AND dev_conf >= 0.4 THEN 'dev' ELSE 'latin' END AS taken FROM x)
+ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE taken WHEN 'latin' THEN latin ELSE d END AS text, CASE taken WHEN 'latin' THEN latin_conf WHEN 'dev' THEN dev_conf ELSE greatest(latin_conf, dev_conf) END AS confidence FROM y""")
+def fn15_arbitrate(t):
+    best = text.arbitrate(*map(F.col, ("latin", "latin_conf", "dev", "dev_conf")))
+    return derived(t, _CROPS).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", best.alias("b")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "b.*")
+
+
 #: Every part name with the next one's, and with itself cut short: equal, near and far texts.
 _NAME_PAIRS = """SELECT a.p_partkey, 0 AS kind, a.p_name AS a, b.p_name AS b FROM {part} a JOIN {part} b ON b.p_partkey = a.p_partkey + 1 UNION ALL SELECT p_partkey, 1, p_name, substr(p_name, 2, 6) || p_type FROM {part}
  UNION ALL SELECT a.p_partkey, 2, a.p_name || ' ' || a.p_type || ' ' || a.p_brand || ' ' || a.p_name || ' ' || a.p_type || ' ' || a.p_type, b.p_name || b.p_name || ' ' || b.p_brand || ' ' || b.p_type || b.p_type || b.p_type || b.p_type FROM {part} a JOIN {part} b ON b.p_partkey = a.p_partkey + 1"""
@@ -832,6 +860,15 @@ def snk1_registry(t):
     return store.registry_rows(t("registry"))
 
 
+@query("SELECT id, sku, product_name, brand, category, batch_number, mfg_date, expiry_date, declared_mrp, manufacturer, risk, scans_count, passed_count FROM {registry}")
+def snk4_registry_json(t):
+    """The registry, written as JSON and read again."""
+    rows = t("registry").drop("pos")
+    path = fresh_path(rows.sparkSession, "registry-json")
+    store.export_registry_json(rows, path)
+    return rows.sparkSession.read.schema(rows.schema).json(path)
+
+
 @query("""SELECT id AS "Log ID", strftime(ts_text::TIMESTAMP, '%d %b %Y, %I:%M:%S %p') AS "Formatted Date & Time", ts_text AS "Raw Timestamp", user_name AS "User / Principal", action AS "Action Taken", target AS "Target Resource", '' AS "Source IP", status AS "Status", coalesce(details, '') AS "Details" FROM {audit_logs}""")
 def snk3_audit_trail(t):
     return store.audit_trail(t("audit_logs"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from .records import BAD
 
 
@@ -139,11 +140,54 @@ def ground_truth_accuracy(features: DataFrame, truth: DataFrame) -> DataFrame:
     return per.groupBy("field").agg(F.count("*").alias("expected"), count_if(F.col("hit")).alias("found")).withColumn("accuracy", percent(F.col("found"), F.col("expected"), digits=2))
 
 
-def latency_summary(rows: DataFrame, mode: str = "interpolated") -> DataFrame:
-    """AGG-13 over ``ms``: interpolated or nearest-rank 95th percentile. ``approximate`` needs no full sort."""
-    p95 = {"interpolated": F.percentile("ms", F.lit(0.95)), "nearest": F.percentile_disc(0.95, "ms") if hasattr(F, "percentile_disc") else F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY ms)"), "approximate": F.percentile_approx("ms", 0.95, 10_000)}[mode]
+#: Ranges of one counting pass; ranked at once are at most so many rows a group.
+RANGES, RANKED = 4096, 100_000
+
+
+def exact_percentiles(rows: DataFrame, value: str, share: float, keys: tuple[str, ...] = (), rule: str = "interpolated", ranked: int = RANKED) -> DataFrame:
+    """AGG-13: ``keys`` and ``percentile``, exact, without an aggregate or a sort that holds all values.
+
+    A pass counts the values of equal ranges between least and greatest, which says in which
+    range (two, if the percentile lies between) the wanted ranks are; the next pass counts
+    within these, until at most ``ranked`` rows of a group are left or they are all equal. Only
+    those are ranked, as distinct values with counts. Null, NaN and infinite values are left
+    out; a group without others gives no row. ``interpolated`` weighs the two values around the
+    place (n - 1) x share, ``nearest`` takes the one of rank n x share, rounded up.
+    """
+    v = F.col(value).cast("double")
+    own = rows.select(*keys, v.alias("v")).filter(F.abs("v") < float("inf"))
+    place = F.lit(share) * (F.col("n") - 1)
+    first, last = (F.floor(place), F.ceil(place)) if rule == "interpolated" else (F.greatest(F.lit(0), F.ceil(F.lit(share) * F.col("n")) - 1),) * 2
+    state = own.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).filter("n > 0")
+    state = cut(state.select(*keys, "n", "low", "high", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), first.cast("long").alias("first"), last.cast("long").alias("last")))
+    met = lambda part: (own.join(part, list(keys)) if keys else own.crossJoin(F.broadcast(part))).filter("v between low and high")
+    while state.filter((F.col("inside") > ranked) & (F.col("low") < F.col("high"))).limit(1).count():
+        open_ = state.filter((F.col("inside") > ranked) & (F.col("low") < F.col("high")))
+        at = F.least(F.lit(RANGES - 1), F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * RANGES).cast("int"))
+        counted = met(open_).groupBy(*keys, "n", "below", "first", "last", at.alias("range")).agg(F.count("*").alias("held"), F.min("v").alias("low"), F.max("v").alias("high"))
+        order = Window.partitionBy(*keys).orderBy("range") if keys else Window.orderBy("range")
+        before = F.col("below") + F.sum("held").over(order) - F.col("held")
+        holding = counted.withColumn("below", before).filter((F.col("below") <= F.col("last")) & (F.col("below") + F.col("held") > F.col("first")))
+        narrowed = holding.groupBy(*keys, "n", "first", "last").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("below").alias("below"), F.sum("held").alias("inside"))
+        done = state.filter((F.col("inside") <= ranked) | (F.col("low") >= F.col("high")))
+        state = cut(done.unionByName(narrowed))
+    counted = met(state).groupBy(*keys, "n", "below", "first", "last", "v").agg(F.count("*").alias("held"))
+    order = Window.partitionBy(*keys).orderBy("v") if keys else Window.orderBy("v")
+    placed = counted.withColumn("upto", F.col("below") + F.sum("held").over(order))
+    value_at = lambda rank: F.min(F.when(F.col("upto") > F.col(rank), F.col("v")))
+    found = placed.groupBy(*keys, "n", "first", "last").agg(value_at("first").alias("a"), value_at("last").alias("b"))
+    return found.select(*keys, F.when(F.col("first") == F.col("last"), F.col("a")).otherwise((F.col("last") - place) * F.col("a") + (place - F.col("first")) * F.col("b")).alias("percentile"))
+
+
+def latency_summary(rows: DataFrame, mode: str = "interpolated", keys: tuple[str, ...] = ()) -> DataFrame:
+    """AGG-13 over ``ms``, for each of ``keys``: interpolated or nearest-rank 95th percentile, or an ``approximate`` one from one sketch."""
     mean = F.avg("ms")
-    return rows.agg(F.count("*").alias("n"), mean.alias("mean"), F.min("ms").alias("least"), F.max("ms").alias("most"), p95.alias("p95"), F.when(mean > 0, 1000.0 / mean).alias("per_second"))
+    sketch = [F.percentile_approx("ms", 0.95, 10_000).alias("p95")] if mode == "approximate" else []
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), mean.alias("mean"), F.min("ms").alias("least"), F.max("ms").alias("most"), F.when(mean > 0, 1000.0 / mean).alias("per_second"), *sketch)
+    if not sketch:
+        p95 = exact_percentiles(rows, "ms", 0.95, keys, mode).withColumnRenamed("percentile", "p95")
+        out = out.join(p95, list(keys), "left") if keys else out.join(F.broadcast(p95), F.lit(True), "left")
+    return out.select(*keys, "n", "mean", "least", "most", "p95", "per_second")
 
 
 def detection_rates(features: DataFrame) -> DataFrame:
