@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import constants as C
 from .ids import normalize_indic_digits
+from .lookup import by_value
 from .patterns import has, java
 
 #: Categories in order of priority, with their patterns.
@@ -28,9 +29,7 @@ def classify_line(text: Column) -> Column:
 
 def classify_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """``lines`` with ``category`` of their text; equal texts are classified once, null ones are ``other``."""
-    texts = lines.select(F.col(column).alias("__text")).filter("__text is not null").distinct()
-    texts = texts.select("__text", classify_line(F.col("__text")).alias("category"))
-    return lines.drop("category").join(texts, F.col(column) == F.col("__text"), "left").drop("__text").fillna("other", ["category"])
+    return by_value(lines.drop("category"), column, {"category": classify_line(F.col("__value"))}).fillna("other", ["category"])
 
 
 def price_tag(text: Column, x: Column, y: Column, width: Column, height: Column) -> Column:
