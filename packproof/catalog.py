@@ -860,6 +860,37 @@ def snk1_registry(t):
     return store.registry_rows(t("registry"))
 
 
+@query("""SELECT scan_no AS number, row_number() OVER (PARTITION BY substr(scan_date, 1, 7) ORDER BY scan_no) - 1 AS list_pos, id, scan_date AS timestamp, product_name AS "productName", batch_number AS "batchNumber", barcode, verdict AS "overallVerdict", CAST(penalty AS BIGINT) AS "penaltyEstimateInr" FROM {scans}""")
+def src1_store(t):
+    """Scans as one document a month, written and read again in pieces."""
+    scans = t("scans")
+    own = F.struct("scan_no", "id", F.col("scan_date").alias("timestamp"), F.col("product_name").alias("productName"), F.col("batch_number").alias("batchNumber"), "barcode", F.col("verdict").alias("overallVerdict"), F.col("penalty").alias("penaltyEstimateInr"))
+    months = scans.groupBy(F.substring("scan_date", 1, 7).alias("month")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(own)).alias("scans"))).alias("value"))
+    path = fresh_path(scans.sparkSession, "store")
+    months.repartition("month").write.partitionBy("month").text(path)
+    back = store.read_store(scans.sparkSession, path)["scans"]
+    return back.select(F.substring("id", 5, 20).cast("long").alias("number"), "list_pos", "id", "timestamp", "productName", "batchNumber", "barcode", "overallVerdict", "penaltyEstimateInr")
+
+
+@query("""SELECT s_suppkey AS load_pos, 'C' || s_suppkey AS company_id, s_name AS name, '890' || lpad(s_suppkey::VARCHAR, 4, '0') AS gs1_prefix, CASE WHEN s_suppkey % 3 > 0 THEN lpad(s_suppkey::VARCHAR, 14, '1') END AS fssai, 'Brand ' || s_suppkey AS brand, CASE WHEN s_suppkey % 2 = 0 THEN 'Brnd ' || s_suppkey END AS spoof FROM {supplier}""")
+def src2_corporate(t):
+    """A corporate registry written as one document and read in pieces: companies with their brands and spoofs."""
+    k = F.col("s_suppkey")
+    text_ = k.cast("string")
+    spoofs = F.when(k % 2 == 0, F.array(F.struct(F.concat(F.lit(" Brnd "), text_).alias("spoof"), F.lit("x, [y]").alias("target")))).when(k % 5 == 1, F.array(F.struct(F.concat(F.lit("brand-"), text_).alias("spoof"), F.lit("x").alias("target"))))
+    fssai = F.when(k % 3 > 0, F.lpad(text_, 14, "1")).otherwise("none")
+    company = F.struct(k.alias("order"), F.concat(F.lit("C"), text_).alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("890"), F.lpad(text_, 4, "0")).alias("gs1Prefix"), fssai.alias("fssaiLicense"), F.array(F.concat(F.lit(" Brand "), text_), F.lit("")).alias("brands"), spoofs.alias("spoofVariants"))
+    # one element a line, from a bracket to a bracket, in the order of the keys
+    lines = t("supplier").select(k.alias("order"), F.concat(F.when(k == 0, "").otherwise(","), F.to_json(company)).alias("value"))
+    ends = lines.limit(1).select(F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("order"), F.lit('{"version": 1, "companies": [').alias("value")), F.struct(F.lit(2**62).alias("order"), F.lit("]}").alias("value")))).alias("x")).select("x.*")
+    spark = lines.sparkSession
+    path = fresh_path(spark, "corporate")
+    lines.union(ends).coalesce(1).sortWithinPartitions("order").select("value").write.text(path)
+    read = store.read_corporate_registry(spark, path)
+    own = read["companies"].join(read["company_brands"].select("company_id", "brand"), "company_id", "left").join(read["spoofs"].select("company_id", "spoof"), "company_id", "left")
+    return own.select(F.col("load_pos").cast("long").alias("load_pos"), "company_id", "name", "gs1_prefix", "fssai", "brand", "spoof")
+
+
 @query("SELECT id, sku, product_name, brand, category, batch_number, mfg_date, expiry_date, declared_mrp, manufacturer, risk, scans_count, passed_count FROM {registry}")
 def snk4_registry_json(t):
     """The registry, written as JSON and read again."""

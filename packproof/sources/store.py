@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import parse_ts
+from ..lineage import cut
 from ..operators.joins import norm_key
+from .documents import array_elements, array_table
 
 _S, _D, _L, _B = T.StringType(), T.DoubleType(), T.LongType(), T.BooleanType()
 
@@ -33,11 +35,10 @@ STORE = {
 def read_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """SRC-1: the arrays of JSON documents as tables; absent arrays are empty, password fields are never read.
 
-    ``list_pos`` keeps the order within an array.
+    ``list_pos`` keeps the order within an array. A document is read in pieces by many tasks.
     """
-    schema = _struct(**{k: T.ArrayType(v) for k, v in STORE.items()})
-    document = spark.read.schema(schema).json(path, multiLine=True)
-    return {k: document.select(F.posexplode(k).alias("list_pos", "row")).select("list_pos", "row.*") for k in STORE}
+    elements = array_elements(spark, path)
+    return {k: array_table(elements, k, v) for k, v in STORE.items()}
 
 
 COMPANY = _struct(id=_S, name=_S, cin=_S, gs1Prefix=_S, fssaiLicense=_S, sector=_S, address=_S, customerCare=_S, brands=T.ArrayType(_S), spoofVariants=T.ArrayType(_struct(spoof=_S, target=_S, type=_S, risk=_S)))
@@ -45,8 +46,7 @@ COMPANY = _struct(id=_S, name=_S, cin=_S, gs1Prefix=_S, fssaiLicense=_S, sector=
 
 def read_corporate_registry(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """SRC-2: companies, company_brands and spoofs. Unusable numbers become null; a spoof text that is a genuine brand's key is left out."""
-    document = spark.read.schema(_struct(companies=T.ArrayType(COMPANY))).json(path, multiLine=True)
-    rows = document.select(F.posexplode("companies").alias("load_pos", "c")).select("load_pos", "c.*")
+    rows = cut(array_table(array_elements(spark, path), "companies", COMPANY).withColumnRenamed("list_pos", "load_pos"))
     clean = lambda c: F.nullif(F.trim(c), F.lit(""))
     companies = rows.select(
         F.col("id").alias("company_id"), "name", "load_pos", clean("gs1Prefix").alias("gs1_prefix"), "sector", "address", F.col("customerCare").alias("customer_care"),
