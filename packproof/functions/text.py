@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as C
+from .fuzzy import once
 from .ids import normalize_indic_digits
 from .lookup import by_value
 from .patterns import has, java
@@ -125,23 +126,31 @@ def _unicode(form: str, drop_marks: bool):
 def arbitrate(latin_text: Column, latin_conf: Column, dev_text: Column, dev_conf: Column) -> Column:
     """struct text, confidence: the better of two readings of one crop."""
     nfkc = _unicode("NFKC", False)
-    latin = F.trim(nfkc(F.coalesce(latin_text, F.lit(""))))
-    dev = prune_crosstalk(F.trim(nfkc(F.coalesce(dev_text, F.lit("")))))
-    garbled, indic = is_latin_hallucination(latin, latin_conf), detect_script(dev)["is_multilingual"]
-    signs, letters = F.regexp_count(dev, F.lit("[\\u0900-\\u0D7F]")), F.regexp_count(latin, F.lit("[A-Za-z0-9]"))
-    take = lambda text, conf: F.struct(text.alias("text"), conf.alias("confidence"))
-    both = F.greatest(latin_conf, dev_conf)
-    sound = ~garbled & (latin_conf >= 0.70) & (letters >= 2)
-    return (
-        F.when(sound & indic & (signs >= 3) & (dev_conf > 0.85) & (latin_conf < 0.80), take(dev, dev_conf))
-        .when(sound, take(latin, latin_conf))
-        .when(garbled & indic & (signs >= 1) & (dev_conf >= 0.25), take(dev, both))
-        .when(garbled & (F.length(dev) > 0) & (dev_conf > latin_conf), take(dev, dev_conf))
-        .when(indic & (signs >= 2) & (dev_conf >= 0.35) & ((latin_conf < 0.70) | (dev_conf >= latin_conf)), take(dev, both))
-        .when(indic & (signs <= 1) & (letters >= 1), take(latin, latin_conf))
-        .when(indic & (signs >= 2) & (dev_conf >= 0.40), take(dev, dev_conf))
-        .otherwise(take(latin, latin_conf))
-    )
+    read = F.struct(F.trim(nfkc(F.coalesce(latin_text, F.lit("")))).alias("latin"), F.trim(nfkc(F.coalesce(dev_text, F.lit("")))).alias("dev"))
+
+    def judged(t: Column) -> Column:
+        signs, letters = F.regexp_count(t["dev"], F.lit("[\\u0900-\\u0D7F]")), F.regexp_count(t["latin"], F.lit("[A-Za-z0-9]"))
+        return F.struct(t["latin"].alias("latin"), t["dev"].alias("dev"), is_latin_hallucination(t["latin"], latin_conf).alias("garbled"), detect_script(t["dev"])["is_multilingual"].alias("indic"), signs.alias("signs"), letters.alias("letters"))
+
+    def chosen(t: Column) -> Column:
+        latin, dev, garbled, indic, signs, letters = (t[c] for c in ("latin", "dev", "garbled", "indic", "signs", "letters"))
+        take = lambda text, conf: F.struct(text.alias("text"), conf.alias("confidence"))
+        both = F.greatest(latin_conf, dev_conf)
+        sound = ~garbled & (latin_conf >= 0.70) & (letters >= 2)
+        return (
+            F.when(sound & indic & (signs >= 3) & (dev_conf > 0.85) & (latin_conf < 0.80), take(dev, dev_conf))
+            .when(sound, take(latin, latin_conf))
+            .when(garbled & indic & (signs >= 1) & (dev_conf >= 0.25), take(dev, both))
+            .when(garbled & (F.length(dev) > 0) & (dev_conf > latin_conf), take(dev, dev_conf))
+            .when(indic & (signs >= 2) & (dev_conf >= 0.35) & ((latin_conf < 0.70) | (dev_conf >= latin_conf)), take(dev, both))
+            .when(indic & (signs <= 1) & (letters >= 1), take(latin, latin_conf))
+            .when(indic & (signs >= 2) & (dev_conf >= 0.40), take(dev, dev_conf))
+            .otherwise(take(latin, latin_conf))
+        )
+
+    # each step is worked out once: written out, the tests would repeat the pruning in every branch
+    pruned = once(read, lambda t: F.struct(t["latin"].alias("latin"), prune_crosstalk(t["dev"]).alias("dev")))
+    return once(once(pruned, judged), chosen)
 
 
 def _replaced(text: Column, pairs) -> Column:
