@@ -37,8 +37,10 @@ from . import common
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 K = BANDS * ROWS
-#: One bucket in so many is settled before the others; rounds of labels while links are still being found.
-FIRST, ROUNDS_OF_LABELS = 5, 2
+#: One bucket in so many is settled before the others.
+FIRST = 5
+#: Edges that a task contracts at a time.
+EDGES = 1 << 18
 #: Rounds in which sets without a possible partner are dropped before pairs are formed.
 PRUNINGS = 2
 #: Rank cells double from FINE to 1 and have unit length from there.
@@ -251,32 +253,61 @@ def partnered(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return found.filter(F.col("m") >= threshold * F.col("n") - 1e-6).select("node", "n", "m")
 
 
-def components(edges: DataFrame, rounds: int | None = None, known: DataFrame | None = None) -> DataFrame:
-    """node and comp, the smallest node of its component, for every node of ``edges`` (a, b).
+def stars(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with b < a that join the same nodes as ``edges`` do: within each chunk of EDGES edges, every node and the smallest that it reaches."""
 
-    Each round gives every node the smallest label among its neighbours, then the label of
-    that label, so that paths shorten by half; labels are a written table between rounds.
-    After a given number of ``rounds`` labels may differ within a component, but never agree
-    between components. ``known`` are labels to begin with, of some of the nodes.
+    def run(batches):
+        for a, b in _gathered(batches):
+            ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+            x, y = place[: len(a)], place[len(a) :]
+            label = np.arange(len(ids))
+            while not np.array_equal(label[x], label[y]):
+                least = np.minimum(label[x], label[y])
+                np.minimum.at(label, label[x], least)
+                np.minimum.at(label, label[y], least)
+                while not np.array_equal(label, label[label]):
+                    label = label[label]
+            moved = np.flatnonzero(label != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def _gathered(batches):
+    held, rows = [], 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        rows += len(batch)
+        if rows >= EDGES:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held, rows = [], 0
+    if rows:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and comp, the smallest node of its component, for every node of ``edges`` (a, b) that is not itself the smallest.
+
+    Edges are first replaced by stars, within chunks and without a shuffle. Each round then
+    moves every node to the smallest end of its edges, and only edges between nodes that moved
+    to different ones are left, so the table of edges shrinks from round to round.
     """
-    both = common.materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp"))
-    if known is not None:
-        labels = labels.join(known.withColumnRenamed("comp", "before"), "node", "left").select("node", F.least("comp", "before").alias("comp"))
-    labels = common.materialise(labels, "labels")
-    done = 0
+    rest, labels = common.materialise(stars(edges), "stars"), None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("jump"))
-        fresh = common.materialise(step.join(jump, "comp", "left").select("node", "old", F.least("comp", "jump").alias("comp")), "labels")
-        labels, done = fresh.select("node", "comp"), done + 1
-        if done == rounds or rounds is None and fresh.filter("old > comp").isEmpty():
+        step = common.materialise(rest.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")), "step")
+        to = lambda end: step.select(F.col("node").alias(end), F.col("comp").alias(f"to_{end}"))
+        moved = rest.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
+        rest = common.materialise(stars(moved.filter("a <> b")), "stars")
+        if labels is not None:
+            on = labels.join(step.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"))
+            step = common.materialise(on.union(step.join(labels.select("node"), "node", "left_anti")), "labels")
+        labels = step
+        if rest.isEmpty():
             return labels
 
 
 def link(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """node and comp of the members (key, node, n, m) that have a verified link.
+    """node and comp of the members (key, node, n, m) that have a verified link to a smaller node's component.
 
     In some of the buckets all members meet the pivot first: the member with the fewest
     elements of its own, which in a group of edited copies is nearest to all. That settles most
@@ -297,20 +328,19 @@ def link(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> D
     def pivots_of(rows: DataFrame, *carried: str) -> DataFrame:
         share = F.pmod(F.xxhash64("node"), F.lit(shares)).alias("share")
         chosen = rows.groupBy("key", share).agg(F.max_by(F.struct("node", *carried), best).alias("p"))
-        return common.materialise(chosen.select("key", F.col("p.node").alias("b"), *(F.col(f"p.{c}").alias(f"{c}_b") for c in carried)), "pivots")
+        return chosen.select("key", F.col("p.node").alias("b"), *(F.col(f"p.{c}").alias(f"{c}_b") for c in carried))
 
     def close_to(pairs: DataFrame) -> DataFrame:
         return pairs.filter(F.col("j") >= threshold - 1e-9).select("a", "b")
 
-    first = members.join(pivots_of(members), "key").filter("node <> b")
+    first = common.materialise(members.join(pivots_of(members), "key").filter("node <> b"), "first")
     pairs = lambda rows: rows.select(F.col("node").alias("a"), "b").distinct()
     edges = common.materialise(close_to(measured(pairs(first.filter(F.pmod(F.xxhash64("key"), F.lit(FIRST)) == 0)), sets)), "links")
-    comps = components(edges, ROUNDS_OF_LABELS)
+    comps = components(edges)
     named = members.join(comps, "node", "left").groupBy("key").agg(F.min(F.coalesce("comp", "node")).alias("x"), F.max(F.coalesce("comp", "node")).alias("y"))
     first = first.join(common.materialise(named.filter("x < y").select("key"), "open"), "key", "left_semi")
     found = common.materialise(met(pairs(first), sets), "met")
-    edges = edges.union(close_to(found)).distinct()
-    comps = components(edges, ROUNDS_OF_LABELS, comps)
+    comps = components(close_to(found).union(comps))
     left = first.withColumnRenamed("node", "a").join(found, ["a", "b"]).select("key", F.col("a").alias("node"), "n", "m", "inside", "mask")
     while True:
         now = left.join(comps, "node", "left").select("key", "node", "n", "m", "inside", "mask", F.coalesce("comp", "node").alias("comp"))
@@ -318,9 +348,9 @@ def link(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> D
         open_keys = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("n").alias("least")).filter("x < y").select("key", "least")
         rest = now.join(open_keys, "key").filter(may_be_close(F.col("m"), F.col("n"), F.col("least"))).drop("least")
         if rest.isEmpty():
-            return components(edges, known=comps)
+            return comps
         shares = min(shares * 32, 1 << 20)
-        pivots = pivots_of(rest, "comp", "n", "m", "inside", "mask")
+        pivots = common.materialise(pivots_of(rest, "comp", "n", "m", "inside", "mask"), "pivots")
         within = F.aggregate(F.zip_with("mask", "mask_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
         outside = F.least(F.col("m") - F.col("inside"), F.col("m_b") - F.col("inside_b"))
         able = may_be_close(F.least("m", "m_b"), F.col("n"), F.col("n_b")) & may_be_close(within + outside, F.col("n"), F.col("n_b"))
@@ -329,8 +359,7 @@ def link(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> D
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         close = common.materialise(measured(pairs, sets).filter(F.col("j") >= threshold - 1e-9).select("a", "b"), "links")
         if not close.isEmpty():
-            edges = edges.union(close)
-            comps = components(edges, ROUNDS_OF_LABELS, comps)
+            comps = components(close.union(comps))
         left = rest.drop("comp").join(pivots.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti")
 
 
