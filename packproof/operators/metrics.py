@@ -212,5 +212,6 @@ def column_bands(tokens: DataFrame) -> DataFrame:
     panel = Window.partitionBy("scan_id", "panel").orderBy("xmin", "xmax")
     reach = F.max("xmax").over(panel.rowsBetween(Window.unboundedPreceding, -1))
     opened = tokens.withColumn("__new", F.when(F.coalesce(F.col("xmin") <= reach, F.lit(False)), 0).otherwise(1))
-    numbered = opened.withColumn("band", F.sum("__new").over(panel.rowsBetween(Window.unboundedPreceding, 0)))
+    # equal spans are of one band, whichever of them comes first
+    numbered = opened.withColumn("band", F.sum("__new").over(panel.rangeBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("scan_id", "panel", "band").agg(F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"))
