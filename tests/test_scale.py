@@ -2,6 +2,7 @@
 
 from packproof import catalog
 from packproof.functions import lookup
+from packproof.operators import joins
 
 DATA = "/root/testdata/sf0.001"
 
@@ -11,6 +12,15 @@ def test_linked_counts_in_steps(spark):
     assert plan.count("Join") <= 6
 
 
+def test_frequent_runs_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "FREQUENT", 20)
+    outer = spark.range(2000).selectExpr("concat('new ', id) name").unionByName(spark.createDataFrame([("a b",), ("NEW",)], "name string"))
+    inner = spark.createDataFrame([("new",), ("w 19",), ("ab",), ("b",), ("zzz",), ("new 7 and more",)], "name string")
+    got = {tuple(r) for r in joins.contains_pairs(outer, inner, True).collect()}
+    names = [r[0] for r in outer.collect()]
+    assert got == {(l, r) for l in names for r in ("new", "w 19", "ab", "b", "zzz", "new 7 and more") if l.lower() in r or r in l.lower()}
+
+
 def test_by_key(spark):
     rows = spark.createDataFrame([("a", k) for k in range(3000)] + [(f"k{k}", k) for k in range(3000)] + [(None, 0), ("none", 1)], "k string, v long")
     given = spark.createDataFrame([("a", 1)] + [(f"k{k}", k) for k in range(3000)], "k string, n long")
