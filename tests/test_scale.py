@@ -1,8 +1,10 @@
 """Plans and tasks of joins that grow with their tables."""
 
+from pyspark.sql import functions as F
+
 from packproof import catalog
 from packproof.functions import lookup
-from packproof.operators import joins
+from packproof.operators import boxes, joins
 
 DATA = "/root/testdata/sf0.001"
 
@@ -26,3 +28,12 @@ def test_by_key(spark):
     given = spark.createDataFrame([("a", 1)] + [(f"k{k}", k) for k in range(3000)], "k string, n long")
     got = sorted(map(str, lookup.by_key(rows, "k", given).collect()))
     assert got == sorted(map(str, rows.join(given, "k", "left").select("k", "v", "n").collect()))
+
+
+def test_small_panels_have_one_row_a_box(spark):
+    tokens = spark.range(200).selectExpr("'s' scan_id", "'p' panel", "cast(id as int) n", "cast(id % 20 as double) xmin", "cast(id % 7 as double) ymin", "id % 20 + 9.0D xmax", "id % 7 + 5.0D ymax")
+    small = boxes._cells(tokens.withColumn("large", F.lit(False)), "left", 4)
+    assert small.count() == 200
+    assert boxes._cells(tokens.withColumn("large", F.lit(True)), "left", 4).count() > 800
+    pairs = [sorted(map(tuple, boxes.iou_pairs(tokens, tokens, 0.25, boxes._large(rows)).select("left_n", "right_n").collect())) for rows in (tokens, tokens.union(tokens))]
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 200
