@@ -9,8 +9,9 @@ tokens times that posterior. Rates r >= 0 are fitted by projected gradient least
 
 starting from r = 1, with M the inverse of G = sum_i tokens_i p_i p_i'. In that metric a
 step of length one is safe: r_i <- max(0, r_i - p_i' M (A r - T)). A rate is a fold over the
-residuals seen so far, so no rate is stored between rounds: each round is one map-side
-aggregate over a compact table, and only as many numbers as there are domains come back.
+residuals seen since rates were last stored, which is done after every STORED steps, so a
+step costs the same however many went before: each round is one map-side aggregate over a
+compact table, and only as many numbers as there are domains come back.
 Steps end when the targets are met or the objective falls by less than SETTLED of itself,
 which is where targets cannot be met: a target of zero with soft posteriors never can be,
 as every document is in part in each domain. ``residuals`` says how far each domain is off.
@@ -38,6 +39,8 @@ DOMAINS = ("good", "poor", "toxic")
 #: Word buckets; labelled documents learned from, drawn by hash; standard errors that make a bucket telling.
 BUCKETS, LABELLED, SIGNIFICANCE = 1 << 16, 4000, 5.0
 STEPS, TOLERANCE, SETTLED = 100, 1e-5, 1e-3
+#: Steps after which rates are stored.
+STORED = 16
 #: Shares of all tokens that the mix should have.
 TARGETS = {"good": 0.75, "poor": 0.25, "toxic": 0.0}
 
@@ -108,11 +111,13 @@ def posteriors(docs: DataFrame, model: DataFrame, base: list[float]) -> DataFram
     return raised.select("doc_id", "version", "copies", "tokens", F.transform("e", lambda x: x / total).alias("p"))
 
 
-def rate(p: Column, steps: list[list[float]], least: Column | None = None) -> Column:
-    """The rate of a document with posteriors ``p`` after the given steps, not below ``least`` (zero)."""
+def rate(p: Column, steps: list[list[float]], least: Column | None = None, start: Column | None = None) -> Column:
+    """The rate of a document with posteriors ``p`` after the given steps from ``start`` (one), not below ``least`` (zero)."""
     least = F.lit(0.0) if least is None else least
-    out = F.lit(1.0)
-    if not steps:
+    out = F.lit(1.0) if start is None else start
+    if len(steps) <= STORED:  # one expression for generated code
+        for s in steps:
+            out = F.greatest(least, out - reduce(lambda a, b: a + b, (p[k] * s[k] for k in range(len(s)))))
         return out
     moves = F.array(*(F.array(*map(F.lit, s)) for s in steps))
 
@@ -124,12 +129,12 @@ def rate(p: Column, steps: list[list[float]], least: Column | None = None) -> Co
 
 def totals(memberships: DataFrame, r: Column, n: int) -> np.ndarray:
     """Expected tokens of each domain at rates ``r``."""
-    weight = F.col("tokens") * F.col("copies")
-    return np.array(memberships.agg(*(F.coalesce(F.sum(weight * F.col("p")[k] * r), F.lit(0.0)) for k in range(n))).first(), float)
+    weighed = memberships.select("p", (F.col("tokens") * F.col("copies")).alias("__w"), r.alias("__r"))  # once a row, not once a domain
+    return np.array(weighed.agg(*(F.coalesce(F.sum(F.col("__w") * F.col("p")[k] * F.col("__r")), F.lit(0.0)) for k in range(n))).first(), float)
 
 
-def fit(memberships: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE, least: Column | None = None, settled: float = SETTLED) -> list[list[float]]:
-    """Steps of the projected gradient towards ``targets``, token totals by domain."""
+def fitted(memberships: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE, least: Column | None = None, settled: float = SETTLED) -> tuple[list[list[float]], DataFrame]:
+    """Steps of the projected gradient towards ``targets``, token totals by domain, and ``memberships`` with the ``rate`` after them."""
     n = len(targets)
     p, weight = F.col("p"), F.col("tokens") * F.col("copies")
     gram = memberships.agg(*(F.coalesce(F.sum(weight * p[a] * p[b]), F.lit(0.0)) for a in range(n) for b in range(n))).first()
@@ -137,15 +142,24 @@ def fit(memberships: DataFrame, targets: np.ndarray, steps: int = STEPS, toleran
     scale = max(float(gram.max()), 1e-12)
     metric = np.linalg.inv(gram + 1e-9 * scale * np.eye(n))
     found: list[list[float]] = []
+    rated, stored = memberships.withColumn("rate", F.lit(1.0)), 0
     before = np.inf
     for _ in range(steps):
-        residual = totals(memberships, rate(p, found, least), n) - targets
+        if len(found) - stored == STORED:
+            rated = common.materialise(rated.withColumn("rate", rate(p, found[stored:], least, F.col("rate"))), "rates")
+            stored = len(found)
+        residual = totals(rated, rate(p, found[stored:], least, F.col("rate")), n) - targets
         now = float(residual @ metric @ residual)
         if np.abs(residual).max() <= tolerance * max(float(np.abs(targets).max()), 1.0) or now > (1 - settled) * before:
             break
         before = now
         found.append((metric @ residual).tolist())
-    return found
+    return found, rated.withColumn("rate", rate(p, found[stored:], least, F.col("rate")))
+
+
+def fit(memberships: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE, least: Column | None = None, settled: float = SETTLED) -> list[list[float]]:
+    """The steps of ``fitted``."""
+    return fitted(memberships, targets, steps, tolerance, least, settled)[0]
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domains: tuple[str, ...] = DOMAINS, keep_clean: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -165,7 +179,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
         total = max([total, *(have / share for have, share in zip(present[:-1], wanted[:-1]) if share > 0)])
         least = F.when(F.col("p")[n - 1] < 0.5, 1.0).otherwise(0.0)
     wanted = wanted * total
-    rates = memberships.withColumn("rate", rate(F.col("p"), fit(memberships, wanted, least=least), least))
+    _, rates = fitted(memberships, wanted, least=least)
     return rates, residuals(rates, wanted, domains)
 
 

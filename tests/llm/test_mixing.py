@@ -107,3 +107,17 @@ def test_apply_meets_target_weights(spark):
     assert realised / realised.sum() == pytest.approx([0.7, 0.3, 0.0], abs=0.03)
     report = {r["domain"]: r for r in left.collect()}
     assert all(abs(report[k]["reached"] - x) < 0.05 * realised.sum() for k, x in zip(mixing.DOMAINS, realised))
+
+
+def test_steps_fold_little(spark, monkeypatch):
+    """However many steps there are, a round folds STORED of them at most; stored rates are those of one long fold."""
+    rng = np.random.default_rng(2)
+    p, w = rng.dirichlet([0.5, 0.5, 0.5], 200), rng.integers(0, 300, 200)
+    rows = spark.createDataFrame([(i, int(w[i]), 1, p[i].tolist()) for i in range(200)], "doc_id long, tokens long, copies long, p array<double>")
+    folded, plain = [], mixing.rate
+    monkeypatch.setattr(mixing, "rate", lambda p, steps, *rest: (folded.append(len(steps)), plain(p, steps, *rest))[1])
+    targets = np.array([0.75, 0.25, 0.0]) * w.sum()
+    steps, rated = mixing.fitted(rows, targets, steps=40, tolerance=0.0, settled=-1.0)
+    assert len(steps) == 40 and max(folded) <= mixing.STORED
+    got = rated.select("rate", plain(F.col("p"), steps).alias("whole")).collect()
+    assert all(r["rate"] == r["whole"] for r in got)
