@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as C
+from .fuzzy import once
 
 #: Digits of five Indic scripts, zero to nine each.
 INDIC_DIGITS = "०१२३४५६७८९" + "௦௧௨௩௪௫௬௭௮௯" + "౦౧౨౩౪౫౬౭౮౯" + "૦૧૨૩૪૫૬૭૮૯" + "০১২৩৪৫৬৭৮৯"
@@ -25,32 +28,32 @@ def sanitize_digits(text: Column, map_d: bool = True, digits_only: bool = True)
     return F.regexp_replace(out, "[^0-9]", "") if digits_only else out
 
 
-def _digit(code: Column, k: int) -> Column:
-    return F.substring(code, k, 1).try_cast("int")
-
-
 def gtin_check_digit(payload: Column) -> Column:
     """Check digit of 7, 11, 12 or 13 payload digits: weights 3 and 1 from the right, modulo 10."""
-    padded = F.lpad(payload, 13, "0")
-    total = sum((_digit(padded, k) * (3 if k % 2 else 1) for k in range(2, 14)), _digit(padded, 1) * 3)
-    return F.when(payload.rlike("^[0-9]+$") & F.length(payload).isin(7, 11, 12, 13), F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10)))
+    # 13 digits are exact in a double, and so is the whole part of a quotient by a power of ten
+    place = lambda n, k: F.pmod(F.floor(n / float(10**k)), F.lit(10))
+    total = lambda n: reduce(lambda a, b: a + b, (place(n, k) * (1 if k % 2 else 3) for k in range(13)))
+    sized = payload.rlike("^[0-9]+\\z") & F.length(payload).isin(7, 11, 12, 13)
+    return once(F.when(sized, payload).try_cast("double"), lambda n: F.pmod(10 - F.pmod(total(n), F.lit(10)), F.lit(10)).cast("int"))
 
 
 def gtin_valid(code: Column) -> Column:
     """GTIN-8, -12, -13 or -14 with a right check digit; anything else, null too, is not valid."""
+    return once(code, _right_check_digit)
+
+
+def _right_check_digit(code: Column) -> Column:
     sized = code.rlike("^[0-9]+$") & F.length(code).isin(8, 12, 13, 14)
     payload = F.left(code, F.length(code) - 1)
     return F.coalesce(sized & (gtin_check_digit(payload) == F.right(code, F.lit(1)).try_cast("int")), F.lit(False))
 
 
 def ean13_valid(code: Column) -> Column:
-    clean = sanitize_digits(code)
-    return F.coalesce((F.length(clean) == 13) & gtin_valid(clean), F.lit(False))
+    return once(sanitize_digits(code), lambda clean: F.coalesce((F.length(clean) == 13) & _right_check_digit(clean), F.lit(False)))
 
 
 def upca_valid(code: Column) -> Column:
-    clean = sanitize_digits(code)
-    return F.coalesce((F.length(clean) == 12) & gtin_valid(clean), F.lit(False))
+    return once(sanitize_digits(code), lambda clean: F.coalesce((F.length(clean) == 12) & _right_check_digit(clean), F.lit(False)))
 
 
 def validate_gs1(code: Column) -> Column:

@@ -27,6 +27,14 @@ def test_check_digits(spark):
     assert all(values(spark, ids.gtin_valid(F.col("a")), *[(m,) for m in made]))
 
 
+def test_barcode_score_reads_a_code_once(spark):
+    """A repaired code stands in the plan once for each of the two kinds, not once for each digit."""
+    scored = spark.createDataFrame([("89O1262010016\n",), ("8901262010016",), ("036000291452",), ("03600029145\n",), ("890126201001\n",), ("",), (None,)], "c string").select(ids.barcode_score(F.col("c"), F.lit("CODE")).alias("s"))
+    assert [r[0] for r in scored.collect()] == [80, 100, 95, 50, 45, 30, 30]
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= 2
+    assert values(spark, ids.gtin_check_digit(F.col("a")), ("123456\n",), ("96385074",), ("9638507",), (None,)) == [None, None, 4, None]
+
+
 def test_digit_repair(spark):
     repaired = values(spark, ids.sanitize_digits(F.col("a")), ("89O12lZSbBgq",), ("no digits",))
     assert repaired == ["890121256899", "01915"]
