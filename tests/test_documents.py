@@ -62,3 +62,10 @@ def test_store_as_whole_reader(spark, tmp_path):
     want = whole.select(F.posexplode("scans").alias("list_pos", "row")).select("list_pos", "row.*")
     assert sorted(map(str, tables["scans"].collect())) == sorted(map(str, want.collect()))
     assert tables["users"].count() == 2 and "password" not in tables["users"].columns and tables["reports"].count() == 0
+
+
+def test_only_broken_elements_are_shuffled(spark, tmp_path):
+    rows = documents.array_elements(spark, written(tmp_path, "d.json", {"a": [{"b": k, "c": "x,]"} for k in range(50)]}))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") <= 1
+    assert rows.count() == 50
