@@ -35,6 +35,12 @@ def test_barcode_score_reads_a_code_once(spark):
     assert values(spark, ids.gtin_check_digit(F.col("a")), ("123456\n",), ("96385074",), ("9638507",), (None,)) == [None, None, 4, None]
 
 
+def test_crosstalk_strips_once(spark):
+    pruned = spark.createDataFrame([(None,)], "t string").select(text.prune_crosstalk(F.col("t")).alias("v"))
+    assert pruned._jdf.queryExecution().optimizedPlan().toString().count("[a-zA-Z]+") == 1
+    assert pruned.first()[0] == ""
+
+
 def test_digit_repair(spark):
     repaired = values(spark, ids.sanitize_digits(F.col("a")), ("89O12lZSbBgq",), ("no digits",))
     assert repaired == ["890121256899", "01915"]
