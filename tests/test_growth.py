@@ -34,3 +34,12 @@ def test_runs_are_not_sorted(spark, monkeypatch):
     one = spark.createDataFrame([("apple tree",), ("tree",)], "name string")
     assert {tuple(r) for r in joins.contains_pairs(one, one, False).collect()} == {("apple tree", "tree"), ("apple tree", "apple tree"), ("tree", "tree")}
     assert not any("SortAggregate" in p for p in plans)
+
+
+def test_pairs_are_dealt_and_compared_once(spark):
+    made = catalog.QUERIES["fn21_ratio"](spark, DATA)
+    text = plan(made)
+    assert "RepartitionByExpression" in text and text.count("bit_count(") == 2  # short texts and long ones
+    pair = spark.createDataFrame([("abc", "abd"), ("", ""), (None, "a"), ("a", "a")], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    assert all(x == y for x, y in pair.select(fuzzy.fuzz_ratio(a, b), fuzzy.ratio_of(fuzzy.lcs_length(a, b), a, b)).collect())
