@@ -160,7 +160,10 @@ def exact_percentiles(rows: DataFrame, value: str, share: float, keys: tuple[str
     first, last = (F.floor(place), F.ceil(place)) if rule == "interpolated" else (F.greatest(F.lit(0), F.ceil(F.lit(share) * F.col("n")) - 1),) * 2
     state = own.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).filter("n > 0")
     state = cut(state.select(*keys, "n", "low", "high", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), first.cast("long").alias("first"), last.cast("long").alias("last")))
-    met = lambda part: (own.join(part, list(keys)) if keys else own.crossJoin(F.broadcast(part))).filter("v between low and high")
+    # groups of more than ``ranked`` rows are few (a table of n rows has at most n / ranked) and may hold a table's half:
+    # they are broadcast, and only rows of smaller groups are shuffled to theirs
+    large = lambda part: F.broadcast(part.filter(F.col("n") > ranked))
+    met = lambda part: (own.join(large(part), list(keys)) if keys else own.crossJoin(F.broadcast(part))).filter("v between low and high")
     while state.filter((F.col("inside") > ranked) & (F.col("low") < F.col("high"))).limit(1).count():
         open_ = state.filter((F.col("inside") > ranked) & (F.col("low") < F.col("high")))
         at = F.least(F.lit(RANGES - 1), F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * RANGES).cast("int"))
@@ -171,7 +174,10 @@ def exact_percentiles(rows: DataFrame, value: str, share: float, keys: tuple[str
         narrowed = holding.groupBy(*keys, "n", "first", "last").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("below").alias("below"), F.sum("held").alias("inside"))
         done = state.filter((F.col("inside") <= ranked) | (F.col("low") >= F.col("high")))
         state = cut(done.unionByName(narrowed))
-    counted = met(state).groupBy(*keys, "n", "below", "first", "last", "v").agg(F.count("*").alias("held"))
+    left = met(state)
+    if keys and not (small := state.filter(F.col("n") <= ranked)).isEmpty():
+        left = left.unionByName(own.join(large(state).select(*keys), list(keys), "left_anti").join(small, list(keys)))
+    counted = left.groupBy(*keys, "n", "below", "first", "last", "v").agg(F.count("*").alias("held"))
     order = Window.partitionBy(*keys).orderBy("v") if keys else Window.orderBy("v")
     placed = counted.withColumn("upto", F.col("below") + F.sum("held").over(order))
     value_at = lambda rank: F.min(F.when(F.col("upto") > F.col(rank), F.col("v")))

@@ -43,3 +43,21 @@ def test_pairs_are_dealt_and_compared_once(spark):
     pair = spark.createDataFrame([("abc", "abd"), ("", ""), (None, "a"), ("a", "a")], "a string, b string")
     a, b = F.col("a"), F.col("b")
     assert all(x == y for x, y in pair.select(fuzzy.fuzz_ratio(a, b), fuzzy.ratio_of(fuzzy.lcs_length(a, b), a, b)).collect())
+
+
+def test_large_groups_are_not_shuffled_whole(spark):
+    rows = spark.range(3000).selectExpr("case when id % 3 = 0 then concat('small ', id % 60) when id % 3 = 1 then 'large' end k", "cast(id % 700 as double) v")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = metrics.exact_percentiles(rows, "v", 0.5, ("k",), "nearest", 100)
+        text = plan(found)
+        got = {r["k"]: r["percentile"] for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert text.count("strategy=broadcast") == 2  # large groups: their rows are found, and kept from the others' join
+    want = {}
+    for i in range(3000):
+        if i % 3 < 2:
+            want.setdefault(f"small {i % 60}" if i % 3 == 0 else "large", []).append(float(i % 700))
+    assert got == {k: sorted(v)[-(-len(v) // 2) - 1] for k, v in want.items()}
