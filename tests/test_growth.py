@@ -61,3 +61,19 @@ def test_large_groups_are_not_shuffled_whole(spark):
         if i % 3 < 2:
             want.setdefault(f"small {i % 60}" if i % 3 == 0 else "large", []).append(float(i % 700))
     assert got == {k: sorted(v)[-(-len(v) // 2) - 1] for k, v in want.items()}
+
+
+def test_lines_take_the_tests_of_their_category(spark):
+    asked = rules._asked(rules.RULES)
+    assert asked["licence"] == {"license", "fssai", "address", "other"} and asked["taxed"] == {"mrp", "other"}
+    lines = [("s", 1, "front", "license", "MRP Rs. 50 (incl. of all taxes)", 0.9), ("s", 2, "front", "mrp", "MRP Rs. 50 (incl. of all taxes)", 0.9), ("s", 3, "back_0", None, None, None)]
+    frame = spark.createDataFrame(lines, "scan_id string, pos int, side string, category string, value string, confidence double")
+    best = rules.best_features(frame).first()
+    assert best["eval_mrp"]["pos"] == 2 and best["eval_mrp"]["taxed"] and best["eval_fssai"]["pos"] == 1
+
+
+def test_answers_are_worked_out_after_the_split(spark):
+    rows = spark.createDataFrame([("a", k) for k in range(50)], "value string, k int")
+    text = plan(lookup.by_value(rows, "value", {"up": F.upper("__value")}))
+    assert all("upper" not in part for part in text.split("NestedLoop")[1:])
+    assert {r["up"] for r in lookup.by_value(rows, "value", {"up": F.upper("__value")}).collect()} == {"A"}
