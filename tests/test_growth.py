@@ -77,3 +77,18 @@ def test_answers_are_worked_out_after_the_split(spark):
     text = plan(lookup.by_value(rows, "value", {"up": F.upper("__value")}))
     assert all("upper" not in part for part in text.split("NestedLoop")[1:])
     assert {r["up"] for r in lookup.by_value(rows, "value", {"up": F.upper("__value")}).collect()} == {"A"}
+
+
+def test_scans_are_evaluated_once(spark):
+    text = plan(catalog.QUERIES["w1_compliance"](spark, DATA))
+    assert text.count("min_by(") == len(rules.RULES)
+    text = plan(catalog.QUERIES["rul2_side"](spark, DATA))
+    assert text.count("min_by(") == len(rules.RULES) and not re.search(r"Contains\(eval_id", text.split("__lines")[0])
+
+
+def test_sides_of_odd_lines(spark):
+    lines = [("s", None, "front", "mrp", "x", 0.9), ("s", 2, "back_1", "mrp", "x", 0.9), ("s", 1, None, "mrp", "y", 0.9), ("t", 1, "back_0", None, None, 0.9)]
+    frame = spark.createDataFrame(lines, "scan_id string, pos int, side string, category string, value string, confidence double")
+    evals = spark.createDataFrame([("s", "eval_mrp", "x"), ("s", "eval_qty", "x"), ("t", "eval_mrp", "x"), ("u", "eval_mrp", "x")], "scan_id string, eval_id string, detected string")
+    got = {(r["scan_id"], r["eval_id"]): r["side"] for r in rules.tag_side(evals, frame).collect()}
+    assert got == {("s", "eval_mrp"): "back_0", ("s", "eval_qty"): "back_1", ("t", "eval_mrp"): "back_0", ("u", "eval_mrp"): "front"}
