@@ -96,3 +96,8 @@ def test_answers_are_worked_out_after_the_split(spark):
 
 def test_inspection_evaluates_once(spark):
     assert plan(catalog.QUERIES["w1_inspection"](spark, DATA)).count("min_by(") == len(rules.RULES) + 1
+
+
+def test_panels_are_shuffled_once(spark):
+    executed = catalog.QUERIES["grp1_lines"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange hashpartitioning") == 1
