@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as C
@@ -48,6 +48,18 @@ def _right_check_digit(code: Column) -> Column:
     return F.coalesce(sized & (gtin_check_digit(payload) == F.right(code, F.lit(1)).try_cast("int")), F.lit(False))
 
 
+def with_gtin_valid(rows: DataFrame, code: str, name: str = "valid") -> DataFrame:
+    """``rows`` with ``gtin_valid`` of column ``code`` as column ``name``, for tables of many codes.
+
+    The number is a column of its own and the sum has neither lambda nor branch, so both are generated code.
+    """
+    text = F.col(code)
+    numbered = rows.withColumn("__number", F.when(F.length(text).isin(8, 12, 13, 14) & text.rlike("^[0-9]+\\z"), text).try_cast("long"))
+    # of a digit only the remainder by 10 counts, which the whole part of the quotient by its power of ten shares
+    places = (F.call_function("div", F.col("__number"), F.lit(10**k).cast("long")) * F.lit(3 if k % 2 else 1).cast("long") for k in range(14))
+    return numbered.withColumn(name, F.coalesce(reduce(lambda a, b: a + b, places) % 10 == 0, F.lit(False))).drop("__number")
+
+
 def ean13_valid(code: Column) -> Column:
     return once(sanitize_digits(code), lambda clean: F.coalesce((F.length(clean) == 13) & _right_check_digit(clean), F.lit(False)))
 

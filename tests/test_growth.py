@@ -5,9 +5,9 @@ import re
 from pyspark.sql import functions as F
 
 from packproof import catalog
-from packproof.functions import fuzzy, lookup
+from packproof.functions import fuzzy, ids, lookup
 from packproof.operators import joins, metrics
-from packproof.plans import rules
+from packproof.plans import brands, risk, rules
 
 DATA = "/root/testdata/sf0.001"
 
@@ -101,3 +101,40 @@ def test_inspection_evaluates_once(spark):
 def test_panels_are_shuffled_once(spark):
     executed = catalog.QUERIES["grp1_lines"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert executed.count("Exchange hashpartitioning") == 1
+
+
+def test_check_digits_are_generated_code(spark):
+    text = plan(catalog.QUERIES["win4_barcode"](spark, DATA))
+    assert "lambda" not in text and text.count("try_cast") == 1
+    codes = ["8901262010016", "8901262010017", "8901262010016\n", "036000291452", "96385074", "00012345678905", "00012345678906", "890126201001", "12345678901", "+901262010016", " 96385074", "89O1262010016", "٩٦٣٨٥٠٧٤", "00000000", "", None]
+    rows = spark.createDataFrame([(k, c) for k, c in enumerate(codes)], "k int, code string")
+    got = ids.with_gtin_valid(rows, "code").withColumn("want", ids.gtin_valid(F.col("code"))).orderBy("k").collect()
+    assert [r["valid"] for r in got] == [r["want"] for r in got] == [k in (0, 3, 4, 5, 13) for k in range(len(codes))]
+    assert got[0].asDict().keys() == {"k", "code", "valid", "want"}
+
+
+def test_lines_without_numbers_make_no_structs(spark):
+    lines = [("a", 2, "license", "FSSAI 19912011000168"), ("a", 1, "fssai", "10012011000168"), ("a", 3, "license", "10012011000168"), ("a", 4, "other", "CIN L12345MH1990PLC123456"), ("b", 1, "fssai", None), ("b", 2, None, "fssai 10012011000168"), ("c", 1, None, None), ("d", 1, "other", "one pack"), ("e", 1, "other", "u12345QQ1990PLC123456")]
+    found = risk.regulatory_faults(spark.createDataFrame(lines, "scan_id string, pos int, category string, value string"))
+    assert "Generate inline(CASE WHEN" in plan(found)
+    fine, anomaly = "FSSAI licence number has a valid form.", "REGULATORY ANOMALY: "
+    got = {r["scan_id"]: (r["faults"], [n.split(anomaly)[-1][:25] for n in r["notes"]]) for r in found.collect()}
+    assert got == {"a": (1, [fine[:25], "Invalid FSSAI state census code"[:25], "Corporate identity number"]), "b": (0, [fine[:25]]), "e": (1, ["Unrecognized MCA state code"[:25]])}
+
+
+def test_signatures_are_dealt_to_all_tasks(spark, monkeypatch):
+    class First(Exception):
+        pass
+
+    def stop(df):
+        raise First(df)
+
+    monkeypatch.setattr(brands, "cut", stop)
+    named = spark.createDataFrame([("C1", f"Company {k % 60}", k) for k in range(90)], "company_id string, name string, load_pos int")
+    owned = named.withColumnRenamed("name", "brand")
+    try:
+        brands.detect_spoofing(owned.select("brand"), named, owned, spark.createDataFrame([], "spoof string, target string, type string"))
+    except First as first:
+        made = first.args[0]
+    assert made.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism  # whole brands and their words
+    assert made.filter("token is null").count() == 60
