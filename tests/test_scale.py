@@ -37,3 +37,23 @@ def test_small_panels_have_one_row_a_box(spark):
     assert boxes._cells(tokens.withColumn("large", F.lit(True)), "left", 4).count() > 800
     pairs = [sorted(map(tuple, boxes.iou_pairs(tokens, tokens, 0.25, boxes._large(rows)).select("left_n", "right_n").collect())) for rows in (tokens, tokens.union(tokens))]
     assert pairs[0] == pairs[1] and len(pairs[0]) > 200
+
+
+def test_tables_do_not_pass_the_driver(spark):
+    executed = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long")
+    given = spark.createDataFrame([("a", 1)], "k string, n long")
+    assert executed(lookup.by_key(rows, "k", given)).count("BroadcastHashJoin") == 1  # frequent keys alone
+    assert "BroadcastHashJoin" not in executed(catalog.table(spark, DATA, "scans"))
+
+
+def test_long_names_meet_under_long_runs(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(joins, "cut", lambda df: made.append(df) or df)
+    codes = [f"890{k:09d}{k % 10}" for k in range(200)]
+    outer = spark.createDataFrame([(c,) for c in codes + ["abcİxyz", "890"]], "name string")
+    inner = spark.createDataFrame([(c,) for c in codes + ["XYZ", "e", "90"]], "name string")
+    got = sorted(map(tuple, joins.contains_pairs(outer, inner, False).collect()))
+    assert got == sorted([(c, c) for c in codes] + [("abcİxyz", "XYZ"), ("890", "90")] + [(c, "90") for c in codes])
+    rarest = next(df for df in made if df.columns == ["r", "r_low", "run"])
+    assert {len(x["run"]) for x in rarest.collect() if len(x["r"]) == 13} == {12}
