@@ -138,3 +138,15 @@ def test_signatures_are_dealt_to_all_tasks(spark, monkeypatch):
         made = first.args[0]
     assert made.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism  # whole brands and their words
     assert made.filter("token is null").count() == 60
+
+
+def test_values_are_answered_by_all_tasks(spark):
+    rows = spark.createDataFrame([(f"a{k % 40}", k) for k in range(400)], "value string, k int")
+    made = lookup.by_value(rows, "value", {"up": F.upper("__value")})
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
+    assert {(r["value"], r["up"]) for r in made.collect()} == {(f"a{k}", f"A{k}") for k in range(40)}
+
+
+def test_arrays_are_sorted_without_a_lambda(spark):
+    for name in ("grp1_lines", "rul2_side", "jn12_fused"):
+        assert "array_sort(" not in plan(catalog.QUERIES[name](spark, DATA))
